@@ -11,7 +11,8 @@ import re
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import small_batches
 
 #: Words of a gram, grams of a window, half width of the alignment's band, words of all templates that may be broadcast.
 GRAM, WINDOW, BAND, TEMPLATE_WORDS = 2, 2, 6, 2_000_000
@@ -185,5 +186,6 @@ def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: fl
 
         return [batch.column(0).type, pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, license string, matched_words long, coverage double, start long, end long")

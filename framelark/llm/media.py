@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Bytes of a sample of the track, samples of a chunk (its first is a sync sample), and bytes a second.
 SAMPLE, CHUNK, RATE = 192, 32, 8000
 #: Boxes that hold boxes.
@@ -179,6 +181,7 @@ def stored(docs: DataFrame) -> DataFrame:
                 media = pa.array([container(p) for _, p in both], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in both], pa.int64()), media], ["doc_id", "n_bytes", "media"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small_batches
 
 #: Names of the statistics, in the order of the vectors.
 FEATURES = (
@@ -22,6 +22,10 @@ FEATURES = (
 )
 WIDTH = len(FEATURES)
 
+#: The statistics of ordinary prose, which those of a text are drawn towards as if it had SHORT more words of it.
+TYPICAL = (5.609, 1.631, 0.959, 0.072, 0.999, 0.114, 0.0, 0.152, 0.0, 0.0, 0.0, 0.416, 1.571, 3.746, 0.286)
+SHORT = 20
+
 _CLASSES = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "digits": b"0123456789",
@@ -44,8 +48,8 @@ LUT = _lut()
 
 
 def statistics(text: str | None) -> np.ndarray:
-    """The statistics of a whole text: shares as arcsines of their roots, counts as logarithms; zeros for a text without words."""
-    out = np.zeros(WIDTH)
+    """The statistics of a whole text: shares as arcsines of their roots, counts as logarithms; without words the typical ones and 0 words."""
+    out = np.array((0.0, *TYPICAL[1:]))
     data = (text or "").encode("utf-8", "surrogatepass")
     words = data.split()
     if not words:
@@ -68,11 +72,15 @@ def statistics(text: str | None) -> np.ndarray:
         "line_words": np.log1p(n / len(lines)),
         "capitalised": half(sum(65 <= w[0] <= 90 for w in words) / n),
     }
-    return np.array([values[k] for k in FEATURES])
+    out = (n * np.array([values[k] for k in FEATURES]) + SHORT * np.array(TYPICAL)) / (n + SHORT)
+    out[0] = values["log_words"]
+    return out
 
 
 def with_statistics(docs: DataFrame, name: str = "statistics") -> DataFrame:
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("array<double>")
     def column(texts: pd.Series) -> pd.Series:
         return pd.Series([statistics(t) for t in texts])
@@ -152,8 +160,8 @@ def held_out(doc_id):
 def score(docs: DataFrame, labels: DataFrame, accept: float = 0.7, shrinkage: float = 0.1) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row of docs.
 
-    Learns from the labels of ids that are not held out, all of them. Null, empty and blank texts have all statistics
-    zero and are scored like any other. Without labels of both classes every score is the share of label 1 (0.5 without any).
+    Learns from the labels of ids that are not held out, all of them. Null, empty and blank texts have the
+    statistics of no words and are scored like any other. Without labels of both classes every score is the share of label 1 (0.5 without any).
     Null labels are ignored; a document labelled twice counts twice, and repeated rows are scored alike. Extra columns
     are ignored.
     """

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small_batches
 from .components import components, forest
 
 SEGMENTS = 9
@@ -27,10 +27,6 @@ BOUNDS = [(64 * i // SEGMENTS, 64 * (i + 1) // SEGMENTS - 64 * i // SEGMENTS) fo
 BLOCK = 4096
 
 
-def shingle_words(lowered: bytes) -> list[bytes]:
-    return lowered.split()
-
-
 def fingerprint(text: str | None, words: int = 4) -> int:
     """SimHash over XXH64 (seed 42) of the word shingles of the whole text, A-Z lower-cased; 0 without words."""
     from xxhash import xxh64_intdigest
@@ -58,6 +54,8 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 def with_fingerprint(docs: DataFrame, words: int = 4, name: str = "fp") -> DataFrame:
     """docs and a column ``name``: the fingerprint as a signed long with the same 64 bits."""
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def column(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
