@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, saved, shuffle_partitions
+from .common import new_path, saved, shuffle_partitions, small_batches
 
 FANOUT = 2
 #: Stands for a null id, which is the last.
@@ -47,6 +47,7 @@ def line_hashes(docs: DataFrame, least: int = 10) -> DataFrame:
                     ids.extend([doc_id] * len(own))
                 yield pa.RecordBatch.from_arrays([pa.array(hs, pa.binary()), pa.array(ids, pa.int64())], ["h", "id"])
 
+    small_batches(docs.sparkSession)
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     return docs.select(ids.alias("id"), F.col("text").alias("text")).mapInArrow(run, "h binary, id long")
 
