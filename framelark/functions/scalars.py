@@ -70,11 +70,10 @@ def unix_seconds(text: Column) -> Column:
 
 
 def duration(days: Column) -> Column:
-    """A span in the largest unit that it fills: days, hours, or minutes (at least one)."""
-    hours, minutes = days * 24, days * 1440
-    plural = lambda n, unit: F.concat(n.cast("string"), F.lit(" " + unit), F.when(n == 1, "").otherwise("s"))
-    whole = lambda x: F.floor(x + 0.5).cast("long")
-    return F.when(days >= 1, plural(whole(days), "day")).when(hours >= 1, plural(whole(hours), "hour")).otherwise(plural(F.greatest(whole(minutes), F.lit(1)), "minute"))
+    """A span in the largest unit that it fills: days or hours with one decimal, or whole minutes."""
+    hours = days * 24
+    minutes = F.floor(hours * 60 + 0.5).cast("long").cast("string")
+    return F.when(days >= 1, F.format_string("%.1f days", days)).when(hours >= 1, F.format_string("%.1f hours", hours)).otherwise(F.concat(minutes, F.lit(" minutes")))
 
 
 def sentence(text: Column) -> Column:
