@@ -136,13 +136,14 @@ class Index:
             name, template = self.templates[t]
             own.sort()
             needed = max(1, int(0.3 * self.sizes[t]))
+            spread = min(BAND, len(template) // 3)  # so that a short template's repeats are candidates of their own
             i = 0
             while i < len(own):
                 j = i
-                while j + 1 < len(own) and own[j + 1] - own[i] <= BAND:
+                while j + 1 < len(own) and own[j + 1] - own[i] <= spread:
                     j += 1
                 if j - i + 1 >= needed:
-                    matched, start, end = align(template, tokens, own[i])
+                    matched, start, end = align(template, tokens, own[i], spread)
                     if matched >= coverage * len(template):
                         found.append((name, matched, matched / len(template), start, end))
                     i = j + 1
