@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
+from .udfs import vectorised
 
 #: Standards and the functions all of which a contract of the standard has.
 STANDARDS = {
@@ -48,13 +49,13 @@ def signature(entry: dict) -> str:
     return f"{entry.get('name') or ''}({','.join(map(canonical_type, entry.get('inputs') or ()))})"
 
 
-@F.pandas_udf("string")
+@vectorised("string")
 def canonical_type_of(params: pd.Series) -> pd.Series:
     """Of a parameter as JSON: nesting has no bound, so its schema is no Spark type."""
     return params.map(lambda p: canonical_type(json.loads(p)), na_action="ignore")
 
 
-@F.pandas_udf("array<struct<ord:int,type:string,name:string,signature:string,state_mutability:string>>")
+@vectorised("array<struct<ord:int,type:string,name:string,signature:string,state_mutability:string>>")
 def abi_entries(documents: pd.Series) -> pd.Series:
     """The usable entries of ABI documents: objects with a type that is text."""
 

@@ -87,19 +87,13 @@ def keccak_hex(texts: list[str]) -> list[str]:
     return ["0x" + d.hex() for d in keccak([t.encode() for t in texts])]
 
 
-def checksummed(address: str) -> str:
-    return checksums([address])[0]
-
-
-def checksums(addresses: list[str | None]) -> list[str | None]:
-    """EIP-55: a letter is upper case where the digest of the lower-case digits has a nibble of 8 or more; other texts as they are."""
-    import re
-
-    plain = [(a or "")[2:].lower() for a in addresses]
+def checksums(addresses: list[str]) -> list[str]:
+    """EIP-55: a letter is upper case where the digest of the lower-case digits has a nibble of 8 or more; what is no address stays."""
+    plain = [a.lower().removeprefix("0x") for a in addresses]
+    good = [len(p) == 40 and not set(p) - set("0123456789abcdef") for p in plain]
     digests = keccak([p.encode() for p in plain])
     return [
-        "0x" + "".join(c.upper() if int(h, 16) >= 8 else c for c, h in zip(p, d.hex())) if a and re.fullmatch("0x[0-9a-fA-F]{40}", a) else a
-        for a, p, d in zip(addresses, plain, digests)
+        "0x" + "".join(c.upper() if int(h, 16) >= 8 else c for c, h in zip(p, d.hex())) if g else a for a, p, g, d in zip(addresses, plain, good, digests)
     ]
 
 

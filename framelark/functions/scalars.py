@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Names of call types and what they count as.
 CALL_TYPES = {
     "call": "call", "callcode": "callcode", "delegatecall": "delegatecall", "staticcall": "staticcall",
-    "create": "create", "create2": "create", "selfdestruct": "selfdestruct", "suicide": "selfdestruct", "reward": "reward",
+    "create": "create", "create2": "create", "selfdestruct": "selfdestruct", "suicide": "selfdestruct",
 }
 
 ELLIPSIS = "…"
