@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, saved
-from .components import components, forest
+from .components import components
 
-#: Vectors that the centroids are fitted on, those of a cell that are aimed at, most cells, and vectors of a block.
-SAMPLE, CELL, MOST_CELLS, BLOCK = 20_000, 1000, 1024, 2048
+#: Vectors that the centroids are fitted on, those of a cell that are aimed at, and cells that a vector may visit on average.
+SAMPLE, CELL, VISITS = 20_000, 2000, 8
+#: Bytes of a block of vectors, and vectors of it that are multiplied at a time.
+BLOCK_BYTES, ROWS = 8 << 20, 1024
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -54,15 +56,65 @@ def unit(column) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def fitted(sample: np.ndarray, n: int, margin: float) -> np.ndarray:
+    """Centroids of as many cells, in powers of two, as n vectors fill and as keep the visits of a vector to VISITS.
+
+    Where vectors have clusters that is many; where they are spread evenly over many dimensions, planes are near to all
+    and few cells cost least. The number changes the work, not the links.
+    """
+    centroids, k = spherical_kmeans(sample, 1), 2
+    while k <= min(n // CELL, len(sample)):
+        more = spherical_kmeans(sample, k)
+        if visits(sample[: 4 * ROWS], more, margin)[1].sum(axis=1).mean() > VISITS:
+            break
+        centroids, k = more, 2 * k
+    return centroids
+
+
+def linked_rows(left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Which unit vectors have a cosine of at least threshold, in double precision; single precision sorts out those that are clear."""
+    slack = 1e-5 + 2.4e-7 * left.shape[1]
+    near = left.astype(np.float32) @ right.astype(np.float32).T >= threshold - slack
+    hits = np.count_nonzero(near)
+    if hits * 20 > near.size:
+        return left @ right.T >= threshold
+    if hits:
+        a, b = np.nonzero(near)
+        near[a, b] = np.einsum("ij,ij->i", left[a], right[b]) >= threshold
+    return near
+
+
+def stars(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``node, root`` of the nodes that links join, root the smallest of theirs here; at most one for each row and column."""
+    rows, columns = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+    if not len(rows):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    linked, u, v = linked[np.ix_(rows, columns)], left[rows], right[columns]
+    far = np.iinfo(np.int64).max
+    of_u, of_v = u.copy(), v.copy()
+    while True:
+        now = np.minimum(of_u, np.where(linked, of_v[None, :], far).min(axis=1))
+        then = np.minimum(of_v, np.where(linked, now[:, None], far).min(axis=0))
+        if np.array_equal(now, of_u) and np.array_equal(then, of_v):
+            break
+        of_u, of_v = now, then
+    nodes, roots = np.concatenate([u, v]), np.concatenate([of_u, of_v])
+    return nodes[nodes != roots], roots[nodes != roots]
+
+
 def link_counts(classes: DataFrame, threshold: float = 0.9, cells: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """``node, n`` (vectors of other classes linked to each, in parts to be summed) and ``u, v`` (links that connect all linked) of classes of one width."""
+    """``node, n`` (vectors of other classes linked to each, in parts to be summed) and ``u, v`` (links that connect all linked) of classes of one width.
+
+    A cell's own vectors and its guests are dealt into blocks, and each pair of blocks is a task of its own, so no task
+    gathers a crowded cell. Vectors travel as bytes.
+    """
     spark = classes.sparkSession
     sample = unit_sample(classes)
     if not len(sample):
         return spark.createDataFrame([], "node long, n long"), spark.createDataFrame([], "u long, v long")
-    k = cells or int(np.clip(classes.count() // CELL, 1, min(MOST_CELLS, len(sample))))
     margin = np.sqrt(max(2 - 2 * threshold, 0)) / 2
-    model = spark.sparkContext.broadcast(spherical_kmeans(sample, k))
+    model = spark.sparkContext.broadcast(spherical_kmeans(sample, min(cells, len(sample))) if cells else fitted(sample, classes.count(), margin))
+    block = max(1, BLOCK_BYTES // (8 * sample.shape[1]))
 
     def assign(batches):
         import pyarrow as pa
@@ -74,17 +126,18 @@ def link_counts(classes: DataFrame, threshold: float = 0.9, cells: int | None =
                 own, near = visits(x, model.value, margin)
                 row, cell = np.nonzero(near)
                 home = cell == own[row]
-                lists = [np.flatnonzero(n).tolist() for n in near]
+                data = np.frombuffer(x.tobytes(), dtype=f"V{8 * x.shape[1]}")
+                bits = [b.tobytes() for b in np.packbits(near, axis=1)]
                 taken = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(cell, pa.int32()), pa.array(home), pa.array(own[row], pa.int32()), taken.column("node"), taken.column("copies"),
-                    pa.array(x[row].tolist(), pa.list_(pa.float64())), pa.array([lists[r] if h else None for r, h in zip(row, home)], pa.list_(pa.int32())),
+                    pa.array([d.tobytes() for d in data[row]], pa.binary()), pa.array([bits[r] if h else None for r, h in zip(row, home)], pa.binary()),
                 ], ["cell", "home", "own", "node", "copies", "x", "near"])
 
-    kind = "cell int, home boolean, own int, node long, copies long, x array<double>, near array<int>"
+    kind = "cell int, home boolean, own int, node long, copies long, x binary, near binary"
     placed = saved(classes.select("node", "copies", "embedding").mapInArrow(assign, kind), "embedding-cells")
     counts = placed.groupBy("cell").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("guests"))
-    blocks = counts.select("cell", F.ceil(F.col("homes") / BLOCK).cast("int").alias("hb"), F.ceil(F.col("guests") / BLOCK).cast("int").alias("gb"))
+    blocks = counts.select("cell", F.ceil(F.col("homes") / block).cast("int").alias("hb"), F.ceil(F.col("guests") / block).cast("int").alias("gb"))
     placed = placed.join(bounded(blocks), "cell")
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     h, g = F.pmod(F.xxhash64("node"), F.col("hb")).cast("int"), F.pmod(F.xxhash64("node"), F.col("gb")).cast("int")
@@ -100,30 +153,34 @@ def link_counts(classes: DataFrame, threshold: float = 0.9, cells: int | None =
         import pyarrow as pa
 
         cell, i, j = (k.as_py() for k in key)
-        x = np.asarray(table.column("x").combine_chunks().flatten().to_numpy()).reshape(table.num_rows, -1)
-        node, copies, home, own, block = (table.column(c).to_numpy() for c in ("node", "copies", "home", "own", "hblock"))
-        left = np.flatnonzero(home & (block == i))
-        right = left if i == j else np.flatnonzero(home & (block == j)) if j >= 0 else np.flatnonzero(~home)
-        linked = x[left] @ x[right].T >= threshold
-        if i == j:
-            np.fill_diagonal(linked, False)
-        elif j < 0 and linked.any():
-            # a pair of two cells may meet in both; the smaller cell counts it then
-            near = np.zeros((len(left), model.value.shape[0]), dtype=bool)
-            for r, cells_of in enumerate(table.column("near").take(pa.array(left)).to_pylist()):
-                near[r, cells_of] = True
-            linked &= (cell < own[right])[None, :] | ~near[:, own[right]]
-        nodes, sums = [node[left]], [linked @ copies[right]]
-        if i != j:
-            nodes.append(node[right])
-            sums.append(copies[left] @ linked)
-        nodes, sums = np.concatenate(nodes), np.concatenate(sums)
-        a, b = np.nonzero(linked)
-        stars = list(forest(zip(node[left][a].tolist(), node[right][b].tolist())))
+        x = np.frombuffer(b"".join(table.column("x").to_pylist()), dtype=np.float64).reshape(table.num_rows, -1)
+        node, copies, home, own, blocks_of = (table.column(c).to_numpy() for c in ("node", "copies", "home", "own", "hblock"))
+        left = np.flatnonzero(home & (blocks_of == i))
+        right = left if i == j else np.flatnonzero(home & (blocks_of == j)) if j >= 0 else np.flatnonzero(~home)
+        sums, found = np.zeros(table.num_rows, dtype=np.int64), []
+        for n in range(0, len(left), ROWS):
+            some = left[n : n + ROWS]
+            linked = linked_rows(x[some], x[right], threshold)
+            if i == j:
+                linked[np.arange(len(some)), n + np.arange(len(some))] = False
+            elif j < 0 and linked.any():
+                # a pair of two cells may meet in both; the smaller cell counts it then
+                flags = np.frombuffer(b"".join(table.column("near").take(pa.array(some)).to_pylist()), dtype=np.uint8).reshape(len(some), -1)
+                near = np.unpackbits(flags, axis=1, count=model.value.shape[0]).astype(bool)
+                linked &= (cell < own[right])[None, :] | ~near[:, own[right]]
+            if linked.any():
+                sums[some] += linked @ copies[right]
+                if i != j:
+                    sums[right] += copies[some] @ linked
+                found.append(np.stack(stars(linked, node[some], node[right])))
         some = np.flatnonzero(sums)
-        u = pa.array(nodes[some].tolist() + [s[0] for s in stars], pa.int64())
-        v = pa.array([None] * len(some) + [s[1] for s in stars], pa.int64())
-        return pa.table([u, v, pa.array(sums[some].tolist() + [None] * len(stars), pa.int64())], ["u", "v", "n"])
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), dtype=np.int64)
+        lacking = pa.nulls(len(some), pa.int64()), pa.nulls(pairs.shape[1], pa.int64())
+        return pa.table({
+            "u": pa.concat_arrays([pa.array(node[some], pa.int64()), pa.array(pairs[0], pa.int64())]),
+            "v": pa.concat_arrays([lacking[0], pa.array(pairs[1], pa.int64())]),
+            "n": pa.concat_arrays([pa.array(sums[some], pa.int64()), lacking[1]]),
+        })
 
     found = saved(tasks.groupBy("cell", "i", "j").applyInArrow(compare, "u long, v long, n long"), "embedding-links")
     return found.where("v is null").select(F.col("u").alias("node"), "n"), found.where("v is not null").select("u", "v")
