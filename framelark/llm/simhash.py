@@ -1,11 +1,14 @@
 """SimHash near-dedup with pigeonring filtering.
 
-A fingerprint's 64 bits stand in a ring of ``SEGMENTS`` segments. If two fingerprints differ in at most k bits, then
-some segment starts a chain in which the differences of the first l segments sum to at most l*k/SEGMENTS, for every l.
-Candidates are the pairs that satisfy this for all prefixes of a chain of ``chain`` segments: the segments that may
-differ within those budgets are left out of the key (a wildcard pattern), the others must be equal, and the rest of the
-prefix budgets are tested before the full Hamming distance. Longer chains give longer keys, so fewer chance candidates,
+A fingerprint's 64 bits stand in a ring of m = 2k + 1 segments, k being the bits that may differ. If two fingerprints differ in
+at most k bits, then some segment starts a chain in which the differences of the first l segments sum to at most l*k/m, for
+every l. Candidates are the pairs that satisfy this for all prefixes of a chain of ``chain`` segments: the segments that may
+differ within those budgets are left out of the key (a wildcard pattern), the others must be equal, and in larger buckets the rest of
+the prefix budgets are tested before the full Hamming distance. Longer chains give longer keys, so fewer chance candidates,
 and more keys; all of them find every pair.
+
+A second fingerprint by another seed can widen the full Hamming check to 128 bits: with a larger k, chance alone would bring some
+of very many documents within k bits of 64.
 """
 
 from __future__ import annotations
@@ -20,15 +23,22 @@ from pyspark.sql import functions as F
 from .common import saved, small_batches
 from .components import components, forest
 
-SEGMENTS = 9
-#: First bit and width of each segment of the ring.
-BOUNDS = [(64 * i // SEGMENTS, 64 * (i + 1) // SEGMENTS - 64 * i // SEGMENTS) for i in range(SEGMENTS)]
 #: Fingerprints that one task compares at a time; larger buckets are compared block against block, in more tasks.
 BLOCK = 4096
+#: Fingerprints of a bucket that are compared as one matrix, and links of each up to which its links are walked singly.
+MATRIX, LINKS = 1024, 4
+#: Seeds of the fingerprint and of the second one; nanoseconds that a key's row and a compared pair take.
+SEEDS, ROW_NS, PAIR_NS = (42, 43), 3000, 5
+
+
+def bounds(bits: int) -> list[tuple[int, int]]:
+    """First bit and width of each segment of the ring."""
+    m = 2 * bits + 1
+    return [(64 * i // m, 64 * (i + 1) // m - 64 * i // m) for i in range(m)]
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """SimHash over XXH64 (seed 42) of the word shingles of the whole text, A-Z lower-cased; 0 without words."""
+def fingerprint(text: str | None, words: int = 4, seed: int = SEEDS[0]) -> int:
+    """SimHash over XXH64 of the word shingles of the whole text, A-Z lower-cased; 0 without words."""
     from xxhash import xxh64_intdigest
 
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII letters and ASCII blanks alone
@@ -37,13 +47,13 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     joined = b" ".join(tokens)
     n = len(tokens) - words + 1
     if n <= 1:
-        hashes = np.array([xxh64_intdigest(joined, 42)], dtype=np.uint64)
+        hashes = np.array([xxh64_intdigest(joined, seed)], dtype=np.uint64)
         n = 1
     else:
         ends = np.cumsum([len(t) + 1 for t in tokens])
         starts = np.concatenate(([0], ends[:-1]))[:n].tolist()
         hashes = np.fromiter(
-            (xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())), dtype=np.uint64, count=n
+            (xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())), dtype=np.uint64, count=n
         )
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, n, 1 << 16):  # bounds the memory of very long texts
@@ -52,31 +62,40 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def with_fingerprint(docs: DataFrame, words: int = 4, name: str = "fp") -> DataFrame:
+def with_fingerprint(docs: DataFrame, words: int = 4, name: str = "fp", seed: int = SEEDS[0]) -> DataFrame:
     """docs and a column ``name``: the fingerprint as a signed long with the same 64 bits."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def column(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
+        return pd.Series(np.array([fingerprint(t, words, seed) for t in texts], dtype=np.uint64).view(np.int64))
 
     return docs.withColumn(name, column(F.col("text")))
 
 
 def patterns(chain: int, bits: int) -> list[tuple[int, ...]]:
     """Positions of a chain that its key leaves out: maximal sets that the prefix budgets allow to differ."""
-    budget = [l * bits // SEGMENTS for l in range(chain + 1)]
+    budget = [l * bits // (2 * bits + 1) for l in range(chain + 1)]
     ok = lambda out: all(sum(p < l for p in out) <= budget[l] for l in range(1, chain + 1))
-    allowed = [set(c) for r in range(chain + 1) for c in combinations(range(chain), r) if ok(c)]
+    allowed = [set(c) for r in range(budget[chain] + 1) for c in combinations(range(chain), r) if ok(c)]
     return sorted(tuple(sorted(c)) for c in allowed if not any(c < d for d in allowed))
 
 
+def masks(chain: int, bits: int) -> list[int]:
+    """For each start of a chain and wildcard pattern the bits that must be equal."""
+    ring = bounds(bits)
+    out = []
+    for start in range(len(ring)):
+        for wild in patterns(chain, bits):
+            kept = [ring[(start + p) % len(ring)] for p in range(chain) if p not in wild]
+            out.append(sum(((1 << width) - 1) << first for first, width in kept))
+    return out
+
+
 def chain_for(n: int, bits: int) -> int:
-    """The shortest chain by which n even fingerprints get at most 64 chance candidates each, else the longest."""
-    for chain in range(2, SEGMENTS):
-        if n * sum(2.0 ** -sum(BOUNDS[(s + p) % SEGMENTS][1] for p in range(chain) if p not in out) for s in range(SEGMENTS) for out in patterns(chain, bits)) <= 64:
-            return chain
-    return SEGMENTS - 1
+    """The chain by which n fingerprints cost least: its keys for each, and their chance candidates if bits are even."""
+    price = lambda keys: sum(ROW_NS + PAIR_NS * n * 2.0 ** -m.bit_count() for m in keys)
+    return min(range(2, min(2 * bits + 1, 9), 2), key=lambda chain: price(masks(chain, bits)))
 
 
 def _signed(mask: int) -> int:
@@ -84,81 +103,92 @@ def _signed(mask: int) -> int:
 
 
 def keyed(fps: DataFrame, chain: int, bits: int) -> DataFrame:
-    """``fp, key_no, key``: a row for each start of a chain and wildcard pattern; key: the bits that must be equal."""
-    masks = []
-    for start in range(SEGMENTS):
-        for out in patterns(chain, bits):
-            kept = [BOUNDS[(start + p) % SEGMENTS] for p in range(chain) if p not in out]
-            masks.append(_signed(sum(((1 << width) - 1) << first for first, width in kept)))
-    keys = F.array(*(F.struct(F.lit(i).cast("short").alias("key_no"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)))
-    return fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.key_no", "k.key")
+    """fps with ``key_no, key``: a row for each mask; key: the bits that must be equal."""
+    keys = F.array(*(F.struct(F.lit(i).cast("short").alias("key_no"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks(chain, bits))))
+    return fps.withColumn("k", F.explode(keys)).select(*fps.columns, "k.key_no", "k.key")
 
 
 def _chain_passes(diff: np.ndarray, bits: int) -> np.ndarray:
     """Whether some segment starts a chain within its budgets at every length up to the whole ring; diff: XORs."""
-    parts = [np.bitwise_count((diff >> np.uint64(first)) & np.uint64((1 << width) - 1)).astype(np.int16) for first, width in BOUNDS]
+    ring = bounds(bits)
+    parts = [np.bitwise_count((diff >> np.uint64(first)) & np.uint64((1 << width) - 1)).astype(np.int16) for first, width in ring]
     found = np.zeros(diff.shape, dtype=bool)
-    for start in range(SEGMENTS):
+    for start in range(len(ring)):
         going, total = ~found, np.zeros(diff.shape, dtype=np.int16)
-        for l in range(1, SEGMENTS + 1):
-            total = total + parts[(start + l - 1) % SEGMENTS]
-            going &= total <= l * bits // SEGMENTS
+        for l in range(1, len(ring) + 1):
+            total = total + parts[(start + l - 1) % len(ring)]
+            going &= total <= l * bits // len(ring)
             if not going.any():
                 break
         found |= going
     return found
 
 
-def near(one: np.uint64, others: np.ndarray, bits: int) -> np.ndarray:
-    """Which of others differ from one in at most ``bits`` bits: chains first, then the full distance."""
-    diff = others ^ one
+def near(one: int, others: np.ndarray, fps: np.ndarray, second: np.ndarray | None, bits: int, wide: int) -> np.ndarray:
+    """Which of the indices ``others`` are near to ``one``: chains first, then the full distance of 64 and of 128 bits."""
+    diff = fps[others] ^ fps[one]
     hit = np.flatnonzero(_chain_passes(diff, bits)) if len(diff) > 8 else np.arange(len(diff))
-    return hit[np.bitwise_count(diff[hit]) <= bits]
+    apart = np.bitwise_count(diff[hit])
+    good = apart <= bits
+    if second is not None:
+        good &= apart.astype(np.int16) + np.bitwise_count(second[others[hit]] ^ second[one]) <= wide
+    return hit[good]
 
 
-def bucket_links(fps: np.ndarray, bits: int):
-    """Links that join all of a bucket that is joined by links within it: breadth first, each reached one against those not yet reached.
+def bucket_links(fps: np.ndarray, bits: int, second: np.ndarray | None = None, wide: int = 128):
+    """Links that join all of a bucket that is joined by links within it.
 
-    Copies of one text reach each other in one step, so a crowded bucket costs little more than its size.
+    Few links are found as one matrix. Where there are many it goes breadth first, each reached one against those not yet reached:
+    copies of one text reach each other in one step, so a crowded bucket costs little more than its size.
     """
-    left = np.unique(fps)
+    if len(fps) <= MATRIX:
+        apart = np.bitwise_count(fps[:, None] ^ fps[None, :])
+        linked = np.triu(apart <= bits, 1)
+        if second is not None and linked.any():
+            a, b = np.nonzero(linked)
+            linked[a, b] = apart[a, b].astype(np.int16) + np.bitwise_count(second[a] ^ second[b]) <= wide
+        if np.count_nonzero(linked) <= LINKS * len(fps):
+            yield from zip(*(fps[x].tolist() for x in np.nonzero(linked)))
+            return
+    left = np.arange(len(fps))
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             one = queue.pop()
-            hit = near(one, left, bits)
+            hit = near(one, left, fps, second, bits, wide)
             if len(hit):
                 for other in left[hit]:
-                    yield int(one), int(other)
+                    yield int(fps[one]), int(fps[other])
                 queue.extend(left[hit])
                 left = np.delete(left, hit)
 
 
-def _links(bits: int):
+def _links(bits: int, wide: int | None):
     def run(batches):
         import pyarrow as pa
 
-        def out(pairs):
-            stars = list(forest(pairs))
-            if stars:
-                u, v = (np.array(x, dtype=np.uint64).view(np.int64) for x in zip(*stars))
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
         for batch in batches:
             found = []
             for members in batch.column(0):
-                found.extend(bucket_links(np.array(members.values.to_numpy(), dtype=np.int64).view(np.uint64), bits))
-            yield from out(found)
+                own = [np.array(members.values.field(i).to_numpy(), dtype=np.int64).view(np.uint64) for i in range(2 if wide else 1)]
+                fps, first = np.unique(own[0], return_index=True)
+                found.extend(bucket_links(fps, bits, own[1][first] if wide else None, wide or 128))
+            stars = list(forest(found))
+            if stars:
+                u, v = (np.array(x, dtype=np.uint64).view(np.int64) for x in zip(*stars))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return run
 
 
-def fingerprint_links(fps: DataFrame, bits: int = 4, chain: int | None = None) -> DataFrame:
+def fingerprint_links(fps: DataFrame, bits: int = 4, wide: int | None = None, chain: int | None = None) -> DataFrame:
     """``u, v``: links between distinct fingerprints ``fps(fp)`` that connect all that differ in at most ``bits`` bits.
 
-    Not all such pairs: within a bucket only as many as connect it. A bucket of more than BLOCK fingerprints becomes
-    one bucket for each pair of its blocks, so no task gathers more than two blocks of a key.
+    With ``fps(fp, fp2)`` and ``wide`` also at most ``wide`` bits of both together. Not all such pairs: within a bucket only
+    as many as connect it. A bucket of more than BLOCK fingerprints becomes one bucket for each pair of its blocks, so no
+    task gathers more than two blocks of a key.
     """
+    small_batches(fps.sparkSession)
     if chain is None:
         chain = chain_for(fps.count(), bits)
     keys = keyed(fps, chain, bits)
@@ -167,22 +197,26 @@ def fingerprint_links(fps: DataFrame, bits: int = 4, chain: int | None = None) -
     keys = keys.join(crowded.select("key_no", "key", blocks.alias("blocks")), ["key_no", "key"])
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j")))
-    keys = keys.select("fp", "key_no", "key", F.explode(pairs).alias("b"))
-    buckets = keys.groupBy("key_no", "key", "b").agg(F.collect_list("fp").alias("fps")).select("fps")
-    return buckets.mapInArrow(_links(bits), "u long, v long")
+    keys = keys.withColumn("b", F.explode(pairs))
+    buckets = keys.groupBy("key_no", "key", "b").agg(F.collect_list(F.struct(*fps.columns)).alias("fps")).select("fps")
+    return buckets.mapInArrow(_links(bits, wide), "u long, v long")
 
 
-def near_dups(docs: DataFrame, bits: int = 4, words: int = 4) -> DataFrame:
+def near_dups(docs: DataFrame, bits: int = 4, words: int = 4, wide: int | None = None) -> DataFrame:
     """One row a document: ``doc_id, fp, component_id``: the smallest doc_id that links reach, itself included.
 
+    With ``wide``, links must also be within that many bits of 128; documents with one fingerprint share the least second one.
     Documents with equal fingerprints are linked; null, empty and blank texts have fingerprint 0 and are linked like
     any other. Fewer words than a shingle: the whole sequence is the one shingle. A null doc_id counts for no
     component's id (null if a component has no other). Repeated rows stay. An empty table gives no rows. Other
     columns are ignored.
     """
-    prints = saved(with_fingerprint(docs.select("doc_id", "text"), words).select("doc_id", "fp"), "simhash-prints")
-    classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-classes")
-    roots = components(fingerprint_links(classes.select("fp"), bits))
+    prints, both = with_fingerprint(docs.select("doc_id", "text"), words), ["fp"]
+    if wide:
+        prints, both = with_fingerprint(prints, words, "fp2", SEEDS[1]), ["fp", "fp2"]
+    prints = saved(prints.drop("text"), "simhash-prints")
+    classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), *(F.min(c).alias(c) for c in both[1:])), "simhash-classes")
+    roots = components(fingerprint_links(classes.select(*both), bits, wide))
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     rooted = saved(rooted, "simhash-rooted")
     groups = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -194,12 +228,12 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def deduplicated(docs: DataFrame, bits: int = 4, words: int = 4) -> DataFrame:
+def deduplicated(docs: DataFrame, bits: int = 4, words: int = 4, wide: int | None = None) -> DataFrame:
     """docs without near copies: of each group the row with the smallest doc_id stays, once if the row is repeated.
 
     Rows with a null doc_id stay if their group has no id; all of them then.
     """
-    found = near_dups(docs, bits, words)
+    found = near_dups(docs, bits, words, wide)
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_fl_id")).distinct()
     kept = docs.join(keep, F.col("doc_id") == F.col("_fl_id"), "left_semi").dropDuplicates(["doc_id"])
     nameless = found.where("doc_id is null and component_id is null").limit(1).count()

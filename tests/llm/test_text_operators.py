@@ -156,17 +156,17 @@ def test_fingerprints_and_components(docs):
     assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == expected
 
 
-@pytest.mark.parametrize("chain", range(2, simhash.SEGMENTS))
-def test_every_near_pair_shares_a_key(spark, chain):
+@pytest.mark.parametrize("bits,chain", [(4, 2), (4, 4), (4, 6), (4, 8), (9, 2), (9, 4), (9, 6)])
+def test_every_near_pair_shares_a_key(spark, bits, chain):
     rng = np.random.default_rng(chain)
     base = rng.integers(0, 2**63, 300, dtype=np.int64).astype(np.uint64)
     other = base.copy()
     for i in range(len(base)):
-        for bit in rng.choice(64, 4, replace=False):
+        for bit in rng.choice(64, bits, replace=False):
             other[i] ^= np.uint64(1) << np.uint64(bit)
     fps = spark.createDataFrame([(int(np.int64(v)),) for v in np.concatenate([base, other]).view(np.int64)], "fp long")
     keys = defaultdict(set)
-    for r in simhash.keyed(fps, chain, 4).collect():
+    for r in simhash.keyed(fps, chain, bits).collect():
         keys[r.fp].add((r.key_no, r.key))
     assert all(keys[int(a)] & keys[int(b)] for a, b in zip(base.view(np.int64), other.view(np.int64)))
 
@@ -181,6 +181,20 @@ def test_chain_test_loses_no_near_pair():
     assert simhash._chain_passes(rng.integers(0, 2**63, 5000).astype(np.uint64), 4).mean() < 0.05
 
 
+@pytest.mark.parametrize("matrix,links", [(1024, 10**6), (1024, 0), (0, 0)])
+def test_ways_to_link_a_bucket_agree(monkeypatch, matrix, links):
+    monkeypatch.setattr(simhash, "MATRIX", matrix)
+    monkeypatch.setattr(simhash, "LINKS", links)
+    rng = np.random.default_rng(4)
+    flip = lambda: int(sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 8)), replace=False)))
+    fps = np.array(sorted({flip() for _ in range(120)}), dtype=np.uint64)
+    second = np.array([flip() for _ in fps], dtype=np.uint64)
+    for other, wide in ((None, 128), (second, 7)):
+        near = lambda a, b: bin(int(fps[a] ^ fps[b])).count("1") <= 4 and (other is None or bin(int(fps[a] ^ fps[b])).count("1") + bin(int(second[a] ^ second[b])).count("1") <= wide)  # noqa: E731, B023
+        expected = brute_components([(int(fps[a]), int(fps[b])) for a in range(len(fps)) for b in range(a + 1, len(fps)) if near(a, b)], [int(f) for f in fps])
+        assert brute_components(list(simhash.bucket_links(fps, 4, other, wide)), [int(f) for f in fps]) == expected
+
+
 def test_crowded_bucket_is_split(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
     rng = np.random.default_rng(2)
