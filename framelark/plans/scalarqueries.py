@@ -49,18 +49,18 @@ def fn_hex_int(spark, sf_dir):
 
 
 @query("SELECT event_id, floor(epoch(ts))::BIGINT AS seconds FROM events")
-def fn_iso_seconds(spark, sf_dir):
+def fn_unix_time(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", scalars.unix_seconds(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("seconds"))
 
 
 @query("SELECT event_id, coalesce(CASE WHEN value > 50 THEN trunc(value)::BIGINT END, CASE WHEN user_id > 0 THEN user_id END)::BIGINT AS n FROM events WHERE value > 50 OR user_id > 0")
-def fn_first_positive(spark, sf_dir):
+def fn_block_number(spark, sf_dir):
     found = table(spark, sf_dir, "events").where("value > 50 or user_id > 0")
     return found.select("event_id", scalars.first_positive(F.when(F.col("value") > 50, F.col("value").cast("string")), F.lit("none"), F.col("user_id").cast("string")).alias("n"))
 
 
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
-def fn_json_accessor(spark, sf_dir):
+def fn_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
 
 
@@ -115,14 +115,35 @@ def str_scrub(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", scalars.scrub(F.col("p_name"), ["ring", "small", ""]).alias("name"))
 
 
+TRANSIENT = "timeout|capacity|rate limit|try again"
 UNSUPPORTED = "method not found|not supported|unsupported|does not exist|not available|not enabled|upgrade|disabled|unknown method|not whitelisted"
+REFUSED = "http [45][0-9][0-9]|timed out|timeout|not json"
 
 
-@query(f"""SELECT conv_id, turn, regexp_matches(lower(text), 'timeout|capacity|rate limit|try again') AS transient, regexp_matches(lower(text), '{UNSUPPORTED}') AS unsupported FROM conversations""")
-def flt_messages(spark, sf_dir):
-    """Messages that a later attempt may help, and those that say the method is refused."""
-    low = F.lower("text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", low.rlike("timeout|capacity|rate limit|try again").alias("transient"), low.rlike(UNSUPPORTED).alias("unsupported"))
+def said(text):
+    """Messages made of conversations' turns, so that each kind occurs."""
+    kinds = F.array(*map(F.lit, ("Request TIMEOUT, try again", "Method not found", "HTTP 503 answer", "answer is not JSON", "fine")))
+    return F.concat(F.element_at(kinds, (F.col("turn") % 5 + 1).cast("int")), F.lit(" "), text)
+
+
+SAID = "(SELECT conv_id, turn, lower(['Request TIMEOUT, try again', 'Method not found', 'HTTP 503 answer', 'answer is not JSON', 'fine'][turn % 5 + 1] || ' ' || text) AS m FROM conversations)"
+
+
+@query(f"SELECT conv_id, turn FROM {SAID} WHERE regexp_matches(m, '{TRANSIENT}')")
+def flt_transient(spark, sf_dir):
+    """Messages of errors that a later attempt may not meet."""
+    return table(spark, sf_dir, "conversations").where(F.lower(said(F.col("text"))).rlike(TRANSIENT)).select("conv_id", "turn")
+
+
+@query(f"SELECT conv_id, turn FROM {SAID} WHERE regexp_matches(m, '{UNSUPPORTED}')")
+def flt_unsupported(spark, sf_dir):
+    """Messages of a provider that will never answer the method."""
+    return table(spark, sf_dir, "conversations").where(F.lower(said(F.col("text"))).rlike(UNSUPPORTED)).select("conv_id", "turn")
+
+
+@query(f"SELECT conv_id, turn FROM {SAID} WHERE regexp_matches(m, '{REFUSED}')")
+def flt_refusals(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where(F.lower(said(F.col("text"))).rlike(REFUSED)).select("conv_id", "turn")
 
 
 @query("SELECT p_partkey FROM part WHERE length('0x' || repeat('6', p_partkey % 5)) > 4")
@@ -253,7 +274,7 @@ def fn_signature(spark, sf_dir):
 
 
 @query("SELECT p_partkey, CASE WHEN strpos(s, '(') > 1 THEN split_part(s, '(', 1) END AS name FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name || '(x(y))' WHEN p_partkey % 3 = 1 THEN '(' || p_name ELSE p_name END AS s FROM part)")
-def fn_name(spark, sf_dir):
+def fn_sig_name(spark, sf_dir):
     k = F.col("p_partkey") % 3
     text = F.when(k == 0, F.concat("p_name", F.lit("(x(y))"))).when(k == 1, F.concat(F.lit("("), "p_name")).otherwise(F.col("p_name"))
     return table(spark, sf_dir, "part").select("p_partkey", scalars.name_of_signature(text).alias("name"))

@@ -109,7 +109,7 @@ def norm_preorder(spark, sf_dir):
 @query(PRELUDE + """, kept AS (SELECT tx, path, p, depth FROM frames WHERE error IS NULL OR depth = 0)
 SELECT k.tx, k.p AS path FROM kept k
 WHERE (SELECT count(*) FROM kept q WHERE q.tx = k.tx AND q.depth < k.depth AND q.path = k.path[:q.depth]) = k.depth""")
-def norm_tree(spark, sf_dir):
+def norm_flat_tree(spark, sf_dir):
     """Frames that a tree built from those without an error reaches from its root."""
     kept = frames(spark, sf_dir).where(F.col("error").isNull() | (F.size("path") == 0))
     return shown(trace.reachable(kept)).select("tx", "path")
