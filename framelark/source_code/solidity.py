@@ -93,6 +93,8 @@ def tokens(source: str) -> list[Token]:
 
 def closing(run: list[Token], at: int) -> int:
     """Index of the bracket that closes the one at ``at``; the end of the run if none does."""
+    if at >= len(run) or run[at].text not in _CLOSE:
+        return len(run)
     end, depth = _CLOSE[run[at].text], 0
     for i in range(at, len(run)):
         if run[i].kind == "sign":
@@ -246,7 +248,7 @@ class File:
     def _function(self, run, i, unit):
         kind, at = run[i].text, i + 1
         name = ""
-        if kind in ("function", "modifier"):
+        if kind in ("function", "modifier") and at < len(run):
             name, at = run[at].text, at + 1
         doc, line = self.docs.get(id(run[i])), run[i].line
         given = []
