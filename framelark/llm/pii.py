@@ -129,8 +129,8 @@ def disclosing(near: DataFrame, docs: DataFrame, n_terms: int, disclosure: float
     return saved(rated.where(F.col("ratio") >= disclosure).select("entity", "term", "ratio", action.alias("action")), "pii-disclosing")
 
 
-def found(docs: DataFrame, disclosure: float = 0.9, removal: float = 0.95, support: int = 3) -> DataFrame:
-    """docs' ``doc_id``, the base spans ``email, ip, card, phone`` and ``terms array<struct<action, s, e>>``, the spans that the method adds.
+def found(docs: DataFrame, disclosure: float = 0.9, removal: float = 0.95, support: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of docs, the base spans ``email, ip, card, phone`` and ``terms array<struct<action, s, e>>``, the spans that the method adds.
 
     Null text is as empty: no spans. A document without base spans gets none by the method. Copies of a line count once for
     ``support``. Added spans never overlap base spans or each other; of two actions on a token ``remove`` counts.
@@ -138,7 +138,8 @@ def found(docs: DataFrame, disclosure: float = 0.9, removal: float = 0.95, suppo
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     some = F.size(F.concat(*KINDS)) > 0
-    base = base_spans(docs.select("doc_id", "text")).withColumn("lines", F.when(some, entity_lines(text))).drop("text")
+    base = base_spans(docs.select(*dict.fromkeys([*keep, "text"]))).withColumn("lines", F.when(some, entity_lines(text)))
+    base = base if "text" in keep else base.drop("text")
     base = saved(base, "pii-base")
     lines = base.where("lines is not null").select(F.col("_fl_row").alias("row"), F.explode("lines").alias("l")).select("row", "l.at", "l.line")
     near = saved(near_terms(lines), "pii-near")
@@ -148,7 +149,7 @@ def found(docs: DataFrame, disclosure: float = 0.9, removal: float = 0.95, suppo
     added = tokens.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("action", "s", "e"))).alias("terms"))
     out = base.join(added, F.col("_fl_row") == F.col("row"), "left")
     none = F.array().cast("array<struct<action:string,s:bigint,e:bigint>>")
-    return out.select("doc_id", *KINDS, F.coalesce("terms", none).alias("terms"))
+    return out.select(*keep, *KINDS, F.coalesce("terms", none).alias("terms"))
 
 
 def sanitised(text: Column, spans: Column) -> Column:
@@ -162,3 +163,23 @@ def sanitised(text: Column, spans: Column) -> Column:
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], kept, mark).alias("out"))
 
     return F.aggregate(ordered, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+
+
+def sanitised_documents(docs: DataFrame, disclosure: float = 0.9, removal: float = 0.95, support: int = 3) -> DataFrame:
+    """``doc_id, text``: whole texts with base spans and disclosing terms replaced. A card's digits may be a phone's too: the first kind counts.
+
+    Null texts stay null; else as ``found``.
+    """
+    rows = found(docs, disclosure, removal, support, keep=("doc_id", "text"))
+
+    def named(kind):
+        return F.transform(kind, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+
+    def apart(spans, taken):
+        return F.filter(spans, lambda x: ~F.exists(taken, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
+
+    terms = F.transform("terms", lambda x: F.struct(F.when(x["action"] == "remove", "remove").otherwise("term").alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+    taken = named(KINDS[0])
+    for spans in (*map(named, KINDS[1:]), terms):
+        taken = F.concat(taken, apart(spans, taken))
+    return rows.select("doc_id", sanitised(F.col("text"), taken).alias("text"))

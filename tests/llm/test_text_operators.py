@@ -341,6 +341,12 @@ def test_sanitised_text(spark):
     assert df.select(pii.sanitised(F.col("text"), F.col("spans"))).first()[0] == "mail [EMAIL] from  now"
 
 
+def test_sanitised_documents(spark):
+    rows = [(1, "call +4111111111111111 or a@b.cc \U0001f600 1.1.1.1"), (2, "nothing"), (3, None)]
+    got = {r.doc_id: r.text for r in pii.sanitised_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "call +[CARD] or [EMAIL] \U0001f600 [IP]", 2: "nothing", 3: None}
+
+
 def test_pii_empty_table_and_repeats(spark):
     assert pii.found(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     twice = spark.createDataFrame([(1, "a@b.cc"), (1, "a@b.cc"), (None, "a@b.cc")], "doc_id long, text string")
