@@ -652,3 +652,16 @@ def tree_render(spark, sf_dir):
     """A tree from the top: the order of paths is the order of a walk."""
     found = sourcecode.execution_tree(sourcecode.functions(literal(spark, FILES[:1], "addr string, path string, content string"), literal(spark, TARGETS[:1], "addr string, contract string, abi array<string>")))
     return found.where("fn = 'put(uint256)'").orderBy("path").select(F.array_join("path", ">").alias("path"), "kind", F.size("path").alias("depth"))
+
+
+@query()
+def flagship(spark, sf_dir):
+    """The whole analysis of the target; here how many rows each of its tables has."""
+    from framelark.plans.analysis import analyse
+
+    tables = analyse(frames(spark, sf_dir), IDENTITY, signatures(spark, sf_dir), labels(spark, sf_dir))
+    found = None
+    for name, one in tables.items():
+        count = one.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
+        found = count if found is None else found.unionByName(count)
+    return found
