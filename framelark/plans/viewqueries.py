@@ -209,10 +209,10 @@ def meta_conflicting(spark, sf_dir):
     return listed.select(F.coalesce(text, F.try_variant_get("v", "$.address_hash", "string"), F.try_variant_get("v", "$.address", "string")).alias("address")).where("address is not null")
 
 
-@query(values([("0x1", True, None, "USDC"), ("0x2", False, None, None)], ("addr", "is_contract", "ens", "symbol")))
+@query(values([("0x1", True, "", "USDC"), ("0x2", False, "", None)], ("addr", "is_contract", "ens", "symbol")))
 def meta_address_summary(spark, sf_dir):
     a = literal(spark, ADDRESSES, "addr string, json string").select("addr", F.from_json("json", wire.ADDRESS).alias("a"))
-    return a.select("addr", F.coalesce("a.is_contract", F.lit(False)).alias("is_contract"), F.nullif("a.ens_domain_name", F.lit("")).alias("ens"), F.nullif("a.token.symbol", F.lit("")).alias("symbol"))
+    return a.select("addr", F.coalesce("a.is_contract", F.lit(False)).alias("is_contract"), F.coalesce("a.ens_domain_name", F.lit("")).alias("ens"), F.nullif("a.token.symbol", F.lit("")).alias("symbol"))
 
 
 SOURCIFY = (("0x1", '{"runtimeMatch":"exact_match","sources":{"A.sol":{"content":"contract A {}"},"B.sol":{"content":"contract B {}"}}}'), ("0x2", '{"runtimeMatch":null,"sources":{"C.sol":{"content":"x"}}}'))
