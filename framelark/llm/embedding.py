@@ -102,7 +102,7 @@ def stars(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.n
     return nodes[nodes != roots], roots[nodes != roots]
 
 
-def link_counts(classes: DataFrame, threshold: float = 0.9, cells: int | None = None) -> tuple[DataFrame, DataFrame]:
+def link_counts(classes: DataFrame, threshold: float = 0.9, cells: int | None = None, reach: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """``node, n`` (vectors of other classes linked to each, in parts to be summed) and ``u, v`` (links that connect all linked) of classes of one width.
 
     A cell's own vectors and its guests are dealt into blocks, and each pair of blocks is a task of its own, so no task
@@ -112,7 +112,7 @@ def link_counts(classes: DataFrame, threshold: float = 0.9, cells: int | None =
     sample = unit_sample(classes)
     if not len(sample):
         return spark.createDataFrame([], "node long, n long"), spark.createDataFrame([], "u long, v long")
-    margin = np.sqrt(max(2 - 2 * threshold, 0)) / 2
+    margin = reach * np.sqrt(max(2 - 2 * threshold, 0)) / 2
     model = spark.sparkContext.broadcast(spherical_kmeans(sample, min(cells, len(sample))) if cells else fitted(sample, classes.count(), margin))
     block = max(1, BLOCK_BYTES // (8 * sample.shape[1]))
 
@@ -192,9 +192,13 @@ def unit_sample(classes: DataFrame) -> np.ndarray:
     return unit(rows.column("embedding")) if rows.num_rows else np.zeros((0, 1))
 
 
-def near_dups(vectors: DataFrame, threshold: float = 0.9, cells: int | None = None) -> DataFrame:
+def near_dups(vectors: DataFrame, threshold: float = 0.9, cells: int | None = None, reach: float = 1.0) -> DataFrame:
     """One row a vector: ``vec_id, n_links, component_id, kept``.
 
+    ``reach`` is the part of the sure distance to a plane within which vectors visit the cell behind it. At 1 no link is lost. Below, a
+    pair is lost if its difference lies mostly across a plane, which in many dimensions is rare, and far fewer visits are made: for
+    vectors without clusters the work then no longer grows with the square of their number.
+
     Equal vectors are one class that is compared once. Vectors that are null, empty, zero or hold a null or
     non-finite component link with nothing, nor do rows without a vec_id (component null, kept). Vectors of different
     widths never link. Repeated rows are vectors of their own that link. Empty tables give no rows; extra columns are ignored.
@@ -203,7 +207,7 @@ def near_dups(vectors: DataFrame, threshold: float = 0.9, cells: int | None = No
     widths = [r[0] for r in classes.select(F.size("embedding").alias("n")).distinct().orderBy("n").collect()]
     counts = links = None
     for width in widths:
-        n, pairs = link_counts(classes.where(F.size("embedding") == width), threshold, cells)
+        n, pairs = link_counts(classes.where(F.size("embedding") == width), threshold, cells, reach)
         counts, links = (n, pairs) if counts is None else (counts.unionByName(n), links.unionByName(pairs))
     out = vectors.select("vec_id", "embedding")
     if not widths:

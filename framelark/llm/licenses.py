@@ -165,10 +165,25 @@ def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: fl
     Coverage is the share of the template's words that the alignment matches, in order. Offsets are code points of the
     whole text. Documents without a match, null and empty ones give no rows; repeated rows give
     theirs again. Of overlapping matches the one with most words is reported; a tie goes to the shorter, then to the
-    earlier, then by name. Extra columns are ignored.
+    earlier, then by name. Extra columns are ignored. More than TEMPLATE_WORDS words of templates are scanned in several passes, whose
+    indexes are broadcast apart; matches of different passes may overlap.
     """
-    if sum(len(t.split()) for t in templates.values()) > TEMPLATE_WORDS:
-        raise ValueError(f"templates of more than {TEMPLATE_WORDS} words must be scanned in several calls")
+    parts: list[dict[str, str]] = [{}]
+    room = TEMPLATE_WORDS
+    for name, text in sorted(templates.items()):
+        room -= len(text.split())
+        if room < 0 and parts[-1]:
+            parts.append({})
+            room = TEMPLATE_WORDS - len(text.split())
+        parts[-1][name] = text
+    found = [_scanned(docs, part, coverage) for part in parts]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _scanned(docs: DataFrame, templates: dict[str, str], coverage: float) -> DataFrame:
     index = docs.sparkSession.sparkContext.broadcast(Index(templates))
 
     def run(batches):

@@ -107,6 +107,12 @@ def test_license_spans(spark):
     assert licenses.scanned(df.limit(0)).count() == 0
 
 
+def test_many_templates_are_scanned_in_passes(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "TEMPLATE_WORDS", 12)
+    df = spark.createDataFrame([(1, " and ".join(licenses.TEMPLATES[k] for k in ("MIT", "Apache-2.0", "reserved")))], "doc_id long, text string")
+    assert {r.license for r in licenses.scanned(df).collect()} >= {"MIT", "Apache-2.0", "reserved"}
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -212,6 +218,16 @@ def test_embeddings_match_brute_force(spark, monkeypatch, cells, block):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (len(links.get(i, [])), p, p == i), i
 
 
+def test_smaller_reach_loses_few_links(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(300, 48))
+    rows = [(i, (base[i % 300] + rng.normal(size=48) * 0.3).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {r.vec_id: r.n_links for r in embedding.near_dups(df, 0.9, 16).collect()}
+    part = {r.vec_id: r.n_links for r in embedding.near_dups(df, 0.9, 16, reach=0.5).collect()}
+    assert all(part[i] <= whole[i] for i in whole) and sum(part.values()) >= 0.95 * sum(whole.values()) > 0
+
+
 def test_embeddings_empty_and_invalid(spark):
     schema = "vec_id long, embedding array<float>"
     assert embedding.near_dups(spark.createDataFrame([], schema)).count() == 0
