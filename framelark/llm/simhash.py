@@ -37,40 +37,46 @@ def bounds(bits: int) -> list[tuple[int, int]]:
     return [(64 * i // m, 64 * (i + 1) // m - 64 * i // m) for i in range(m)]
 
 
-def fingerprint(text: str | None, words: int = 4, seed: int = SEEDS[0]) -> int:
-    """SimHash over XXH64 of the word shingles of the whole text, A-Z lower-cased; 0 without words."""
+def fingerprints(text: str | None, words: int = 4, seeds: tuple[int, ...] = SEEDS[:1]) -> list[int]:
+    """SimHashes over XXH64, one for each seed, of the word shingles of the whole text, A-Z lower-cased; 0 without words."""
     from xxhash import xxh64_intdigest
 
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII letters and ASCII blanks alone
     if not tokens:
-        return 0
+        return [0] * len(seeds)
     joined = b" ".join(tokens)
     n = len(tokens) - words + 1
     if n <= 1:
-        hashes = np.array([xxh64_intdigest(joined, seed)], dtype=np.uint64)
-        n = 1
+        shingles, n = [joined], 1
     else:
         ends = np.cumsum([len(t) + 1 for t in tokens])
         starts = np.concatenate(([0], ends[:-1]))[:n].tolist()
-        hashes = np.fromiter(
-            (xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())), dtype=np.uint64, count=n
-        )
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, n, 1 << 16):  # bounds the memory of very long texts
-        block = hashes[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
-
-
-def with_fingerprint(docs: DataFrame, words: int = 4, name: str = "fp", seed: int = SEEDS[0]) -> DataFrame:
-    """docs and a column ``name``: the fingerprint as a signed long with the same 64 bits."""
+        shingles = [joined[a:b] for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())]
+    out = []
+    for seed in seeds:
+        ones = np.zeros(64, dtype=np.int64)
+        for i in range(0, n, 1 << 16):  # bounds the memory of very long texts
+            hashes = np.array([xxh64_intdigest(s, seed) for s in shingles[i : i + (1 << 16)]], dtype=np.uint64)
+            ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big"))
+    return out
+
+
+def fingerprint(text: str | None, words: int = 4, seed: int = SEEDS[0]) -> int:
+    return fingerprints(text, words, (seed,))[0]
+
+
+def with_fingerprints(docs: DataFrame, words: int = 4, names: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """docs and a column for each name: the fingerprint by each seed, as a signed long with the same 64 bits."""
     small_batches(docs.sparkSession)
+    seeds = SEEDS[: len(names)]
 
-    @F.pandas_udf("long")
-    def column(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, words, seed) for t in texts], dtype=np.uint64).view(np.int64))
+    @F.pandas_udf(", ".join(f"{n} long" for n in names))
+    def columns(texts: pd.Series) -> pd.DataFrame:
+        rows = np.array([fingerprints(t, words, seeds) for t in texts], dtype=np.uint64).reshape(-1, len(seeds)).view(np.int64)
+        return pd.DataFrame(rows, columns=list(names))
 
-    return docs.withColumn(name, column(F.col("text")))
+    return docs.withColumn("_fl_prints", columns(F.col("text"))).select(*(F.col(f"`{c}`") for c in docs.columns if c not in names), "_fl_prints.*")
 
 
 def patterns(chain: int, bits: int) -> list[tuple[int, ...]]:
@@ -211,15 +217,14 @@ def near_dups(docs: DataFrame, bits: int = 4, words: int = 4, wide: int | None =
     component's id (null if a component has no other). Repeated rows stay. An empty table gives no rows. Other
     columns are ignored.
     """
-    prints, both = with_fingerprint(docs.select("doc_id", "text"), words), ["fp"]
-    if wide:
-        prints, both = with_fingerprint(prints, words, "fp2", SEEDS[1]), ["fp", "fp2"]
-    prints = saved(prints.drop("text"), "simhash-prints")
+    both = ("fp", "fp2") if wide else ("fp",)
+    prints = saved(with_fingerprints(docs.select("doc_id", "text"), words, both).drop("text"), "simhash-prints")
     classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), *(F.min(c).alias(c) for c in both[1:])), "simhash-classes")
     roots = components(fingerprint_links(classes.select(*both), bits, wide))
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     rooted = saved(rooted, "simhash-rooted")
-    groups = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # written, so that the join to a component of very many fingerprints can be split
+    groups = saved(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-groups")
     ids = saved(rooted.join(groups, "root").select("fp", "component_id"), "simhash-components")
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
