@@ -33,28 +33,29 @@ def flagged(frames: DataFrame, identity: Sequence[str]) -> DataFrame:
     return frames.withColumns({"from_in": known(F.col("from_addr")), "to_in": known(F.col("to_addr"))})
 
 
-def with_caller(frames: DataFrame) -> DataFrame:
-    """frames with ``caller_selector`` of the frame above and ``has_parent``; one shuffle by transaction and path."""
-    parents = frames.select(F.col("tx").alias("_tx"), path_key(F.col("path")).alias("_key"), F.col("selector").alias("caller_selector"), F.lit(True).alias("_is"))
+def with_caller(rows: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """rows with ``caller_selector`` of the frame above and ``has_parent``; ``frames`` hold those, by default rows themselves."""
+    parents = (rows if frames is None else frames).select(F.col("tx").alias("_tx"), path_key(F.col("path")).alias("_key"), F.col("selector").alias("caller_selector"), F.lit(True).alias("_is"))
     above = F.when(F.size("path") > 0, path_key(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))))
-    joined = frames.join(parents, (F.col("tx") == F.col("_tx")) & (above == F.col("_key")), "left")
+    joined = rows.join(parents, (F.col("tx") == F.col("_tx")) & (above == F.col("_key")), "left")
     return joined.withColumn("has_parent", F.coalesce("_is", F.lit(False))).drop("_tx", "_key", "_is")
 
 
-def with_enclosing(frames: DataFrame) -> DataFrame:
-    """Flagged frames with ``enclosing``: the selector by which the target was entered, of the deepest such frame strictly above.
+def with_enclosing(rows: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """Flagged rows with ``enclosing``: the selector by which the target was entered, of the deepest such frame strictly above.
 
-    A delegatecall within the target does not enter it anew; an entry with short calldata resets to null. Only frames of
-    transactions' entries are joined to, and prefixes of frames below an entry alone are exploded.
+    A delegatecall within the target does not enter it anew; an entry with short calldata resets to null. ``frames`` hold the
+    entries, by default rows themselves: rows that were filtered before, as outbound ones, are all that is exploded and shuffled.
     """
+    frames = rows if frames is None else frames
     entries = frames.where(F.col("to_in") & ~(F.col("from_in") & (F.col("call_type") == "delegatecall")))
     entries = entries.select(F.col("tx").alias("_tx"), path_key(F.col("path")).alias("_key"), F.size("path").alias("_depth"), F.col("selector").alias("_selector"))
     lengths = F.sequence(F.lit(0), F.size("path") - 1)
     prefixes = F.transform(lengths, lambda n: path_key(F.slice("path", 1, n)))
-    below = frames.where((F.size("path") > 0) & F.col("from_in")).select("tx", path_key(F.col("path")).alias("key"), F.explode(prefixes).alias("_prefix"))
+    below = rows.where((F.size("path") > 0) & F.col("from_in")).select("tx", path_key(F.col("path")).alias("key"), F.explode(prefixes).alias("_prefix"))
     found = below.join(entries, (F.col("tx") == F.col("_tx")) & (F.col("_prefix") == F.col("_key")))
     found = found.groupBy("tx", "key").agg(F.max_by("_selector", "_depth").alias("enclosing")).withColumnsRenamed({"tx": "_tx", "key": "_key"})
-    joined = frames.join(found, (F.col("tx") == F.col("_tx")) & (path_key(F.col("path")) == F.col("_key")), "left")
+    joined = rows.join(found, (F.col("tx") == F.col("_tx")) & (path_key(F.col("path")) == F.col("_key")), "left")
     return joined.drop("_tx", "_key")
 
 

@@ -16,15 +16,15 @@ def analyse(frames: DataFrame, identity: Sequence[str], signatures: DataFrame, l
 
     ``functions`` have ``signature`` and ``external_calls``, and are joined by the signatures' selectors. Nothing runs until a table is read.
     """
-    walked = trace.analysed(frames, identity)
-    out, into = trace.outbound(walked), trace.inbound(walked)
+    found = trace.flagged(frames, identity)
+    out, into = trace.with_enclosing(trace.outbound(found), found), trace.with_caller(trace.inbound(found), found)
     outbound = trace.signed(trace.outbound_edges(out), signatures, target_selector="target_signature", destination_selector="destination_signature")
     inbound = trace.inbound_edges(into, labels)
     sides = [trace.rollup(out, "to_addr").withColumn("side", F.lit("outbound")), trace.rollup(into, "from_addr").withColumn("side", F.lit("inbound"))]
     contracts = trace.kinds(sides[0].unionByName(sides[1]), frames, labels)
     result = {
         "outbound": outbound,
-        "delegatecalls": trace.outbound_edges(trace.delegatecalls(walked)),
+        "delegatecalls": trace.outbound_edges(trace.with_enclosing(trace.delegatecalls(found), found)),
         "inbound": inbound,
         "entries": trace.function_counts(into, None, "selector"),
         "contracts": contracts,

@@ -21,16 +21,33 @@ def shown(df):
     return df.withColumn("path", trace.path_text(F.col("path")))
 
 
+def flagged(spark, sf_dir):
+    return trace.flagged(frames(spark, sf_dir), IDENTITY)
+
+
+def left(spark, sf_dir):
+    """Outbound frames with the function they ran in."""
+    found = flagged(spark, sf_dir)
+    return trace.with_enclosing(trace.outbound(found), found)
+
+
+def entered(spark, sf_dir):
+    """Inbound frames with the function that called."""
+    found = flagged(spark, sf_dir)
+    return trace.with_caller(trace.inbound(found), found)
+
+
 def out_edges(spark, sf_dir):
-    return trace.outbound_edges(trace.outbound(walked(spark, sf_dir)))
+    return trace.outbound_edges(left(spark, sf_dir))
 
 
 def delegated_edges(spark, sf_dir):
-    return trace.outbound_edges(trace.delegatecalls(walked(spark, sf_dir)))
+    found = flagged(spark, sf_dir)
+    return trace.outbound_edges(trace.with_enclosing(trace.delegatecalls(found), found))
 
 
 def in_edges(spark, sf_dir):
-    return trace.inbound_edges(trace.inbound(walked(spark, sf_dir)), labels(spark, sf_dir))
+    return trace.inbound_edges(entered(spark, sf_dir), labels(spark, sf_dir))
 
 
 # --- scans ---------------------------------------------------------------------------------------------------------
@@ -138,12 +155,12 @@ def join_enclosing(spark, sf_dir):
 
 @query(PRELUDE + "SELECT tx, p AS path, enclosing, to_addr, selector, call_type FROM outbound")
 def edge_outbound(spark, sf_dir):
-    return shown(trace.outbound(walked(spark, sf_dir))).select("tx", "path", "enclosing", "to_addr", "selector", "call_type")
+    return shown(left(spark, sf_dir)).select("tx", "path", "enclosing", "to_addr", "selector", "call_type")
 
 
 @query(PRELUDE + "SELECT tx, p AS path, from_addr, caller_selector, selector, call_type FROM inbound")
 def edge_inbound(spark, sf_dir):
-    return shown(trace.inbound(walked(spark, sf_dir))).select("tx", "path", "from_addr", "caller_selector", "selector", "call_type")
+    return shown(entered(spark, sf_dir)).select("tx", "path", "from_addr", "caller_selector", "selector", "call_type")
 
 
 @query(PRELUDE + """SELECT e.target_selector, t.signature AS target_signature, e.destination, e.destination_selector, d.signature AS destination_signature, e.call_type, e.calls
@@ -421,14 +438,14 @@ PATH_SQL = "CASE WHEN len(path) = 0 THEN 'root' ELSE array_to_string(path, ',')
 
 @query(PRELUDE + f", {FIRST_SQL} SELECT enclosing, to_addr, selector, call_type, tx, {PATH_SQL} FROM firsts")
 def win_first_proof(spark, sf_dir):
-    first = trace.outbound(walked(spark, sf_dir)).groupBy(*OUT_KEYS, "tx").agg(F.min("path").alias("path"))
+    first = left(spark, sf_dir).groupBy(*OUT_KEYS, "tx").agg(F.min("path").alias("path"))
     return shown(first)
 
 
 @query(PRELUDE + f""", {FIRST_SQL} SELECT enclosing, to_addr, selector, call_type, n AS proof_no, tx, block, {PATH_SQL}
 FROM (SELECT *, row_number() OVER (PARTITION BY enclosing, to_addr, selector, call_type ORDER BY block DESC, path, tx_ord) AS n FROM firsts) WHERE n <= 3""")
 def win_top3_proofs(spark, sf_dir):
-    found = trace.proofs(trace.outbound(walked(spark, sf_dir)), OUT_KEYS)
+    found = trace.proofs(left(spark, sf_dir), OUT_KEYS)
     return shown(found).withColumn("proof_no", F.col("proof_no").cast("long"))
 
 
@@ -462,7 +479,7 @@ def win_layout_cap(spark, sf_dir):
   SELECT enclosing AS target_selector, to_addr AS destination, selector AS destination_selector, call_type, count(*) AS calls, min({'o': tx_ord, 'p': path}) AS o FROM outbound GROUP BY enclosing, to_addr, selector, call_type)""")
 def sort_edges(spark, sf_dir):
     """Edges by calls; ties as the walk first met them."""
-    edges = trace.outbound(walked(spark, sf_dir)).groupBy(*OUT_KEYS).agg(F.count("*").alias("calls"), F.min(trace.walk_order()).alias("o"))
+    edges = left(spark, sf_dir).groupBy(*OUT_KEYS).agg(F.count("*").alias("calls"), F.min(trace.walk_order()).alias("o"))
     order = Window.orderBy(F.col("calls").desc(), "o", "enclosing", "to_addr", "selector", "call_type")
     return edges.select(F.col("enclosing").alias("target_selector"), F.col("to_addr").alias("destination"), F.col("selector").alias("destination_selector"), "call_type", "calls", F.row_number().over(order).cast("long").alias("place"))
 
