@@ -15,7 +15,7 @@ from .common import bounded, saved
 from .components import components
 
 #: Vectors that the centroids are fitted on, those of a cell that are aimed at, and cells that a vector may visit on average.
-SAMPLE, CELL, VISITS = 20_000, 2000, 8
+SAMPLE, CELL, VISITS = 20_000, 2000, 4
 #: Bytes of a block of vectors, and vectors of it that are multiplied at a time.
 BLOCK_BYTES, ROWS = 8 << 20, 1024
 
@@ -158,21 +158,32 @@ def link_counts(classes: DataFrame, threshold: float = 0.9, cells: int | None =
         left = np.flatnonzero(home & (blocks_of == i))
         right = left if i == j else np.flatnonzero(home & (blocks_of == j)) if j >= 0 else np.flatnonzero(~home)
         sums, found = np.zeros(table.num_rows, dtype=np.int64), []
+
+        def count(some, others, same=0):
+            """Links of rows with others, of which the first ``same`` are the rows themselves."""
+            linked = linked_rows(x[some], x[others], threshold)
+            if same:
+                linked[np.arange(same), np.arange(same)] = False
+            if linked.any():
+                sums[some] += linked @ copies[others]
+                sums[others[same:]] += copies[some] @ linked[:, same:]
+                found.append(np.stack(stars(linked, node[some], node[others])))
+
         for n in range(0, len(left), ROWS):
             some = left[n : n + ROWS]
-            linked = linked_rows(x[some], x[right], threshold)
-            if i == j:
-                linked[np.arange(len(some)), n + np.arange(len(some))] = False
-            elif j < 0 and linked.any():
-                # a pair of two cells may meet in both; the smaller cell counts it then
-                flags = np.frombuffer(b"".join(table.column("near").take(pa.array(some)).to_pylist()), dtype=np.uint8).reshape(len(some), -1)
-                near = np.unpackbits(flags, axis=1, count=model.value.shape[0]).astype(bool)
-                linked &= (cell < own[right])[None, :] | ~near[:, own[right]]
-            if linked.any():
-                sums[some] += linked @ copies[right]
-                if i != j:
-                    sums[right] += copies[some] @ linked
-                found.append(np.stack(stars(linked, node[some], node[right])))
+            if j >= 0:
+                count(some, left[n:], len(some)) if i == j else count(some, right)
+                continue
+            # a pair of two cells may meet in both; it is compared in the smaller one then
+            flags = np.frombuffer(b"".join(table.column("near").take(pa.array(some)).to_pylist()), dtype=np.uint8).reshape(len(some), -1)
+            near = np.unpackbits(flags, axis=1, count=model.value.shape[0]).astype(bool)
+            later = right[own[right] > cell]
+            if len(later):
+                count(some, later)
+            for other in np.unique(own[right][own[right] < cell]):
+                rows = some[~near[:, other]]
+                if len(rows):
+                    count(rows, right[own[right] == other])
         some = np.flatnonzero(sums)
         pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), dtype=np.int64)
         lacking = pa.nulls(len(some), pa.int64()), pa.nulls(pairs.shape[1], pa.int64())
