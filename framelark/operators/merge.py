@@ -5,44 +5,45 @@ The two never derive from each other: ``possible`` comes of a site, ``observed``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def matches(sites: DataFrame, edges: DataFrame) -> DataFrame:
-    """``fn, site_ord, edge_id`` and the edge's calls and transactions: each edge with the first site that fits it.
+def resolved(sites: DataFrame, edges: DataFrame) -> DataFrame:
+    """edges with ``site_ord`` of the first site of their function that fits, null without one.
 
     sites: ``fn, site_ord, selector, name, address``; edges: ``fn, edge_id, selector, name, destination, calls, txs``. Selectors decide
-    where both have one, else names; a literal address must be the destination. Two equi-joins, so no pair is looked at in vain.
+    where both have one, else names; a literal address must be the destination. Both sides name their keys, so it is one equi-join
+    and one aggregate by edge, which keeps edges that nothing fits.
     """
-    e = edges.select("fn", "edge_id", F.col("selector").alias("e_selector"), F.col("name").alias("e_name"), "destination", "calls", "txs")
-    literal = F.col("address").isNull() | (F.lower("address") == F.col("destination"))
-    by_selector = sites.where("selector is not null").join(e.where("e_selector is not null"), (sites["fn"] == e["fn"]) & (F.col("selector") == F.col("e_selector")) & literal)
-    by_name = sites.join(e, (sites["fn"] == e["fn"]) & (F.col("name") == F.col("e_name")) & literal & (F.col("selector").isNull() | F.col("e_selector").isNull()))
-    both = by_selector.select(sites["fn"], "site_ord", "edge_id", "calls", "txs").unionByName(by_name.select(sites["fn"], "site_ord", "edge_id", "calls", "txs"))
-    first = Window.partitionBy("edge_id").orderBy("site_ord")
-    return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    keys = lambda: F.array_compact(F.array(F.concat(F.lit("s:"), "selector"), F.concat(F.lit("n:"), "name")))
+    s = sites.select(F.col("fn").alias("_fn"), F.explode(keys()).alias("_key"), "site_ord", F.col("selector").alias("_selector"), F.lower("address").alias("_address"))
+    e = edges.select(*edges.columns, F.explode_outer(keys()).alias("key"))
+    by_name_only = F.col("_selector").isNull() | F.col("selector").isNull() | F.startswith("key", F.lit("s:"))
+    fits = (F.col("fn") == F.col("_fn")) & (F.col("key") == F.col("_key")) & by_name_only & (F.col("_address").isNull() | (F.col("_address") == F.col("destination")))
+    rest = [c for c in edges.columns if c != "edge_id"]
+    found = e.join(s, fits, "left").groupBy("edge_id").agg(*(F.first(c).alias(c) for c in rest), F.min("site_ord").alias("site_ord"))
+    return found.select(*edges.columns, "site_ord")
 
 
 def merged(sites: DataFrame, edges: DataFrame) -> DataFrame:
     """``fn, site_ord, edge_id, destination, selector, name, possible, observed, calls, txs``: every site, and every edge without one."""
-    found = matches(sites, edges)
-    totals = found.groupBy("fn", "site_ord").agg(F.sum("calls").alias("calls"), F.max("txs").alias("txs"))
+    found = resolved(sites, edges)
+    totals = found.where("site_ord is not null").groupBy("fn", "site_ord").agg(F.sum("calls").alias("calls"), F.max("txs").alias("txs"))
     zero = F.lit(0).cast("long")
     of_sites = sites.join(totals, ["fn", "site_ord"], "left").select(
         "fn", "site_ord", F.lit(None).cast("string").alias("edge_id"), F.col("address").alias("destination"), "selector", "name",
         F.lit(True).alias("possible"), F.col("calls").isNotNull().alias("observed"), F.coalesce("calls", zero).alias("calls"), F.coalesce("txs", zero).alias("txs"),
     )
-    rest = edges.join(found.select("edge_id"), "edge_id", "left_anti").select(
-        "fn", F.lit(None).cast("long").alias("site_ord"), "edge_id", "destination", "selector", "name", F.lit(False).alias("possible"), F.lit(True).alias("observed"), "calls", "txs"
+    rest = found.where("site_ord is null").select(
+        "fn", "site_ord", "edge_id", "destination", "selector", "name", F.lit(False).alias("possible"), F.lit(True).alias("observed"), "calls", "txs"
     )
     return of_sites.unionByName(rest)
 
 
 def marked(edges: DataFrame, sites: DataFrame) -> DataFrame:
     """edges with ``possible_from_code``: whether some site of the function fits."""
-    hit = matches(sites, edges).select("edge_id", F.lit(True).alias("_hit"))
-    return edges.join(hit, "edge_id", "left").withColumn("possible_from_code", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    return resolved(sites, edges).withColumn("possible_from_code", F.col("site_ord").isNotNull()).drop("site_ord")
 
 
 def function_map(functions: DataFrame, entries: DataFrame, out_edges: DataFrame, in_edges: DataFrame) -> DataFrame:

@@ -149,8 +149,8 @@ def join_parent_caller(spark, sf_dir):
 
 @query(PRELUDE + "SELECT tx, p AS path, enclosing FROM walked WHERE from_in")
 def join_enclosing(spark, sf_dir):
-    found = trace.with_enclosing(trace.flagged(frames(spark, sf_dir), IDENTITY)).where("from_in")
-    return shown(found).select("tx", "path", "enclosing")
+    found = flagged(spark, sf_dir)
+    return shown(trace.with_enclosing(found.where("from_in"), found)).select("tx", "path", "enclosing")
 
 
 @query(PRELUDE + "SELECT tx, p AS path, enclosing, to_addr, selector, call_type FROM outbound")
