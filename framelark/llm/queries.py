@@ -155,4 +155,58 @@ SELECT m.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, m.component_id, m.vec_id =
 FROM m LEFT JOIN n ON m.vec_id = n.u
 """
 
-SQL = {"op1_mix_sources": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op9_embedding": OP9_SQL}
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+k AS (
+  SELECT r, 1 AS o, 'email' AS kind, regexp_extract_all(t, p) AS hits, string_split_regex(t, p) AS gaps
+  FROM d, (SELECT '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+' AS p) WHERE contains(t, '@')
+  UNION ALL SELECT r, 2, 'ip', regexp_extract_all(t, p), string_split_regex(t, p) FROM d, (SELECT '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)' AS p) WHERE contains(t, '.')
+  UNION ALL SELECT r, 3, 'card', regexp_extract_all(t, p), string_split_regex(t, p) FROM d, (SELECT '[0-9](?:[\x20-]?[0-9])+' AS p)
+  UNION ALL SELECT r, 4, 'phone', regexp_extract_all(t, p), string_split_regex(t, p) FROM d, (SELECT '\+[0-9][\x20().0-9-]+[0-9]' AS p) WHERE contains(t, '+')),
+u AS (
+  SELECT r, o, kind, v, s, s + length(v) AS e, regexp_replace(v, '[^0-9]', '', 'g') AS digits FROM (
+    SELECT r, o, kind, hits[i] AS v, coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0)::BIGINT + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)::BIGINT AS s
+    FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM k WHERE len(hits) > 0))),
+base AS (
+  SELECT r, o, kind, s, e, CASE kind WHEN 'email' THEN 'email:' || lower(v) WHEN 'ip' THEN 'ip:' || v ELSE kind || ':' || digits END AS entity
+  FROM u
+  WHERE CASE kind
+    WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(nullif(ltrim(p, '0'), '') AS INT), 0) > 255)) = 0
+    WHEN 'card' THEN length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda n:
+      CASE WHEN n % 2 = 1 THEN digits[length(digits) - n + 1]::INT ELSE digits[length(digits) - n + 1]::INT * 2 - CASE WHEN digits[length(digits) - n + 1]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 8 AND 15
+    ELSE true END),
+l AS (
+  SELECT r, ls[i] AS line, coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0)::BIGINT AS a
+  FROM (SELECT r, string_split(t, chr(10)) AS ls, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM d WHERE r IN (SELECT r FROM base))),
+b AS (SELECT l.r, l.a, l.line, base.entity, base.s, base.e FROM l JOIN base ON base.r = l.r AND base.s >= l.a AND base.e <= l.a + length(l.line)),
+w AS (
+  SELECT r, a, hits[i] AS v, a + coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0)::BIGINT + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)::BIGINT AS s
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
+    SELECT DISTINCT r, a, regexp_extract_all(line, '\pL{3,}') AS hits, string_split_regex(line, '\pL{3,}') AS gaps FROM b) WHERE len(hits) > 0)),
+token AS (SELECT r, a, lower(v) AS term, s, s + length(v) AS e FROM w WHERE NOT EXISTS (SELECT 1 FROM base c WHERE c.r = w.r AND w.s < c.e AND c.s < w.s + length(w.v))),
+near AS (
+  SELECT DISTINCT r, entity, term, s, e, line FROM (
+    SELECT b.r, b.entity, token.term, token.s, token.e, b.line,
+           row_number() OVER (PARTITION BY b.r, b.s, b.e, b.entity, token.s >= b.e ORDER BY CASE WHEN token.s >= b.e THEN token.s ELSE -token.s END) AS n
+    FROM b JOIN token ON token.r = b.r AND token.a = b.a AND (token.e <= b.s OR token.s >= b.e)) WHERE n <= 10),
+pairs AS (SELECT entity, term, count(*) AS together FROM near GROUP BY entity, term HAVING count(DISTINCT line) >= 3),
+corpus AS (SELECT lower(unnest(regexp_extract_all(t, '\pL{3,}'))) AS term FROM d),
+total AS (SELECT greatest(count(*), 1)::DOUBLE AS n FROM corpus),
+frequency AS (SELECT term, count(*) AS n FROM corpus WHERE term IN (SELECT term FROM pairs) GROUP BY term),
+rated AS (
+  SELECT p.entity, p.term, CASE WHEN ic > 0 THEN 1 + ln(least(p.together / f.n, 1.0)) / ic ELSE 0.0 END AS ratio
+  FROM pairs p JOIN frequency f ON f.term = p.term JOIN (SELECT entity, -ln(least(count(*) / any_value(total.n), 1.0)) AS ic FROM near, total GROUP BY entity) c ON c.entity = p.entity),
+added AS (
+  SELECT near.r, near.s, near.e, max(CASE WHEN ratio >= 0.95 THEN 'remove' ELSE 'generalise' END) AS kind
+  FROM near JOIN rated ON rated.entity = near.entity AND rated.term = near.term WHERE ratio >= 0.9 GROUP BY near.r, near.s, near.e),
+spans AS (
+  SELECT r, o, kind, s, e FROM base
+  UNION ALL SELECT r, CASE kind WHEN 'generalise' THEN 5 ELSE 6 END, kind, s, e FROM added)
+SELECT d.doc_id, count(*) FILTER (o = 1) AS n_email, count(*) FILTER (o = 2) AS n_ip, count(*) FILTER (o = 3) AS n_card, count(*) FILTER (o = 4) AS n_phone,
+       sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) FILTER (o <= 4), '')) AS base_sha256,
+       coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) FILTER (o IS NOT NULL), '') AS spans
+FROM d LEFT JOIN spans ON spans.r = d.r GROUP BY d.r, d.doc_id
+"""
+
+SQL = {"op10_pii": OP10_SQL, "op1_mix_sources": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op9_embedding": OP9_SQL}

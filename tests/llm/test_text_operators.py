@@ -403,3 +403,18 @@ def test_probe_of_other_layouts_and_broken_ones():
 def test_registry_names():
     assert [int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES] == list(range(1, 11))
     assert set(queries.SQL) <= set(queries.QUERIES)
+
+
+def test_pii_query_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    common = "the report names some people and some places of the town "
+    texts = [*TRICKY, *(f"{common} filler{'abcdefghij'[i % 10]} words {i}" for i in range(60))]
+    texts += [f"{'xyzuvw'[i]} Kestrelworth wrote to kestrel@mail.example.com and +1 (706) 555-3138 about the town {'pqrstu'[i]}\nanother line with kestrel@mail.example.com {i}" for i in range(6)]
+    texts += ["Kestrelworth wrote to kestrel@mail.example.com kestrel@mail.example.com now"] * 2
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in queries.op10_pii(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(queries.OP10_SQL).fetchall())
+    assert sum("generalise" in r[-1] or "remove" in r[-1] for r in got) >= 6
