@@ -105,8 +105,9 @@ def html_escape(text: Column) -> Column:
     return text
 
 
-def env_name(key: Column, suffix: str = "_RPC_URL") -> Column:
-    return F.concat(F.regexp_replace(F.upper(key), "[^A-Z0-9]", "_"), F.lit(suffix))
+def env_name(key: Column, prefix: str = "RPC_URL_") -> Column:
+    """The variable that holds a chain's address."""
+    return F.concat(F.lit(prefix), F.regexp_replace(F.upper(key), "[^A-Z0-9]", "_"))
 
 
 def scrub(text: Column, secrets: list[str]) -> Column:

@@ -91,7 +91,7 @@ def fn_duration(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", scalars.duration((F.col("o_orderkey") % 1000) / F.lit(257.0)).alias("span"))
 
 
-@query("""SELECT p_partkey, regexp_replace(upper(p_type || ' ' || p_name), '[^A-Z0-9]', '_', 'g') || '_RPC_URL' AS var FROM part""")
+@query("""SELECT p_partkey, 'RPC_URL_' || regexp_replace(upper(p_type || ' ' || p_name), '[^A-Z0-9]', '_', 'g') AS var FROM part""")
 def fn_env_name(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", scalars.env_name(F.concat_ws(" ", "p_type", "p_name")).alias("var"))
 
