@@ -23,10 +23,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays.
 
-    Shingles have 5 words. 19 of 128 bits is what shingle sets of a similarity (Jaccard) of 0.8 differ in on average, and 10
-    of the first 64 bits are searched for.
+    Links are pairs of a Jaccard similarity of 0.8 or more of their sets of 5-word shingles, each compared exactly. Candidates are
+    SimHash groups (19 of 128 bits, which such sets differ in on average; 10 of the first 64 are searched) and MinHash bands.
     """
-    return simhash.deduplicated(docs, bits=10, words=5, wide=19)
+    return simhash.deduplicated(docs, bits=10, words=5, wide=19, alike=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

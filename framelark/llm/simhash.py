@@ -9,6 +9,10 @@ and more keys; all of them find every pair.
 
 A second fingerprint by another seed can widen the full Hamming check to 128 bits: with a larger k, chance alone would bring some
 of very many documents within k bits of 64.
+
+``alike_dups`` links by the exact Jaccard similarity of shingle sets. SimHash groups are candidates there, and as distances of
+fingerprints scatter, so are the sets that share all minima of one of BANDS bands of ROWS minima: of pairs alike by 0.8 all but
+3 in 100,000. Every candidate pair is compared as sets of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,6 +33,9 @@ BLOCK = 4096
 MATRIX, LINKS = 1024, 4
 #: Seeds of the fingerprint and of the second one; nanoseconds that a key's row and a compared pair take.
 SEEDS, ROW_NS, PAIR_NS = (42, 43), 3000, 5
+#: Bands, and minima of a band; their sets' hashes are odd multiples of the shingles'.
+BANDS, ROWS = 20, 4
+ODD = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def bounds(bits: int) -> list[tuple[int, int]]:
@@ -37,26 +44,30 @@ def bounds(bits: int) -> list[tuple[int, int]]:
     return [(64 * i // m, 64 * (i + 1) // m - 64 * i // m) for i in range(m)]
 
 
+def shingles(text: str | None, words: int) -> list[bytes]:
+    """The word shingles of the whole text, A-Z lower-cased, repeats included; with fewer words the one of all of them, without words none."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII letters and ASCII blanks alone
+    if len(tokens) <= words:
+        return [b" ".join(tokens)] if tokens else []
+    joined = b" ".join(tokens)
+    ends = np.cumsum([len(t) + 1 for t in tokens])
+    starts = np.concatenate(([0], ends[:-1]))[: len(tokens) - words + 1].tolist()
+    return [joined[a:b] for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())]
+
+
 def fingerprints(text: str | None, words: int = 4, seeds: tuple[int, ...] = SEEDS[:1]) -> list[int]:
     """SimHashes over XXH64, one for each seed, of the word shingles of the whole text, A-Z lower-cased; 0 without words."""
     from xxhash import xxh64_intdigest
 
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII letters and ASCII blanks alone
-    if not tokens:
+    found = shingles(text, words)
+    if not found:
         return [0] * len(seeds)
-    joined = b" ".join(tokens)
-    n = len(tokens) - words + 1
-    if n <= 1:
-        shingles, n = [joined], 1
-    else:
-        ends = np.cumsum([len(t) + 1 for t in tokens])
-        starts = np.concatenate(([0], ends[:-1]))[:n].tolist()
-        shingles = [joined[a:b] for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())]
+    n = len(found)
     out = []
     for seed in seeds:
         ones = np.zeros(64, dtype=np.int64)
         for i in range(0, n, 1 << 16):  # bounds the memory of very long texts
-            hashes = np.array([xxh64_intdigest(s, seed) for s in shingles[i : i + (1 << 16)]], dtype=np.uint64)
+            hashes = np.array([xxh64_intdigest(s, seed) for s in found[i : i + (1 << 16)]], dtype=np.uint64)
             ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         out.append(int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big"))
     return out
@@ -187,6 +198,15 @@ def _links(bits: int, wide: int | None):
     return run
 
 
+def in_blocks(keys: DataFrame, crowded: DataFrame, member: str) -> DataFrame:
+    """keys in buckets ``crowded(key_no, key, count)``, with ``b``: a bucket of more than BLOCK members is one for each pair of its blocks."""
+    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
+    keys = keys.join(crowded.select("key_no", "key", blocks.alias("blocks")), ["key_no", "key"])
+    mine = F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j")))
+    return keys.withColumn("b", F.explode(pairs))
+
+
 def fingerprint_links(fps: DataFrame, bits: int = 4, wide: int | None = None, chain: int | None = None) -> DataFrame:
     """``u, v``: links between distinct fingerprints ``fps(fp)`` that connect all that differ in at most ``bits`` bits.
 
@@ -199,15 +219,20 @@ def fingerprint_links(fps: DataFrame, bits: int = 4, wide: int | None = None, ch
         chain = chain_for(fps.count(), bits)
     keys = keyed(fps, chain, bits)
     crowded = saved(keys.groupBy("key_no", "key").count().where(F.col("count") > 1), "simhash-buckets")
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    keys = keys.join(crowded.select("key_no", "key", blocks.alias("blocks")), ["key_no", "key"])
-    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j")))
-    keys = keys.withColumn("b", F.explode(pairs))
+    keys = in_blocks(keys, crowded, "fp")
     buckets = keys.groupBy("key_no", "key", "b").agg(F.collect_list(F.struct(*fps.columns)).alias("fps")).select("fps")
     return buckets.mapInArrow(_links(bits, wide), "u long, v long")
 
 
+def rooted_prints(prints: DataFrame, bits: int, wide: int | None) -> DataFrame:
+    """``fp, least_id, root`` of ``prints(doc_id, fp)``, with ``wide`` also ``fp2``: the component of each fingerprint, and its smallest doc_id."""
+    both = ("fp", "fp2") if wide else ("fp",)
+    classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), *(F.min(c).alias(c) for c in both[1:])), "simhash-classes")
+    roots = components(fingerprint_links(classes.select(*both), bits, wide))
+    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    return saved(rooted, "simhash-rooted")
+
+
 def near_dups(docs: DataFrame, bits: int = 4, words: int = 4, wide: int | None = None) -> DataFrame:
     """One row a document: ``doc_id, fp, component_id``: the smallest doc_id that links reach, itself included.
 
@@ -219,26 +244,138 @@ def near_dups(docs: DataFrame, bits: int = 4, words: int = 4, wide: int | None =
     """
     both = ("fp", "fp2") if wide else ("fp",)
     prints = saved(with_fingerprints(docs.select("doc_id", "text"), words, both).drop("text"), "simhash-prints")
-    classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), *(F.min(c).alias(c) for c in both[1:])), "simhash-classes")
-    roots = components(fingerprint_links(classes.select(*both), bits, wide))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    rooted = saved(rooted, "simhash-rooted")
+    rooted = rooted_prints(prints, bits, wide)
     # written, so that the join to a component of very many fingerprints can be split
     groups = saved(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-groups")
     ids = saved(rooted.join(groups, "root").select("fp", "component_id"), "simhash-components")
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct XXH64 hashes of a text's shingles, in order."""
+    from xxhash import xxh64_intdigest
+
+    return np.unique(np.array([xxh64_intdigest(s, SEEDS[0]) for s in shingles(text, words)], dtype=np.uint64))
+
+
+def set_id(hashes: np.ndarray) -> int:
+    """64 bits that stand for a shingle set; 0 for the empty one."""
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(hashes.tobytes()) if len(hashes) else 0
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """A key for each band; none for the empty set."""
+    from xxhash import xxh64_intdigest
+
+    if not len(hashes):
+        return []
+    least = np.full(len(ODD), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(hashes), 1 << 12):  # bounds the memory of very long texts
+        least = np.minimum(least, (hashes[i : i + (1 << 12), None] * ODD).min(axis=0))
+    return [xxh64_intdigest(b.tobytes()) for b in least.reshape(BANDS, ROWS)]
+
+
+def _long(values) -> np.ndarray:
+    return np.array(values, dtype=np.uint64).view(np.int64)
+
+
+def with_sets(docs: DataFrame, words: int, whole: bool) -> DataFrame:
+    """docs and ``set_id``, and the set itself as ``hashes`` (whole) or its ``bands``."""
+    small_batches(docs.sparkSession)
+    name = "hashes" if whole else "bands"
+
+    @F.pandas_udf(f"set_id long, {name} array<long>")
+    def columns(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t, words) for t in texts]
+        return pd.DataFrame({"set_id": _long([set_id(x) for x in sets]), name: [x.view(np.int64) if whole else _long(bands(x)) for x in sets]})
+
+    return docs.withColumn("_fl_set", columns(F.col("text"))).select(*(F.col(f"`{c}`") for c in docs.columns), "_fl_set.*")
+
+
+def alike_links(sets: list[np.ndarray], alike: float):
+    """Index pairs that join all of ``sets`` that are joined by pairs of a Jaccard similarity of at least ``alike``.
+
+    Breadth first, each reached one against those not yet reached.
+    """
+    sizes = np.array([len(x) for x in sets])
+    left = np.arange(len(sets))
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            one = queue.pop()
+            fits = np.flatnonzero(np.minimum(sizes[left], sizes[one]) >= alike * np.maximum(sizes[left], sizes[one]) * (1 - 1e-9))
+            if not len(fits):
+                continue
+            others = left[fits]
+            joined = np.concatenate([sets[o] for o in others])
+            at = np.minimum(np.searchsorted(sets[one], joined), sizes[one] - 1)
+            common = np.add.reduceat((sets[one][at] == joined).astype(np.int64), np.concatenate(([0], np.cumsum(sizes[others])[:-1])))
+            hit = common / (sizes[others] + sizes[one] - common) >= alike
+            for other in others[hit]:
+                yield int(one), int(other)
+            queue.extend(others[hit])
+            left = np.delete(left, fits[hit])
+
+
+def _alike(alike: float):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = []
+            for members in batch.column(0):
+                ids = members.values.field(0).to_numpy()
+                hashes = members.values.field(1)
+                sets = [hashes[i].values.to_numpy().view(np.uint64) for i in range(len(ids))]
+                found.extend((int(ids[a]), int(ids[b])) for a, b in alike_links(sets, alike))
+            stars = list(forest(found))
+            if stars:
+                u, v = zip(*stars)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
+
+
+def alike_dups(docs: DataFrame, bits: int, words: int, wide: int, alike: float) -> DataFrame:
+    """One row a document: ``doc_id, component_id``: the smallest doc_id that links of a Jaccard similarity of at least ``alike`` reach.
+
+    Candidates are the groups of ``near_dups`` and the bands' buckets. Equal shingle sets are linked, empty ones too; else as ``near_dups``.
+    """
+    prints = with_sets(with_fingerprints(docs.select("doc_id", "text"), words, ("fp", "fp2")), words, whole=False).drop("text")
+    prints = saved(prints, "alike-prints")
+    rooted = rooted_prints(prints, bits, wide).select("fp", "root")
+    classes = saved(prints.groupBy("set_id").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands")), "alike-classes")
+    some = F.col("set_id") != 0
+    by_band = classes.where(some).select("set_id", F.posexplode("bands").alias("key_no", "key"))
+    grouped = prints.where(some).select("set_id", "fp").distinct().join(rooted, "fp").select("set_id", F.lit(-1).alias("key_no"), F.col("root").alias("key")).distinct()
+    keys = saved(by_band.unionByName(grouped), "alike-keys")
+    crowded = saved(keys.groupBy("key_no", "key").count().where(F.col("count") > 1), "alike-buckets")
+    keys = saved(in_blocks(keys, crowded, "set_id"), "alike-members")
+    # a set comes from the text of any document that has it
+    members = saved(keys.select("set_id").distinct().join(classes.select("set_id", "least_id"), "set_id"), "alike-sets-wanted")
+    held = docs.select("doc_id", "text").join(members.select(F.col("least_id").alias("_fl_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_fl_id")), "left_semi")
+    sets = with_sets(held.select("text"), words, whole=True).select("set_id", "hashes").join(members.select("set_id"), "set_id", "left_semi")
+    sets = saved(sets.dropDuplicates(["set_id"]), "alike-sets")
+    buckets = keys.join(sets, "set_id").groupBy("key_no", "key", "b").agg(F.collect_list(F.struct("set_id", "hashes")).alias("sets")).select("sets")
+    roots = components(buckets.mapInArrow(_alike(alike), "u long, v long"))
+    rooted = saved(classes.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "least_id", F.coalesce("root", "set_id").alias("root")), "alike-rooted")
+    groups = saved(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "alike-groups")
+    ids = saved(rooted.join(groups, "root").select("set_id", "component_id"), "alike-components")
+    return prints.join(ids, "set_id").select("doc_id", "component_id")
+
+
 def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def deduplicated(docs: DataFrame, bits: int = 4, words: int = 4, wide: int | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame, bits: int = 4, words: int = 4, wide: int | None = None, alike: float | None = None) -> DataFrame:
     """docs without near copies: of each group the row with the smallest doc_id stays, once if the row is repeated.
 
-    Rows with a null doc_id stay if their group has no id; all of them then.
+    With ``alike``, which needs ``wide``, groups are those of ``alike_dups``, else of ``near_dups``. Rows with a null doc_id stay if their group has no id; all of them then.
     """
-    found = near_dups(docs, bits, words, wide)
+    found = near_dups(docs, bits, words, wide) if alike is None else alike_dups(docs, bits, words, wide, alike)
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_fl_id")).distinct()
     kept = docs.join(keep, F.col("doc_id") == F.col("_fl_id"), "left_semi").dropDuplicates(["doc_id"])
     nameless = found.where("doc_id is null and component_id is null").limit(1).count()

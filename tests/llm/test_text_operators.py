@@ -215,6 +215,39 @@ def test_simhash_empty_and_dedup(spark, docs):
     assert len(ids) == len(set(ids)) and 200 not in ids and 0 in ids and 5 in ids
 
 
+def test_alike_links_are_exact(spark):
+    rng = np.random.default_rng(11)
+    rows, grams = [], lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    for i in range(60):
+        base = [f"w{int(x)}" for x in rng.integers(0, 5000, 120)]
+        rows.append((10 * i, base))
+        for k in range(1, 4):  # single changes of words: similarities from about 0.6 to 0.95
+            other = list(base)
+            for p in rng.choice(120, int(rng.integers(1, 6)), replace=False):
+                other[p] = f"v{i}x{k}x{p}"
+            rows.append((10 * i + k, other))
+    sets = {d: grams(t) for d, t in rows}
+    alike = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    expected = brute_components(alike, list(sets))
+    table = [(d, " ".join(t)) for d, t in rows] + [(5000, None), (5001, " \n"), (5002, "w1 w2"), (5003, "W1  w2"), (None, "a text of its own here"), (5004, rows[0][1] and " ".join(rows[0][1]))]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.alike_dups(df, 10, 5, 19, 0.8).collect()}
+    assert (got.pop(5000), got.pop(5001), got.pop(5002), got.pop(5003), got.pop(5004), got.pop(None)) == (5000, 5000, 5002, 5002, 0, None)
+    assert got == expected
+    kept = {r.doc_id for r in simhash.deduplicated(df, bits=10, words=5, wide=19, alike=0.8).collect()}
+    assert kept == {d for d, c in expected.items() if d == c} | {5000, 5002, None}
+    by_bits = {r.doc_id for r in simhash.deduplicated(df, bits=10, words=5, wide=19).collect()}
+    assert by_bits - kept and kept - by_bits  # bits alone lose such pairs and link others
+
+
+def test_alike_links_of_a_crowded_bucket(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base[:p] + [f"x{i}"] + base[p + 1 :])) for i, p in enumerate(range(0, 200, 4))]
+    got = {r.component_id for r in simhash.alike_dups(spark.createDataFrame(rows, "doc_id long, text string"), 10, 5, 19, 0.8).collect()}
+    assert got == {0}
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(1000, 1000 + i) for i in range(1, 60)] + [(7, 7), (2000, 2001), (2001, 2000), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long").repartition(6)).collect()}
