@@ -152,12 +152,14 @@ def near(one: int, others: np.ndarray, fps: np.ndarray, second: np.ndarray | Non
     return hit[good]
 
 
-def bucket_links(fps: np.ndarray, bits: int, second: np.ndarray | None = None, wide: int = 128):
+def bucket_links(fps: np.ndarray, bits: int, second: np.ndarray | None = None, wide: int = 128, ids: np.ndarray | None = None):
     """Links that join all of a bucket that is joined by links within it.
 
     Few links are found as one matrix. Where there are many it goes breadth first, each reached one against those not yet reached:
-    copies of one text reach each other in one step, so a crowded bucket costs little more than its size.
+    copies of one text reach each other in one step, so a crowded bucket costs little more than its size. Links are of ``ids``,
+    without them of the fingerprints themselves.
     """
+    ids = fps if ids is None else ids
     if len(fps) <= MATRIX:
         apart = np.bitwise_count(fps[:, None] ^ fps[None, :])
         linked = np.triu(apart <= bits, 1)
@@ -165,7 +167,7 @@ def bucket_links(fps: np.ndarray, bits: int, second: np.ndarray | None = None, w
             a, b = np.nonzero(linked)
             linked[a, b] = apart[a, b].astype(np.int16) + np.bitwise_count(second[a] ^ second[b]) <= wide
         if np.count_nonzero(linked) <= LINKS * len(fps):
-            yield from zip(*(fps[x].tolist() for x in np.nonzero(linked)))
+            yield from zip(*(ids[x].tolist() for x in np.nonzero(linked)))
             return
     left = np.arange(len(fps))
     while len(left):
@@ -175,7 +177,7 @@ def bucket_links(fps: np.ndarray, bits: int, second: np.ndarray | None = None, w
             hit = near(one, left, fps, second, bits, wide)
             if len(hit):
                 for other in left[hit]:
-                    yield int(fps[one]), int(fps[other])
+                    yield int(ids[one]), int(ids[other])
                 queue.extend(left[hit])
                 left = np.delete(left, hit)
 
@@ -187,9 +189,11 @@ def _links(bits: int, wide: int | None):
         for batch in batches:
             found = []
             for members in batch.column(0):
-                own = [np.array(members.values.field(i).to_numpy(), dtype=np.int64).view(np.uint64) for i in range(2 if wide else 1)]
-                fps, first = np.unique(own[0], return_index=True)
-                found.extend(bucket_links(fps, bits, own[1][first] if wide else None, wide or 128))
+                own = [np.array(members.values.field(i).to_numpy(), dtype=np.int64).view(np.uint64) for i in range(3 if wide else 1)]
+                if wide:
+                    found.extend(bucket_links(own[0], bits, own[1], wide, own[2]))
+                else:
+                    found.extend(bucket_links(np.unique(own[0]), bits))
             stars = list(forest(found))
             if stars:
                 u, v = (np.array(x, dtype=np.uint64).view(np.int64) for x in zip(*stars))
@@ -210,7 +214,7 @@ def in_blocks(keys: DataFrame, crowded: DataFrame, member: str) -> DataFrame:
 def fingerprint_links(fps: DataFrame, bits: int = 4, wide: int | None = None, chain: int | None = None) -> DataFrame:
     """``u, v``: links between distinct fingerprints ``fps(fp)`` that connect all that differ in at most ``bits`` bits.
 
-    With ``fps(fp, fp2)`` and ``wide`` also at most ``wide`` bits of both together. Not all such pairs: within a bucket only
+    With ``fps(fp, fp2, node)`` and ``wide``, links between nodes, also at most ``wide`` bits of both together. Not all such pairs: within a bucket only
     as many as connect it. A bucket of more than BLOCK fingerprints becomes one bucket for each pair of its blocks, so no
     task gathers more than two blocks of a key.
     """
@@ -219,24 +223,33 @@ def fingerprint_links(fps: DataFrame, bits: int = 4, wide: int | None = None, ch
         chain = chain_for(fps.count(), bits)
     keys = keyed(fps, chain, bits)
     crowded = saved(keys.groupBy("key_no", "key").count().where(F.col("count") > 1), "simhash-buckets")
-    keys = in_blocks(keys, crowded, "fp")
+    keys = in_blocks(keys, crowded, fps.columns[-1])
     buckets = keys.groupBy("key_no", "key", "b").agg(F.collect_list(F.struct(*fps.columns)).alias("fps")).select("fps")
     return buckets.mapInArrow(_links(bits, wide), "u long, v long")
 
 
 def rooted_prints(prints: DataFrame, bits: int, wide: int | None) -> DataFrame:
-    """``fp, least_id, root`` of ``prints(doc_id, fp)``, with ``wide`` also ``fp2``: the component of each fingerprint, and its smallest doc_id."""
+    """``fp, least_id, root`` of ``prints(doc_id, fp)``, with ``wide`` also ``fp2``: the component of each class, and its smallest doc_id.
+
+    Classes are of equal fingerprints, of both with ``wide``; those of equal ``fp`` are linked too.
+    """
     both = ("fp", "fp2") if wide else ("fp",)
-    classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), *(F.min(c).alias(c) for c in both[1:])), "simhash-classes")
-    roots = components(fingerprint_links(classes.select(*both), bits, wide))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    return saved(rooted, "simhash-rooted")
+    node = F.xxhash64(*both) if wide else F.col("fp")
+    classes = saved(prints.groupBy(*both).agg(F.min("doc_id").alias("least_id")).withColumn("_fl_node", node), "simhash-classes")
+    if wide:
+        links = fingerprint_links(classes.select(*both, F.col("_fl_node").alias("node")), bits, wide)
+        least = classes.groupBy("fp").agg(F.min("_fl_node").alias("v"), F.count("*").alias("n")).where("n > 1")
+        links = links.unionByName(classes.join(least, "fp").select(F.col("_fl_node").alias("u"), "v"))
+    else:
+        links = fingerprint_links(classes.select("fp"), bits)
+    rooted = classes.join(components(links), F.col("_fl_node") == F.col("node"), "left")
+    return saved(rooted.select(*both, "least_id", F.coalesce("root", "_fl_node").alias("root")), "simhash-rooted")
 
 
 def near_dups(docs: DataFrame, bits: int = 4, words: int = 4, wide: int | None = None) -> DataFrame:
     """One row a document: ``doc_id, fp, component_id``: the smallest doc_id that links reach, itself included.
 
-    With ``wide``, links must also be within that many bits of 128; documents with one fingerprint share the least second one.
+    With ``wide``, links must also be within that many bits of 128; each pair of fingerprints that occurs is compared.
     Documents with equal fingerprints are linked; null, empty and blank texts have fingerprint 0 and are linked like
     any other. Fewer words than a shingle: the whole sequence is the one shingle. A null doc_id counts for no
     component's id (null if a component has no other). Repeated rows stay. An empty table gives no rows. Other
@@ -247,8 +260,8 @@ def near_dups(docs: DataFrame, bits: int = 4, words: int = 4, wide: int | None =
     rooted = rooted_prints(prints, bits, wide)
     # written, so that the join to a component of very many fingerprints can be split
     groups = saved(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-groups")
-    ids = saved(rooted.join(groups, "root").select("fp", "component_id"), "simhash-components")
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = saved(rooted.join(groups, "root").select(*both, "component_id"), "simhash-components")
+    return prints.join(ids, list(both)).select("doc_id", "fp", "component_id")
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -345,11 +358,11 @@ def alike_dups(docs: DataFrame, bits: int, words: int, wide: int, alike: float)
     """
     prints = with_sets(with_fingerprints(docs.select("doc_id", "text"), words, ("fp", "fp2")), words, whole=False).drop("text")
     prints = saved(prints, "alike-prints")
-    rooted = rooted_prints(prints, bits, wide).select("fp", "root")
+    rooted = rooted_prints(prints, bits, wide).select("fp", "fp2", "root")
     classes = saved(prints.groupBy("set_id").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands")), "alike-classes")
     some = F.col("set_id") != 0
     by_band = classes.where(some).select("set_id", F.posexplode("bands").alias("key_no", "key"))
-    grouped = prints.where(some).select("set_id", "fp").distinct().join(rooted, "fp").select("set_id", F.lit(-1).alias("key_no"), F.col("root").alias("key")).distinct()
+    grouped = prints.where(some).select("set_id", "fp", "fp2").distinct().join(rooted, ["fp", "fp2"]).select("set_id", F.lit(-1).alias("key_no"), F.col("root").alias("key")).distinct()
     keys = saved(by_band.unionByName(grouped), "alike-keys")
     crowded = saved(keys.groupBy("key_no", "key").count().where(F.col("count") > 1), "alike-buckets")
     keys = saved(in_blocks(keys, crowded, "set_id"), "alike-members")

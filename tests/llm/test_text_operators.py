@@ -248,6 +248,15 @@ def test_alike_links_of_a_crowded_bucket(spark, monkeypatch):
     assert got == {0}
 
 
+def test_each_second_fingerprint_is_compared(spark):
+    far = (1 << 40) - 1
+    rows = [(1, 0, far), (2, 0, 0), (3, 31, far), (4, 1 << 62, 1 << 62), (5, 31 << 30, 255 << 50)]
+    got = {r.fp: r.root for r in simhash.rooted_prints(spark.createDataFrame(rows, "doc_id long, fp long, fp2 long"), 10, 19).collect()}
+    assert got[31] == got[0] == got[1 << 62] == got[31 << 30]
+    roots = {(r.fp, r.fp2): r.root for r in simhash.rooted_prints(spark.createDataFrame(rows[1:3], "doc_id long, fp long, fp2 long"), 10, 19).collect()}
+    assert roots[0, 0] != roots[31, far]
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(1000, 1000 + i) for i in range(1, 60)] + [(7, 7), (2000, 2001), (2001, 2000), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long").repartition(6)).collect()}
