@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -10,8 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side that was counted may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows, and bytes of their text, binary and array columns, up to which a side that was measured may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 _own: dict[str, str] = {}
 
@@ -31,15 +32,41 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[context.applicationId]
 
 
+def _hadoop(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; what is written there goes when the application ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    files, hadoop = _hadoop(spark, path)
+    files.deleteOnExit(hadoop)
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Give back the disk of a path that nothing reads any more."""
+    files, hadoop = _hadoop(spark, path)
+    files.delete(hadoop, True)
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings, dots as ``__``, for the plans that are made and run within."""
+    before = {k.replace("__", "."): spark.conf.get(k.replace("__", "."), None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k.replace("__", "."), v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it again."""
     spark = df.sparkSession
@@ -48,9 +75,23 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if df, which must be cheap to count, has at most ``limit`` rows; else leave the join to the planner."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _bytes(df: DataFrame):
+    """Column: about how many bytes a row of df takes."""
+    sizes = [F.lit(8 * len(df.columns))]
+    for field in df.schema:
+        kind, c = field.dataType.typeName(), F.col(f"`{field.name}`")
+        if kind in ("string", "binary"):
+            sizes.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif kind == "array":
+            each = {"string": 32, "binary": 32}.get(field.dataType.elementType.typeName(), 16)
+            sizes.append(F.greatest(F.size(c), F.lit(0)) * each)
+    return sum(sizes[1:], sizes[0])
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast if df, which must be cheap to read, is within the bounds; else leave the join to the planner."""
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(_bytes(df)), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -58,7 +99,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """From now on at most so many rows go to Python at once: batches of whole, maybe very long, texts must fit a worker's memory."""
+    """From now on at most so many rows go to Python at once: batches of whole, maybe very long, texts must fit a worker's memory.
+
+    Stays set in the session, as plans are made when their results are read: after the operator that needs it has returned.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +11,15 @@ from .common import saved
 
 #: Keys over which the edges of one node are dealt where its smallest neighbour is sent along them.
 SALTS = 16
+#: Nodes up to which a task gathers its edges in a forest before it sends the stars on.
+FOREST = 500_000
+
 
+def forest(pairs, limit: int = FOREST):
+    """Spanning stars ``(node, root)`` of an iterable of pairs, by union-find; root is the smallest node.
 
-def forest(pairs):
-    """Spanning stars ``(node, root)`` of an iterable of pairs, by union-find; root is the smallest node."""
+    From ``limit`` nodes on the stars so far are sent on and forgotten, which bounds the memory: all stars together connect what the pairs connect.
+    """
     parent: dict = {}
 
     def find(x):
@@ -23,6 +30,11 @@ def forest(pairs):
             parent[x], x = root, parent[x]
         return root
 
+    def stars():
+        for x in parent:
+            if (root := find(x)) != x:
+                yield x, root
+
     for a, b in pairs:
         parent.setdefault(a, a)
         parent.setdefault(b, b)
@@ -31,9 +43,10 @@ def forest(pairs):
             if b < a:
                 a, b = b, a
             parent[b] = a
-    for x in list(parent):
-        if (root := find(x)) != x:
-            yield x, root
+        if len(parent) >= limit:
+            yield from stars()
+            parent.clear()
+    yield from stars()
 
 
 def _contract(batches):
@@ -44,9 +57,9 @@ def _contract(batches):
         for batch in batches:
             yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
 
-    stars = list(forest(edges()))
-    for i in range(0, len(stars), 65536):
-        u, v = zip(*stars[i : i + 65536])
+    stars = forest(edges())
+    while some := list(islice(stars, 65536)):
+        u, v = zip(*some)
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 

@@ -7,7 +7,7 @@ differ within those budgets are left out of the key (a wildcard pattern), the ot
 the prefix budgets are tested before the full Hamming distance. Longer chains give longer keys, so fewer chance candidates,
 and more keys; all of them find every pair.
 
-A second fingerprint by another seed can widen the full Hamming check to 128 bits: with a larger k, chance alone would bring some
+A second fingerprint, of mixed hashes, can widen the full Hamming check to 128 bits: with a larger k, chance alone would bring some
 of very many documents within k bits of 64.
 
 ``alike_dups`` links by the exact Jaccard similarity of shingle sets. SimHash groups are candidates there, and as distances of
@@ -24,15 +24,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches
+from .common import bounded, saved, small_batches
 from .components import components, forest
 
-#: Fingerprints that one task compares at a time; larger buckets are compared block against block, in more tasks.
-BLOCK = 4096
+#: Fingerprints, and hashes of shingle sets, that a block has at most or so; larger buckets are compared block against block, in more tasks.
+BLOCK, BLOCK_HASHES = 4096, 4 << 20
 #: Fingerprints of a bucket that are compared as one matrix, and links of each up to which its links are walked singly.
 MATRIX, LINKS = 1024, 4
-#: Seeds of the fingerprint and of the second one; nanoseconds that a key's row and a compared pair take.
-SEEDS, ROW_NS, PAIR_NS = (42, 43), 3000, 5
+#: Seed of the hashes; nanoseconds that a key's row and a compared pair take.
+SEED, ROW_NS, PAIR_NS = 42, 3000, 5
 #: Bands, and minima of a band; their sets' hashes are odd multiples of the shingles'.
 BANDS, ROWS = 20, 4
 ODD = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -55,36 +55,45 @@ def shingles(text: str | None, words: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())]
 
 
-def fingerprints(text: str | None, words: int = 4, seeds: tuple[int, ...] = SEEDS[:1]) -> list[int]:
-    """SimHashes over XXH64, one for each seed, of the word shingles of the whole text, A-Z lower-cased; 0 without words."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of each word shingle of the whole text."""
     from xxhash import xxh64_intdigest
 
-    found = shingles(text, words)
-    if not found:
-        return [0] * len(seeds)
-    n = len(found)
-    out = []
-    for seed in seeds:
-        ones = np.zeros(64, dtype=np.int64)
-        for i in range(0, n, 1 << 16):  # bounds the memory of very long texts
-            hashes = np.array([xxh64_intdigest(s, seed) for s in found[i : i + (1 << 16)]], dtype=np.uint64)
-            ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big"))
-    return out
+    return np.array([xxh64_intdigest(s, SEED) for s in shingles(text, words)], dtype=np.uint64)
+
+
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles, a bijection whose bits do not follow those of the first."""
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        hashes = (hashes ^ (hashes >> np.uint64(shift))) * np.uint64(odd)
+    return hashes ^ (hashes >> np.uint64(31))
+
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are 1 in over half the hashes; 0 of none."""
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), 1 << 16):  # bounds the memory of very long texts
+        ones += np.unpackbits(hashes[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
-def fingerprint(text: str | None, words: int = 4, seed: int = SEEDS[0]) -> int:
-    return fingerprints(text, words, (seed,))[0]
+
+def fingerprints(text: str | None, words: int = 4, n: int = 1) -> list[int]:
+    """The SimHash of the word shingles of the whole text, A-Z lower-cased, and (n = 2) the one of their mixed hashes; 0 without words."""
+    hashes = shingle_hashes(text, words)
+    return [majority(hashes), majority(mixed(hashes))][:n] if n > 1 else [majority(hashes)]
+
+
+def fingerprint(text: str | None, words: int = 4) -> int:
+    return fingerprints(text, words)[0]
 
 
 def with_fingerprints(docs: DataFrame, words: int = 4, names: tuple[str, ...] = ("fp",)) -> DataFrame:
-    """docs and a column for each name: the fingerprint by each seed, as a signed long with the same 64 bits."""
+    """docs and a column for each of one or two names: the fingerprints, as signed longs with the same 64 bits."""
     small_batches(docs.sparkSession)
-    seeds = SEEDS[: len(names)]
 
     @F.pandas_udf(", ".join(f"{n} long" for n in names))
     def columns(texts: pd.Series) -> pd.DataFrame:
-        rows = np.array([fingerprints(t, words, seeds) for t in texts], dtype=np.uint64).reshape(-1, len(seeds)).view(np.int64)
+        rows = np.array([fingerprints(t, words, len(names)) for t in texts], dtype=np.uint64).reshape(-1, len(names)).view(np.int64)
         return pd.DataFrame(rows, columns=list(names))
 
     return docs.withColumn("_fl_prints", columns(F.col("text"))).select(*(F.col(f"`{c}`") for c in docs.columns if c not in names), "_fl_prints.*")
@@ -203,9 +212,8 @@ def _links(bits: int, wide: int | None):
 
 
 def in_blocks(keys: DataFrame, crowded: DataFrame, member: str) -> DataFrame:
-    """keys in buckets ``crowded(key_no, key, count)``, with ``b``: a bucket of more than BLOCK members is one for each pair of its blocks."""
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    keys = keys.join(crowded.select("key_no", "key", blocks.alias("blocks")), ["key_no", "key"])
+    """keys in buckets ``crowded(key_no, key, blocks)``, with ``b``: a bucket of more than one block is one for each pair of its blocks."""
+    keys = keys.join(crowded.select("key_no", "key", F.col("blocks").cast("int").alias("blocks")), ["key_no", "key"])
     mine = F.pmod(F.xxhash64(member), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j")))
     return keys.withColumn("b", F.explode(pairs))
@@ -222,7 +230,8 @@ def fingerprint_links(fps: DataFrame, bits: int = 4, wide: int | None = None, ch
     if chain is None:
         chain = chain_for(fps.count(), bits)
     keys = keyed(fps, chain, bits)
-    crowded = saved(keys.groupBy("key_no", "key").count().where(F.col("count") > 1), "simhash-buckets")
+    crowded = keys.groupBy("key_no", "key").count().where(F.col("count") > 1)
+    crowded = saved(crowded.select("key_no", "key", F.ceil(F.col("count") / BLOCK).alias("blocks")), "simhash-buckets")
     keys = in_blocks(keys, crowded, fps.columns[-1])
     buckets = keys.groupBy("key_no", "key", "b").agg(F.collect_list(F.struct(*fps.columns)).alias("fps")).select("fps")
     return buckets.mapInArrow(_links(bits, wide), "u long, v long")
@@ -264,15 +273,8 @@ def near_dups(docs: DataFrame, bits: int = 4, words: int = 4, wide: int | None =
     return prints.join(ids, list(both)).select("doc_id", "fp", "component_id")
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """The distinct XXH64 hashes of a text's shingles, in order."""
-    from xxhash import xxh64_intdigest
-
-    return np.unique(np.array([xxh64_intdigest(s, SEEDS[0]) for s in shingles(text, words)], dtype=np.uint64))
-
-
 def set_id(hashes: np.ndarray) -> int:
-    """64 bits that stand for a shingle set; 0 for the empty one."""
+    """64 bits that stand for a shingle set, its distinct hashes in order; 0 for the empty one."""
     from xxhash import xxh64_intdigest
 
     return xxh64_intdigest(hashes.tobytes()) if len(hashes) else 0
@@ -294,15 +296,31 @@ def _long(values) -> np.ndarray:
     return np.array(values, dtype=np.uint64).view(np.int64)
 
 
-def with_sets(docs: DataFrame, words: int, whole: bool) -> DataFrame:
-    """docs and ``set_id``, and the set itself as ``hashes`` (whole) or its ``bands``."""
+def with_keys(docs: DataFrame, words: int) -> DataFrame:
+    """docs with both fingerprints ``fp, fp2``, ``set_id``, the set's size ``n`` and its ``bands``: the shingles are hashed once for all of them."""
     small_batches(docs.sparkSession)
-    name = "hashes" if whole else "bands"
 
-    @F.pandas_udf(f"set_id long, {name} array<long>")
+    @F.pandas_udf("fp long, fp2 long, set_id long, n long, bands array<long>")
     def columns(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t, words) for t in texts]
-        return pd.DataFrame({"set_id": _long([set_id(x) for x in sets]), name: [x.view(np.int64) if whole else _long(bands(x)) for x in sets]})
+        rows = []
+        for t in texts:
+            hashes = shingle_hashes(t, words)
+            own = np.unique(hashes)
+            rows.append((majority(hashes), majority(mixed(hashes)), set_id(own), len(own), _long(bands(own))))
+        fp, fp2, ids, n, keys = zip(*rows) if rows else ((), (), (), (), ())
+        return pd.DataFrame({"fp": _long(fp), "fp2": _long(fp2), "set_id": _long(ids), "n": np.array(n, dtype=np.int64), "bands": list(keys)})
+
+    return docs.withColumn("_fl_keys", columns(F.col("text"))).select(*(F.col(f"`{c}`") for c in docs.columns), "_fl_keys.*")
+
+
+def with_sets(docs: DataFrame, words: int) -> DataFrame:
+    """docs and ``set_id, hashes``: the set of shingle hashes, in order."""
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("set_id long, hashes array<long>")
+    def columns(texts: pd.Series) -> pd.DataFrame:
+        sets = [np.unique(shingle_hashes(t, words)) for t in texts]
+        return pd.DataFrame({"set_id": _long([set_id(x) for x in sets]), "hashes": [x.view(np.int64) for x in sets]})
 
     return docs.withColumn("_fl_set", columns(F.col("text"))).select(*(F.col(f"`{c}`") for c in docs.columns), "_fl_set.*")
 
@@ -351,32 +369,65 @@ def _alike(alike: float):
     return run
 
 
-def alike_dups(docs: DataFrame, bits: int, words: int, wide: int, alike: float) -> DataFrame:
-    """One row a document: ``doc_id, component_id``: the smallest doc_id that links of a Jaccard similarity of at least ``alike`` reach.
+def alike_prints(docs: DataFrame, bits: int, words: int, wide: int, alike: float) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, digest, set_id`` of each row, and ``set_id, root``: the groups that links of a Jaccard similarity of at least ``alike`` make of shingle sets.
 
-    Candidates are the groups of ``near_dups`` and the bands' buckets. Equal shingle sets are linked, empty ones too; else as ``near_dups``.
+    Candidates are the groups of ``near_dups`` and the bands' buckets.
     """
-    prints = with_sets(with_fingerprints(docs.select("doc_id", "text"), words, ("fp", "fp2")), words, whole=False).drop("text")
-    prints = saved(prints, "alike-prints")
+    text = docs.select("doc_id", "text", digest(F.col("text")).alias("digest"))
+    prints = saved(with_keys(text, words).drop("text"), "alike-prints")
     rooted = rooted_prints(prints, bits, wide).select("fp", "fp2", "root")
-    classes = saved(prints.groupBy("set_id").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands")), "alike-classes")
+    # a set comes from the text of one row that has it
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
+    classes = saved(prints.groupBy("set_id").agg(F.min(row).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands")), "alike-classes")
     some = F.col("set_id") != 0
-    by_band = classes.where(some).select("set_id", F.posexplode("bands").alias("key_no", "key"))
-    grouped = prints.where(some).select("set_id", "fp", "fp2").distinct().join(rooted, ["fp", "fp2"]).select("set_id", F.lit(-1).alias("key_no"), F.col("root").alias("key")).distinct()
+    by_band = classes.where(some).select("set_id", "n", F.posexplode("bands").alias("key_no", "key"))
+    grouped = prints.where(some).select("set_id", "n", "fp", "fp2").distinct().join(rooted, ["fp", "fp2"]).select("set_id", "n", F.lit(-1).alias("key_no"), F.col("root").alias("key")).distinct()
     keys = saved(by_band.unionByName(grouped), "alike-keys")
-    crowded = saved(keys.groupBy("key_no", "key").count().where(F.col("count") > 1), "alike-buckets")
+    # near copies share most bands: of buckets with the same members one is compared
+    members = [F.bit_xor(F.xxhash64("set_id")).alias("m1"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("m2")]
+    crowded = keys.groupBy("key_no", "key").agg(F.count("*").alias("count"), F.sum("n").alias("n"), *members).where("count > 1")
+    crowded = crowded.groupBy("count", "n", "m1", "m2").agg(F.min(F.struct("key_no", "key")).alias("k"))
+    blocks = F.greatest(F.ceil(F.col("count") / BLOCK), F.ceil(F.col("n") / BLOCK_HASHES))
+    crowded = saved(crowded.select("k.key_no", "k.key", blocks.alias("blocks")), "alike-buckets")
     keys = saved(in_blocks(keys, crowded, "set_id"), "alike-members")
-    # a set comes from the text of any document that has it
-    members = saved(keys.select("set_id").distinct().join(classes.select("set_id", "least_id"), "set_id"), "alike-sets-wanted")
-    held = docs.select("doc_id", "text").join(members.select(F.col("least_id").alias("_fl_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_fl_id")), "left_semi")
-    sets = with_sets(held.select("text"), words, whole=True).select("set_id", "hashes").join(members.select("set_id"), "set_id", "left_semi")
-    sets = saved(sets.dropDuplicates(["set_id"]), "alike-sets")
+    wanted = keys.select("set_id").distinct().join(classes.select("set_id", "row"), "set_id").select(F.col("row.doc_id").alias("_fl_id"), F.col("row.digest").alias("_fl_of"))
+    wanted = bounded(saved(wanted, "alike-wanted"))
+    held = docs.select("doc_id", "text", digest(F.col("text")).alias("digest"))
+    held = held.join(wanted, F.col("doc_id").eqNullSafe(F.col("_fl_id")) & (F.col("digest") == F.col("_fl_of")), "left_semi")
+    sets = with_sets(held.select("text"), words).select("set_id", "hashes").dropDuplicates(["set_id"])
     buckets = keys.join(sets, "set_id").groupBy("key_no", "key", "b").agg(F.collect_list(F.struct("set_id", "hashes")).alias("sets")).select("sets")
     roots = components(buckets.mapInArrow(_alike(alike), "u long, v long"))
-    rooted = saved(classes.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "least_id", F.coalesce("root", "set_id").alias("root")), "alike-rooted")
-    groups = saved(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "alike-groups")
-    ids = saved(rooted.join(groups, "root").select("set_id", "component_id"), "alike-components")
-    return prints.join(ids, "set_id").select("doc_id", "component_id")
+    found = classes.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", F.coalesce("root", "set_id").alias("root"))
+    return prints.select("doc_id", "digest", "set_id"), found
+
+
+def alike_dups(docs: DataFrame, bits: int, words: int, wide: int, alike: float) -> DataFrame:
+    """One row a document: ``doc_id, component_id``: the smallest doc_id that links of a Jaccard similarity of at least ``alike`` reach.
+
+    Equal shingle sets are linked, empty ones too; else as ``near_dups``.
+    """
+    prints, roots = alike_prints(docs, bits, words, wide, alike)
+    return with_first(prints, roots, "set_id").select("doc_id", F.col("first.doc_id").alias("component_id"))
+
+
+def digest(text: Column) -> Column:
+    """Column: 128 bits that stand for a text; null as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def with_first(prints: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """``prints(doc_id, digest, <node>)`` with ``first(nameless, doc_id, digest)`` of the group that ``roots(<node>, root)`` puts a row in.
+
+    The first row has the smallest doc_id (null is the last), of rows with that id the one of least digest. Groups are
+    aggregated over nodes, before the join to rows, so that a group of very many rows is split by the join.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.col("digest"))
+    nodes = prints.groupBy(node).agg(F.min(row).alias("first"))
+    rooted = saved(nodes.join(roots, node), "dup-rooted")
+    groups = saved(rooted.groupBy("root").agg(F.min("first").alias("first")), "dup-groups")
+    firsts = saved(rooted.select(node, "root").join(groups, "root").select(node, "first"), "dup-firsts")
+    return prints.join(firsts, node)
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -384,12 +435,30 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame, bits: int = 4, words: int = 4, wide: int | None = None, alike: float | None = None) -> DataFrame:
-    """docs without near copies: of each group the row with the smallest doc_id stays, once if the row is repeated.
+    """docs without near copies: of each group one row stays, that of the smallest doc_id; of several with that id the one whose text has the least digest.
 
-    With ``alike``, which needs ``wide``, groups are those of ``alike_dups``, else of ``near_dups``. Rows with a null doc_id stay if their group has no id; all of them then.
+    With ``alike``, which needs ``wide``, groups are those of ``alike_dups``, else of ``near_dups``. What goes is settled for each
+    pair of id and text, so unlike texts of one id each stay or go by their own group. Rows equal in id and text are one document, which
+    stays once (with the other columns of any of them). A null doc_id is after all others. An empty table gives no rows.
     """
-    found = near_dups(docs, bits, words, wide) if alike is None else alike_dups(docs, bits, words, wide, alike)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_fl_id")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("_fl_id"), "left_semi").dropDuplicates(["doc_id"])
-    nameless = found.where("doc_id is null and component_id is null").limit(1).count()
-    return kept.unionByName(docs.where("doc_id is null")) if nameless else kept
+    if alike is None:
+        both = ("fp", "fp2") if wide else ("fp",)
+        prints = with_fingerprints(docs.select("doc_id", "text", digest(F.col("text")).alias("digest")), words, both).drop("text")
+        node = F.xxhash64(*both) if wide else F.col("fp")
+        prints = saved(prints.withColumn("_fl_node", node), "simhash-prints")
+        roots = rooted_prints(prints, bits, wide).select(node.alias("_fl_node"), "root")
+        found = with_first(prints.select("doc_id", "digest", "_fl_node"), roots, "_fl_node")
+    else:
+        prints, roots = alike_prints(docs, bits, words, wide, alike)
+        found = with_first(prints, roots, "set_id")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    lost = saved(found.where(~same).select(F.col("doc_id").alias("_fl_id"), F.col("digest").alias("_fl_of")).distinct(), "dup-lost")
+    twice = saved(prints.groupBy(F.col("doc_id").alias("_fl_id"), F.col("digest").alias("_fl_of")).count().where("count > 1").drop("count"), "dup-twice")
+    rows = docs.withColumn("_fl_digest", digest(F.col("text")))
+    here = F.col("doc_id").eqNullSafe(F.col("_fl_id")) & (F.col("_fl_digest") == F.col("_fl_of"))
+    kept = rows.join(bounded(lost), here, "left_anti")
+    if twice.limit(1).count():
+        twice = bounded(twice)
+        once = kept.join(twice, here, "left_semi").dropDuplicates(["doc_id", "_fl_digest"])
+        kept = kept.join(twice, here, "left_anti").unionByName(once)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

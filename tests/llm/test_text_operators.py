@@ -215,6 +215,16 @@ def test_simhash_empty_and_dedup(spark, docs):
     assert len(ids) == len(set(ids)) and 200 not in ids and 0 in ids and 5 in ids
 
 
+@pytest.mark.parametrize("how", [{}, {"bits": 10, "wide": 19}, {"bits": 10, "wide": 19, "words": 5, "alike": 0.8}])
+def test_documents_of_a_repeated_id_stay_or_go_by_their_own_text(spark, how):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "y"), (7, b, "z"), (7, c, "z"), (7, c, "z"), (None, c, "z"), (None, a + " tail of another", "z"), (9, None, "z"), (10, "", "z"), (None, " ", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id string").repartition(3)
+    kept = sorted(((-1 if r.doc_id is None else r.doc_id, r.text) for r in simhash.deduplicated(df, **how).collect()), key=str)
+    assert [k for k in kept if k[1] is None or "tail" not in k[1]] == sorted([(1, a), (5, b), (7, c), (9, None)], key=str)
+    assert simhash.deduplicated(df.limit(0), **how).count() == 0 and simhash.deduplicated(df, **how).columns == df.columns
+
+
 def test_alike_links_are_exact(spark):
     rng = np.random.default_rng(11)
     rows, grams = [], lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
@@ -293,12 +303,32 @@ def test_runs_are_compacted_and_found_again(spark):
     rows = [(i, f"line number {i // 2} of these\nevery document has this line", "en", "s", 1) for i in range(80)]
     got = linededup.dedup_lines(spark.createDataFrame(rows, SCHEMA), batches=7).collect()
     assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got) == brute_lines(rows)
-    runs = linededup.LineRuns(spark)
-    for n in range(5):
-        runs.add(linededup.line_hashes(spark.createDataFrame([(n, f"a line of batch {n}\nshared by them all", "", "", 0)], SCHEMA)))
-    assert [len(level) for level in runs.levels] == [1, 0, 1]
-    assert sum(spark.table(r).count() for r in runs.runs()) == 6
-    runs.close()
+    before = set(t.name for t in spark.catalog.listTables())
+    with linededup.LineRuns(spark) as runs:
+        for n in range(5):
+            runs.add(linededup.line_hashes(spark.createDataFrame([(n, f"a line of batch {n}\nshared by them all", "", "", 0)], SCHEMA)))
+        assert [len(level) for level in runs.levels] == [1, 0, 1]
+        assert sum(runs.run(r).count() for r in runs.runs()) == 6
+        with linededup.settings(spark, **runs.READ):
+            probe = runs.joined(linededup.line_hashes(docs_of(spark, 9)))._jdf.queryExecution().toString()
+            merge = runs.merged(*runs.runs())._jdf.queryExecution().toString()
+        probe, merge = (p[p.index("== Physical Plan ==") :] for p in (probe, merge))
+        # a batch is dealt and sorted once however many runs there are; runs are read as they lie
+        assert probe.count("SortMergeJoin") == 2 and probe.count("Exchange") == 1 and len(re.findall(r"\bSort \[", probe)) == 1
+        assert "SortMergeJoin" in merge and "Exchange" not in merge and not re.findall(r"\bSort \[", merge)
+    assert set(t.name for t in spark.catalog.listTables()) == before
+
+
+def docs_of(spark, n):
+    return spark.createDataFrame([(n, "a line of batch 1", "", "", 0)], SCHEMA)
+
+
+def test_hot_null_ids_and_other_ids(spark):
+    rows = [(None, f"a line that all of them hold\nline of group {i // 3} here", "", "", 0) for i in range(60)] + [(3, "a line that all of them hold", "", "", 0)]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((1 << 63) - 1 if r.doc_id is None else r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got) == brute_lines(rows)
+    with pytest.raises(TypeError):
+        linededup.dedup_lines(spark.createDataFrame([("x", "y")], "doc_id string, text string"))
 
 
 def test_lines_empty_table(spark):
