@@ -1,4 +1,8 @@
-"""URL filters: a trie over reversed host labels and path segments, broadcast, with longest-match precedence."""
+"""URL filters: a trie over reversed host labels and path segments, broadcast, with longest-match precedence.
+
+Of the rules that fit a URL the one of the longest text counts, of equally long ones that of the longer host, of equal texts the
+one that blocks. The trie and the joins that stand in for it beyond its bound give the same rule.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rules up to which the trie is broadcast; more are joined as a table.
-TRIE_RULES = 500_000
+#: Rules, and characters of all their texts, up to which the trie is broadcast; more are joined as a table.
+TRIE_RULES, TRIE_TEXT = 500_000, 32 << 20
 
 
 @dataclass(frozen=True)
@@ -33,7 +37,7 @@ RULES = (Rule("block", "net/"), Rule("allow", "example.net/en/"), Rule("block",
 
 
 class Trie:
-    """Nodes are dicts; the labels of a host from its end, then the whole segments of a path, lead to ``""``: the starts of a next segment."""
+    """Nodes are dicts; the labels of a host from its end, then the whole segments of a path, lead to ``""``: the starts of a next segment, by their length."""
 
     def __init__(self, rules):
         self.root: dict = {}
@@ -44,22 +48,22 @@ class Trie:
             *whole, rest = rule.path.split("/")
             for segment in whole:
                 node = node.setdefault(("p", segment), {})
-            node.setdefault("", {})[rest] = rule
+            node.setdefault("", {}).setdefault(len(rest), {})[rest] = rule
 
     def match(self, host: str, path: str) -> Rule | None:
-        """The fitting rule of the longest text; None if none fits."""
-        best = None
-        node = self.root
+        """The fitting rule that counts; None if none fits. At each node one look-up for each length of a start that it has."""
+        best, rank = None, (-1, -1)
+        node, segments = self.root, path.split("/")
         for label in reversed(host.split(".")):
             node = node.get(("h", label))
             if node is None:
                 break
             below = node
-            segments = path.split("/")
             for n, segment in enumerate(segments):
-                for rest, rule in below.get("", {}).items():
-                    if "/".join(segments[n:]).startswith(rest) and (best is None or len(rule.text) > len(best.text)):
-                        best = rule
+                for length, starts in below.get("", {}).items():
+                    rule = starts.get(segment[:length]) if length <= len(segment) else None
+                    if rule is not None and (len(rule.text), len(rule.host)) > rank:
+                        best, rank = rule, (len(rule.text), len(rule.host))
                 if n + 1 < len(segments):
                     below = below.get(("p", segment))
                     if below is None:
@@ -81,13 +85,19 @@ def judged(urls: DataFrame, rules=RULES, default: str = "allow", url: str = "url
     """urls and ``host, path, rule, verdict``; columns of these names are replaced.
 
     Null urls and those without ``://`` have an empty host and path and fit no rule. No fitting rule: rule null and the
-    verdict ``default``. Of fitting rules the longest counts, of a block and an allow of equal text the block. Repeated
-    rows stay; an empty table gives no rows.
+    verdict ``default``. Which of several fitting rules counts: see above. ``rules`` are Rules, or a table ``verdict, text`` of any size
+    (rows with a null in either are no rules). Repeated rows stay; an empty table gives no rows.
     """
-    rules = tuple(rules)
     parts = urls.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    if len(rules) > TRIE_RULES:
-        return _joined(parts, rules, default)
+    if isinstance(rules, DataFrame):
+        table = rules.select("verdict", "text").where("verdict is not null and text is not null").distinct()
+        n, size = table.limit(TRIE_RULES + 1).agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+        if n > TRIE_RULES or size > TRIE_TEXT:
+            return _joined(parts, table, default)
+        rules = (Rule(*row) for row in table.collect())
+    rules = tuple(rules)
+    if len(rules) > TRIE_RULES or sum(len(r.text) for r in rules) > TRIE_TEXT:
+        return _joined(parts, urls.sparkSession.createDataFrame([(r.verdict, r.text) for r in rules], "verdict string, text string"), default)
     trie = urls.sparkSession.sparkContext.broadcast(Trie(rules))
 
     @F.pandas_udf("rule string, verdict string")
@@ -99,18 +109,24 @@ def judged(urls: DataFrame, rules=RULES, default: str = "allow", url: str = "url
     return parts.withColumn("_fl_hit", walk(F.col("host"), F.col("path"))).select(*(F.col(f"`{c}`") for c in columns), "_fl_hit.rule", "_fl_hit.verdict")
 
 
-def _joined(parts: DataFrame, rules, default: str) -> DataFrame:
-    """The same for any number of rules: every suffix of a host is looked up, and the best fitting path of the hits is kept."""
+def _joined(parts: DataFrame, rules: DataFrame, default: str) -> DataFrame:
+    """The same for any number of rules: every suffix of a host, with every start of the path that is as long as some rule's of that host, is looked up."""
     from .common import saved
 
-    spark = parts.sparkSession
-    table = spark.createDataFrame([(r.host, r.path, r.text, r.verdict) for r in rules], "r_host string, r_path string, r_text string, r_verdict string")
+    host = F.substring_index("text", "/", 1)
+    table = rules.select("text", "verdict", host.alias("r_host"), F.substr("text", F.length(host) + 1).alias("r_path"))
+    # of equal texts the one that blocks, the least in the alphabet of other verdicts
+    table = table.groupBy("text", "r_host", "r_path").agg(F.min(F.struct((F.col("verdict") != "block").alias("n"), "verdict")).alias("v"))
+    table = saved(table.select("text", "r_host", "r_path", F.col("v.verdict").alias("r_verdict")), "url-rules")
+    lengths = table.groupBy("r_host").agg(F.collect_set(F.length("r_path")).alias("lengths"))
     pairs = saved(parts.select("host", "path").distinct(), "url-pairs")
     labels = F.split("host", r"\.")
     tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, n, F.size(labels)), "."))
-    fits = pairs.withColumn("tail", F.explode(tails)).join(table, (F.col("tail") == F.col("r_host")) & F.col("path").startswith(F.col("r_path")))
-    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("r_text").alias("n"), F.col("r_verdict") == "block", "r_text", "r_verdict")).alias("b"))
-    best = best.select(F.col("host").alias("_fl_h"), F.col("path").alias("_fl_p"), F.col("b.r_text").alias("rule"), F.col("b.r_verdict").alias("verdict"))
+    starts = pairs.withColumn("tail", F.explode(tails)).join(lengths, F.col("tail") == F.col("r_host")).drop("r_host")
+    starts = starts.withColumn("n", F.explode("lengths")).where(F.col("n") <= F.length("path")).withColumn("start", F.substr("path", F.lit(1), F.col("n"))).drop("lengths")
+    fits = starts.join(table, (F.col("tail") == F.col("r_host")) & (F.col("start") == F.col("r_path")))
+    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length("text").alias("n"), F.length("r_host").alias("h"), "text", "r_verdict")).alias("b"))
+    best = best.select(F.col("host").alias("_fl_h"), F.col("path").alias("_fl_p"), F.col("b.text").alias("rule"), F.col("b.r_verdict").alias("verdict"))
     columns = [F.col(f"`{c}`") for c in parts.columns if c not in ("rule", "verdict")]
     out = parts.select(*columns).join(best, (F.col("host") == F.col("_fl_h")) & (F.col("path") == F.col("_fl_p")), "left")
     return out.withColumn("verdict", F.coalesce("verdict", F.lit(default))).drop("_fl_h", "_fl_p")

@@ -19,13 +19,18 @@ URLS = [
     None, "", "no scheme", "http://a.net", "http://A.NET/", "https://x.Example.NET/en/1?q=/de/", "https://example.net/en", "ftp://notexample.net/en/x", "http://example.com/de/",
     "http://example.com/de", "http://sub.sub.example.com/de/a#b", "http://org/fr/", "http://a.org/fr/x/y", "http://a.org/frx", "http://net", "http://user@a.net:80/x", "x://y://z.net/",
     "http://example.net.evil.com/en/", "//a.net/", "http://a.net\n/x", "http://.net/", "http://a..net/", "http://ünï.net/é?x", "http://a.net/" + "s/" * 5000,
+    "http://ab.c/def", "http://q.ab.c/def", "http://z.ab.c/d/e/f", "http://z.ab.c/d/", "http://net/x//y", "http://net/x/y",
 ]
-MORE = (Rule("allow", "net/a"), Rule("block", "net/a"), Rule("block", "deep.a.net/x/y"), Rule("allow", "a.net/x/"), Rule("allow", "org"), Rule("block", "b.org"))
+MORE = (
+    Rule("allow", "net/a"), Rule("block", "net/a"), Rule("block", "deep.a.net/x/y"), Rule("allow", "a.net/x/"), Rule("allow", "org"), Rule("block", "b.org"),
+    # of equal length: another host and path, and the longer host
+    Rule("block", "ab.c/"), Rule("allow", "c/def"), Rule("allow", "z.ab.c/d/"), Rule("block", "ab.c/d/e/"), Rule("allow", ".net/"), Rule("block", "net/x//"),
+)
 
 
 def brute_rule(host, path, rules):
     fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
-    return max(fits, key=lambda r: (len(r.text), r.verdict == "block"), default=None)
+    return max(fits, key=lambda r: (len(r.text), len(r.host), r.verdict == "block"), default=None)
 
 
 def parts(url):
@@ -36,18 +41,37 @@ def parts(url):
 
 
 @pytest.mark.parametrize("rules", [urlfilter.RULES, urlfilter.RULES + MORE])
-@pytest.mark.parametrize("joined", [False, True])
-def test_urls_match_brute_force(spark, monkeypatch, rules, joined):
-    if joined:
+@pytest.mark.parametrize("how", ["trie", "joined", "table", "large table"])
+def test_urls_match_brute_force(spark, monkeypatch, rules, how):
+    if how in ("joined", "large table"):
         monkeypatch.setattr(urlfilter, "TRIE_RULES", 0)
+    given = rules if "table" not in how else spark.createDataFrame([(r.verdict, r.text) for r in rules] + [(None, "net/"), ("block", None)], "verdict string, text string")
     df = spark.createDataFrame([(i, u, "old") for i, u in enumerate(URLS)], "page_id long, url string, verdict string")
-    got = {r.page_id: r for r in urlfilter.judged(df, rules).collect()}
+    got = {r.page_id: r for r in urlfilter.judged(df, given).collect()}
     assert len(got) == len(URLS)
     for i, url in enumerate(URLS):
         host, path = parts(url)
         rule = brute_rule(host, path, rules)
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule and rule.text, rule.verdict if rule else "allow"), url
-    assert urlfilter.judged(df.limit(0), rules).count() == 0
+    assert urlfilter.judged(df.limit(0), given).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["block", "allow"]), st.lists(st.sampled_from(["a", "b", "ab", ""]), min_size=1, max_size=3), st.lists(st.sampled_from(["", "x", "xy", "x/y"]), max_size=3)), max_size=12), st.text("ab.", max_size=6), st.text("xy/", max_size=7))
+def test_trie_equals_plain_search(rules, host, path):
+    rules = [Rule(v, ".".join(h) + "".join("/" + p for p in ps)) for v, h, ps in rules]
+    path = "/" + path if path else ""
+    assert urlfilter.Trie(rules).match(host, path) == brute_rule(host, path, rules)
+
+
+def test_a_host_of_very_many_rules_costs_a_url_no_more():
+    import time
+
+    trie = urlfilter.Trie([Rule("block", f"a.net/p{i}") for i in range(100_000)])
+    start = time.perf_counter()
+    for i in range(2000):
+        assert trie.match("www.a.net", f"/p{i}x/y/z").text == f"a.net/p{i}"
+    assert time.perf_counter() - start < 2
 
 
 # --- quality -------------------------------------------------------------------------------------------------------
@@ -107,10 +131,16 @@ def test_license_spans(spark):
     assert licenses.scanned(df.limit(0)).count() == 0
 
 
-def test_many_templates_are_scanned_in_passes(spark, monkeypatch):
-    monkeypatch.setattr(licenses, "TEMPLATE_WORDS", 12)
-    df = spark.createDataFrame([(1, " and ".join(licenses.TEMPLATES[k] for k in ("MIT", "Apache-2.0", "reserved")))], "doc_id long, text string")
-    assert {r.license for r in licenses.scanned(df).collect()} >= {"MIT", "Apache-2.0", "reserved"}
+@pytest.mark.parametrize("room", [12, 60])
+def test_many_templates_are_scanned_in_passes(spark, monkeypatch, room):
+    whole = licenses.TEMPLATES["MIT-whole"].split()
+    templates = licenses.TEMPLATES | {"a nested one": " ".join(whole[:24]), "b nested one": " ".join(whole[3:40])}
+    texts = [" and ".join(templates[k] for k in ("MIT", "Apache-2.0", "reserved")), "so " + templates["MIT-whole"], templates["GPL-3.0-header"] + " x " + templates["ISC-whole"], " ".join(whole[:24]), None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[0]), (0, texts[1])], "doc_id long, text string")
+    once = sorted(map(tuple, licenses.scanned(df, templates).collect()), key=str)
+    monkeypatch.setattr(licenses, "TEMPLATE_WORDS", room)
+    assert sorted(map(tuple, licenses.scanned(df, templates).collect()), key=str) == once
+    assert [r[1] for r in once if r[0] == 1] == ["MIT-whole"] and [r[1] for r in once if r[0] == 3] == ["a nested one"]
 
 
 def lcs(a, b):
@@ -126,10 +156,48 @@ def lcs(a, b):
 @given(st.lists(st.sampled_from("abcdef"), min_size=3, max_size=14), st.lists(st.integers(0, 13), max_size=3), st.lists(st.sampled_from("xyz"), max_size=4))
 def test_alignment_is_the_longest_common_subsequence(template, dropped, noise):
     words = noise + [w for i, w in enumerate(template) if i not in dropped] + noise
-    matched, start, end = licenses.align(template, words, len(noise))
+    if not words:
+        return
+    own, other = (np.array([ord(w) for w in x], dtype=np.uint64) for x in (template, words))
+    matched, start, end = licenses.align(own, other, len(noise))
     assert matched == lcs(template, words)
     if matched:
-        assert words[start] in template and words[end - 1] in template
+        assert words[start] in template and words[end - 1] in template and lcs(template, words[start:end]) == matched
+
+
+def test_candidates_miss_little_of_what_alignments_everywhere_find():
+    """Every template aligned at every word of corrupted texts, against what the winnowed fingerprints let through."""
+    rng = np.random.default_rng(12)
+    index, words = licenses.Index(licenses.TEMPLATES), licenses.Words()
+    there = caught = 0
+    for n in range(150):
+        name = sorted(licenses.TEMPLATES)[n % len(licenses.TEMPLATES)]
+        own = [w for w in licenses._WORD.findall(licenses.TEMPLATES[name])]
+        for i in range(len(own)):
+            if rng.random() < 0.12:
+                own[i] = f"odd{rng.integers(100)}"
+        for i in sorted(rng.integers(0, len(own), len(own) // 20).tolist(), reverse=True):
+            own.insert(i, "more")
+        text = " ".join(f"w{x}" for x in rng.integers(0, 50, 20)) + " " + " ".join(own) + " end of it"
+        hashes = words.hashes([w.lower() for w in licenses._WORD.findall(text)])
+        found = {f[0] for f in index.scan(text, words, 0.8)}
+        for t, template in index.templates:
+            slack = min(max(licenses.BAND, len(template) // 16), len(template) // 3)
+            best = max(licenses.align(template, hashes, first, slack)[0] for first in range(0, len(hashes), max(1, slack)))
+            if best >= 0.8 * len(template):
+                there += 1
+                caught += t in found
+    assert there > 100 and caught >= 0.9 * there, (caught, there)
+    print(f"license candidates: {caught} of {there}")
+
+
+def test_scan_of_a_text_of_very_many_notices_is_linear():
+    import time
+
+    index, words = licenses.Index(licenses.TEMPLATES), licenses.Words()
+    start = time.perf_counter()
+    found = licenses.chosen(index.scan(licenses.TEMPLATES["reserved"] * 1 + (" " + licenses.TEMPLATES["MIT"]) * 5000, words, 0.8))
+    assert len(found) == 5001 and time.perf_counter() - start < 20
 
 
 # --- packing -------------------------------------------------------------------------------------------------------
