@@ -472,6 +472,72 @@ def test_probe_of_other_layouts_and_broken_ones():
     assert media.probe(b"").codec is None
 
 
+def movie(handler, number, samples, keys=None, offsets=None, timescale=25, extra=b""):
+    import struct
+
+    table = media.box(
+        b"stbl",
+        media.full(b"stsd", struct.pack(">I", 1), media.box(b"avc1" if handler == b"vide" else b"mp4a", b"\0" * 8)),
+        media.full(b"stts", struct.pack(">III", 1, len(samples), 10)),
+        media.full(b"ctts", struct.pack(">III", 1, len(samples), 3)),
+        media.full(b"stsc", struct.pack(">IIII", 1, 1, len(samples), 1)),
+        media.full(b"stsz", struct.pack(f">II{len(samples)}I", 0, len(samples), *samples)),
+        media.full(b"stco", struct.pack(">II", 1, offsets)),
+        *([media.full(b"stss", struct.pack(f">I{len(keys)}I", len(keys), *keys))] if keys else []),
+    )
+    media_box = media.box(b"mdia", media.full(b"mdhd", struct.pack(">IIII", 0, 0, timescale, 99)), media.full(b"hdlr", b"\0" * 4, handler, b"\0" * 13), media.box(b"minf", table))
+    return media.box(b"trak", media.full(b"tkhd", struct.pack(">III", 0, 0, number), b"\0" * 8), extra, media_box)
+
+
+def test_video_is_found_behind_sound_and_fragments_go_on():
+    import struct
+
+    edit = media.box(b"edts", media.full(b"elst", struct.pack(">IIiIIiI", 2, 5, -1, 1 << 16, 50, 4, 1 << 16)))
+    trex = media.box(b"mvex", media.full(b"trex", struct.pack(">IIIII", 2, 1, 20, 7, media.NO_SYNC)))
+    moov = media.box(b"moov", movie(b"soun", 1, [4, 4], None, 600), movie(b"vide", 2, [5, 6, 7], [1, 3], 700, extra=edit), trex)
+    trun = media.full(b"trun", struct.pack(">IiIIIII", 2, 100, 0, 11, 30, 12, 31), flags=media.OFFSET | media.FIRST_FLAGS | media.EACH_SIZE | media.EACH_SHIFT)
+    traf = media.box(b"traf", media.full(b"tfhd", struct.pack(">I", 2), flags=media.AT_MOOF), media.full(b"tfdt", struct.pack(">Q", 1000), version=1), trun)
+    plain = media.box(b"traf", media.full(b"tfhd", struct.pack(">I", 2)), media.full(b"trun", struct.pack(">I", 2)))
+    start = len(moov)
+    blob = (moov + media.box(b"moof", traf, plain)).ljust(2000, b"\0")
+    sound, video = media.tracks(blob)
+    assert (sound.handler, sound.codec, sound.samples, sound.keyframes) == ("soun", "mp4a", [(600, 604), (604, 608)], [(600, 604), (604, 608)])
+    at = start + 100
+    assert video.samples == [(700, 705), (705, 711), (711, 718), (at, at + 11), (at + 11, at + 23), (at + 23, at + 30), (at + 30, at + 37)]
+    assert video.keyframes == [(700, 705), (711, 718), (at, at + 11)] and video.times == [3, 23, 1030]
+    assert (video.begins, video.duration, media.probe(blob).codec) == (4, 1080, "avc1")
+
+
+def test_probe_survives_any_bytes():
+    import struct
+
+    deep = b""
+    for _ in range(1500):
+        deep = media.box(b"moov", deep)
+    empty = media.box(b"moov", media.box(b"trak", *(media.box(k) for k in (b"mdhd", b"hdlr", b"stsd", b"stts", b"stsc", b"stsz", b"stco", b"elst", b"tkhd", b"ctts", b"stz2"))))
+    traf = media.box(b"moof", media.box(b"traf", media.box(b"tfhd"), media.box(b"trun")), media.box(b"traf", media.full(b"tfhd", struct.pack(">I", 1), flags=0x3F), media.full(b"trun", struct.pack(">I", 1 << 31))))
+    rng = np.random.default_rng(6)
+    whole = media.container(b"x" * 1920) + traf
+    assert media.tracks(deep) == [] and media.tracks(empty)[0].codec is None
+    for _ in range(3000):
+        blob = bytearray(whole)
+        for _ in range(int(rng.integers(1, 6))):
+            blob[int(rng.integers(0, len(blob) if rng.random() < 0.3 else 900))] = int(rng.choice([0, 1, 255, int(rng.integers(256))]))
+        found = media.probe(bytes(blob[: int(rng.integers(1, len(blob) + 1))]))
+        assert all(0 <= a <= b <= len(blob) for a, b in found.samples)
+    big = bytearray(whole)
+    at = big.index(b"stsz")
+    big[at + 8 : at + 16] = struct.pack(">II", 1, (1 << 32) - 1)
+    assert len(media.probe(bytes(big)).samples) <= len(big)
+
+
+def test_broken_media_rows(spark):
+    blobs = [None, b"", b"moov", media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.box(b"mdhd")))), media.container(b"y" * 192)]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(blobs)], "doc_id long, media binary")
+    got = sorted(media.probed(df).collect(), key=lambda r: r.doc_id)
+    assert [r.payload_bytes for r in got] == [0, 0, 0, 0, 192] and [len(r.tracks) for r in got] == [0, 0, 0, 1, 1] and got[4].tail_crc32 == zlib.crc32(b"y" * 16)
+
+
 def test_registry_names():
     assert [int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES] == list(range(1, 11))
     assert set(queries.SQL) <= set(queries.QUERIES)
