@@ -123,6 +123,8 @@ class Track:
     keyframes: list = field(default_factory=list)
     #: Presentation time of each keyframe.
     times: list = field(default_factory=list)
+    #: Bytes of all samples.
+    size: int = 0
 
 
 class _Tables:
@@ -199,15 +201,15 @@ def _sampled(track: Track, tables: _Tables) -> int:
     spans = tables.rows(b"stts", "II")
     each, shift = _Times(spans), _Times(tables.rows(b"ctts", "Ii" if tables.version(b"ctts")[0] else "II"))
     keys = set(tables.rows(b"stss", "I")) if b"stss" in tables else None
-    run, time, taken = -1, 0, 0
+    run, time = -1, 0
     for chunk, offset in enumerate(offsets, 1):
         while run + 1 < len(runs) and runs[run + 1][0] <= chunk:
             run += 1
         for _ in range(runs[run][1] if run >= 0 else 0):
             at = len(track.samples)
-            if at >= total or offset + (size := sizes if isinstance(sizes, int) else sizes[at]) > len(data) or taken + size > len(data):
+            if at >= total or offset + (size := sizes if isinstance(sizes, int) else sizes[at]) > len(data) or track.size + size > len(data):
                 break
-            taken += size
+            track.size += size
             track.samples.append((offset, offset + size))
             shown = time + shift.next()
             time += each.next()
@@ -240,7 +242,7 @@ def _fragment(track: Track, defaults: tuple, data, moof: int, header: tuple, run
                 start = found[0]
             elif flag in own:
                 own[flag] = found[0]
-    offset, taken = start, sum(b - a for a, b in track.samples)
+    offset = start
     for place in runs:
         tables.of[b"trun"] = place
         version, flags = tables.version(b"trun")
@@ -258,9 +260,9 @@ def _fragment(track: Track, defaults: tuple, data, moof: int, header: tuple, run
         for i in range(n):
             values = dict(zip((f for f, _ in wanted), struct.unpack_from(">" + "".join(fmt for _, fmt in wanted), data, first + i * each))) if each else {}
             size = values.get(EACH_SIZE, own[SIZE])
-            if offset < 0 or offset + size > len(data) or taken + size > len(data) or (not size and not each):
+            if offset < 0 or offset + size > len(data) or track.size + size > len(data) or (not size and not each):
                 break
-            taken += size
+            track.size += size
             marks = values.get(EACH_FLAGS, first_flags if not i and first_flags is not None else own[FLAGS])
             track.samples.append((offset, offset + size))
             if not marks & NO_SYNC:

@@ -2,7 +2,7 @@
 
 Pieces go, longest first, into the open bin that they leave least room in. If none has room, a bin opens at the permitted
 length of least cost for what can still come, and in the end each bin shrinks to the shortest permitted length that
-holds its contents. Groups of about GROUP documents are packed apart, by a hash of their row.
+holds its contents. Groups of about GROUP pieces are packed apart, by a hash of their document.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ from bisect import bisect_left, insort
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_words, saved
+from .common import bounded, n_words, saved
 
 #: Permitted lengths in tokens.
 LENGTHS = (512, 1024, 2048, 4096, 8192)
+#: Pieces of a group, or about so many.
 GROUP = 4096
 #: A sequence of c tokens costs c + c*c/ATTENTION + OVERHEAD.
 ATTENTION, OVERHEAD = 65536, 16
@@ -57,23 +58,27 @@ def packed(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, group: int = GRO
 
     Tokens are words ``[^\\x20\\x09-\\x0D]+`` of the whole text. A document longer than the longest permitted length is cut into
     pieces of that length and a rest. A document without tokens (null, empty or blank) has one row of 0 tokens
-    and no bin. Repeated rows are packed each. An empty table gives no rows; extra columns are ignored.
+    and no bin. Repeated rows are packed each. An empty table gives no rows; extra columns are ignored. What stands in which bin
+    depends on ids, texts and sizes alone, not on how the table is stored, but for rows that are repeated more than ``group`` times.
     """
     longest = max(lengths)
-    sizes = docs.select("doc_id", n_words(F.col("text")).alias("size")).withColumn("row", F.monotonically_increasing_id())
-    sizes = saved(sizes, "pack-sizes")  # so that row numbers stay
-    groups = max(1, -(-sizes.count() // group))
-    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("size") / longest), F.lit(1)) - 1), lambda p: p.cast("int"))
-    pieces = sizes.select("doc_id", "row", "size", F.explode(pieces).alias("piece"))
+    sizes = docs.select("doc_id", F.xxhash64("text").alias("t"), n_words(F.col("text")).alias("size")).withColumn("copy", F.monotonically_increasing_id())
+    sizes = saved(sizes, "pack-sizes")
+    last = F.greatest(F.ceil(F.col("size") / longest), F.lit(1)).cast("int")
+    groups = max(1, -(-int(sizes.agg(F.sum(last)).first()[0] or 0) // group))
+    pieces = sizes.select("doc_id", "t", "size", "copy", F.explode(F.sequence(F.lit(0), last - 1)).alias("piece"))
     pieces = pieces.withColumn("start", F.col("piece").cast("long") * longest).withColumn("n_tokens", F.least(F.col("size") - F.col("start"), F.lit(longest)))
-    # a very long document's pieces may go to different groups, so no group gathers more than its share
-    pieces = pieces.withColumn("group", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
+    # a very long document's pieces go to different groups, and so do the copies of a row that alone would crowd one
+    crowded = saved(sizes.groupBy("doc_id", "t").count().where(F.col("count") > group).select(F.col("doc_id").alias("_fl_id"), F.col("t").alias("_fl_t"), F.lit(True).alias("_fl_many")), "pack-crowded")
+    pieces = pieces.join(bounded(crowded), F.col("doc_id").eqNullSafe(F.col("_fl_id")) & (F.col("t") == F.col("_fl_t")), "left")
+    pieces = pieces.withColumn("h", F.xxhash64("doc_id", "t", "piece", F.when(F.col("_fl_many"), F.col("copy"))))
+    pieces = pieces.select(F.pmod("h", F.lit(groups)).alias("group"), "h", "doc_id", "piece", "start", "n_tokens")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(table):
         import pyarrow as pa
 
-        table = table.sort_by([("row", "ascending"), ("piece", "ascending")])
+        table = table.sort_by([("h", "ascending"), ("piece", "ascending")])
         n = table.column("n_tokens").to_pylist()
         number = table.column("group")[0].as_py()
         full = [i for i, x in enumerate(n) if x > 0]
