@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from .common import bounded, saved
 from .components import components
 
-#: Vectors that the centroids are fitted on, those of a cell that are aimed at, and cells that a vector may visit on average.
-SAMPLE, CELL, VISITS = 20_000, 2000, 4
+#: Vectors, and bytes of them, that the centroids are fitted on at most, vectors of a cell that are aimed at, and cells that a vector may visit on average.
+SAMPLE, SAMPLE_BYTES, CELL, VISITS = 20_000, 128 << 20, 2000, 4
+#: Cells at most: they are fitted on the driver. Of more than CELL times as many vectors the cells grow, and are dealt into more blocks.
+CELLS = 4096
 #: Bytes of a block of vectors, and vectors of it that are multiplied at a time.
 BLOCK_BYTES, ROWS = 8 << 20, 1024
 
@@ -24,9 +26,9 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Unit centroids of unit vectors; starts from k evenly taken rows, keeps the centroid of an empty cell."""
     centroids = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
     for _ in range(rounds):
-        own = np.argmax(x @ centroids.T, axis=1)
         sums = np.zeros_like(centroids)
-        np.add.at(sums, own, x)
+        for i in range(0, len(x), ROWS):  # bounds the memory of many cells
+            np.add.at(sums, np.argmax(x[i : i + ROWS] @ centroids.T, axis=1), x[i : i + ROWS])
         norms = np.linalg.norm(sums, axis=1)
         centroids[norms > 1e-9] = sums[norms > 1e-9] / norms[norms > 1e-9, None]
     return centroids
@@ -36,8 +38,9 @@ def visits(x: np.ndarray, centroids: np.ndarray, margin: float) -> tuple[np.ndar
     """Own cell of each unit vector, and a matrix of the cells (its own too) to whose plane it is within margin."""
     s = x @ centroids.T
     own = np.argmax(s, axis=1)
-    apart = np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 0))
-    return own, s[np.arange(len(x)), own][:, None] - s <= margin * apart[own] + 1e-9
+    cells, place = np.unique(own, return_inverse=True)
+    apart = np.sqrt(np.maximum(2 - 2 * centroids[cells] @ centroids.T, 0))
+    return own, s[np.arange(len(x)), own][:, None] - s <= margin * apart[place] + 1e-9
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
@@ -63,8 +66,8 @@ def fitted(sample: np.ndarray, n: int, margin: float) -> np.ndarray:
     and few cells cost least. The number changes the work, not the links.
     """
     centroids, k = spherical_kmeans(sample, 1), 2
-    while k <= min(n // CELL, len(sample)):
-        more = spherical_kmeans(sample, k)
+    while k <= min(n // CELL, len(sample), CELLS):
+        more = spherical_kmeans(sample, k, 12 if k <= 256 else 4)
         if visits(sample[: 4 * ROWS], more, margin)[1].sum(axis=1).mean() > VISITS:
             break
         centroids, k = more, 2 * k
@@ -198,8 +201,10 @@ def link_counts(classes: DataFrame, threshold: float = 0.9, cells: int | None =
 
 
 def unit_sample(classes: DataFrame) -> np.ndarray:
-    """Unit vectors of at most SAMPLE distinct vectors, those of the least hashes."""
-    rows = classes.select("embedding", F.xxhash64("node").alias("h")).orderBy("h").limit(SAMPLE).select("embedding").toArrow()
+    """Unit vectors of at most SAMPLE distinct vectors, and SAMPLE_BYTES of them, those of the least hashes."""
+    first = classes.select(F.size("embedding")).first()
+    most = min(SAMPLE, SAMPLE_BYTES // (8 * max(1, first[0]))) if first else 1
+    rows = classes.select("embedding", F.xxhash64("node").alias("h")).orderBy("h").limit(max(1, most)).select("embedding").toArrow()
     return unit(rows.column("embedding")) if rows.num_rows else np.zeros((0, 1))
 
 

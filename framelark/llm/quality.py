@@ -1,7 +1,8 @@
 """Quality classifier: regularised quadratic discriminant analysis over transformed document statistics.
 
 Each class has a mean and a covariance that is shrunk towards its mean variance; a document's score comes from the
-difference of the classes' Gaussian log-densities, whose Mahalanobis terms use the cached Cholesky factors.
+difference of the classes' Gaussian log-densities, whose Mahalanobis terms use the cached Cholesky factors. Shares of few words
+scatter, so a text's statistics are first drawn towards those of ordinary prose, the mean over the words of the good training texts.
 """
 
 from __future__ import annotations
@@ -22,8 +23,7 @@ FEATURES = (
 )
 WIDTH = len(FEATURES)
 
-#: The statistics of ordinary prose, which those of a text are drawn towards as if it had SHORT more words of it.
-TYPICAL = (5.609, 1.631, 0.959, 0.072, 0.999, 0.114, 0.0, 0.152, 0.0, 0.0, 0.0, 0.416, 1.571, 3.746, 0.286)
+#: Words of ordinary prose that a text's statistics are drawn towards it by.
 SHORT = 20
 
 _CLASSES = {
@@ -48,12 +48,11 @@ LUT = _lut()
 
 
 def statistics(text: str | None) -> np.ndarray:
-    """The statistics of a whole text: shares as arcsines of their roots, counts as logarithms; without words the typical ones and 0 words."""
-    out = np.array((0.0, *TYPICAL[1:]))
+    """The statistics of a whole text: shares as arcsines of their roots, counts as logarithms; all 0 without words."""
     data = (text or "").encode("utf-8", "surrogatepass")
     words = data.split()
     if not words:
-        return out
+        return np.zeros(WIDTH)
     n = len(words)
     counts = LUT @ np.bincount(np.frombuffer(data, np.uint8), minlength=256)
     shares = dict(zip(_CLASSES, counts / len(data)))
@@ -72,13 +71,18 @@ def statistics(text: str | None) -> np.ndarray:
         "line_words": np.log1p(n / len(lines)),
         "capitalised": half(sum(65 <= w[0] <= 90 for w in words) / n),
     }
-    out = (n * np.array([values[k] for k in FEATURES]) + SHORT * np.array(TYPICAL)) / (n + SHORT)
-    out[0] = values["log_words"]
+    return np.array([values[k] for k in FEATURES])
+
+
+def drawn(x: np.ndarray, prose: np.ndarray) -> np.ndarray:
+    """Rows of statistics, each drawn towards prose as by SHORT more words of it; the number of words stays."""
+    n = np.expm1(x[:, :1])
+    out = (n * x + SHORT * prose) / (n + SHORT)
+    out[:, 0] = x[:, 0]
     return out
 
 
 def with_statistics(docs: DataFrame, name: str = "statistics") -> DataFrame:
-
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("array<double>")
@@ -90,51 +94,69 @@ def with_statistics(docs: DataFrame, name: str = "statistics") -> DataFrame:
 
 @dataclass
 class Discriminant:
-    """``prior``: share of label 1. Per class: mean, inverse Cholesky factor, log-determinant; None if it had no rows."""
+    """``prior``: share of label 1; ``prose``: statistics of ordinary prose. Per class: mean, inverse Cholesky factor, log-determinant; None if it had no rows."""
 
     prior: float
+    prose: np.ndarray
     scale: np.ndarray
     classes: tuple
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.classes[0] is None or self.classes[1] is None:
             return np.full(len(x), self.prior)
-        logs = []
+        x, logs = drawn(x, self.prose), []
         for (mean, inverse, logdet), weight in zip(self.classes, (1 - self.prior, self.prior)):
             z = (x / self.scale - mean) @ inverse.T
             logs.append(np.log(weight) - 0.5 * (np.einsum("ij,ij->i", z, z) + logdet))
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
 
 
-def fit(rows: DataFrame, shrinkage: float = 0.1) -> Discriminant:
-    """Fit to all of ``rows(statistics, label)``; labels other than 0 and 1 are ignored, without any label the prior is 0.5.
+def _matrix(batch) -> np.ndarray:
+    return batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
 
-    Partitions send class sums of statistics and of their products, which are added by position: what reaches the driver
-    has a fixed size.
-    """
-    width = 1 + WIDTH + WIDTH * WIDTH
 
-    def sums(batches):
+def _added(rows: DataFrame, width: int, sums) -> np.ndarray:
+    """``sums(statistics, labels)``, two rows of numbers, one for each label, added over all partitions: what reaches the driver has a fixed size."""
+
+    def run(batches):
         import pyarrow as pa
 
         total = np.zeros((2, width))
         for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
-            y = batch.column(1).to_numpy(zero_copy_only=False)
-            for c in (0, 1):
-                own = x[y == c]
-                total[c] += np.concatenate(([len(own)], own.sum(axis=0), (own.T @ own).ravel()))
+            total += sums(_matrix(batch), batch.column(1).to_numpy(zero_copy_only=False))
         label, position = np.divmod(np.arange(2 * width), width)
         yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(position), pa.array(total.ravel())], ["label", "position", "value"])
 
-    known = rows.where("label in (0, 1)").select("statistics", F.col("label").cast("int"))
-    added = known.mapInArrow(sums, "label long, position long, value double").groupBy("label", "position").agg(F.sum("value").alias("value"))
-    total = np.zeros((2, width))
+    out = np.zeros((2, width))
+    added = rows.mapInArrow(run, "label long, position long, value double").groupBy("label", "position").agg(F.sum("value").alias("value"))
     for label, position, value in added.collect():
-        total[label, position] = value
+        out[label, position] = value
+    return out
+
+
+def fit(rows: DataFrame, shrinkage: float = 0.1) -> Discriminant:
+    """Fit to all of ``rows(statistics, label)``; labels other than 0 and 1 are ignored, without any label the prior is 0.5.
+
+    Two passes: the statistics of prose, then the classes' sums of statistics, drawn to it, and of their products.
+    """
+    known = rows.where("label in (0, 1)").select("statistics", F.col("label").cast("int"))
+
+    def of_prose(x, y):
+        n = np.expm1(x[:, :1])
+        return np.stack([np.concatenate(([n[y == c].sum()], (n * x)[y == c].sum(axis=0))) for c in (0, 1)])
+
+    words = _added(known, 1 + WIDTH, of_prose)
+    one = words[1] if words[1, 0] else words.sum(axis=0)
+    prose = one[1:] / one[0] if one[0] else np.zeros(WIDTH)
+
+    def of_classes(x, y):
+        x = drawn(x, prose)
+        return np.stack([np.concatenate(([np.count_nonzero(y == c)], x[y == c].sum(axis=0), (x[y == c].T @ x[y == c]).ravel())) for c in (0, 1)])
+
+    total = _added(known, 1 + WIDTH + WIDTH * WIDTH, of_classes)
     n = total[:, 0]
     if not n.sum():
-        return Discriminant(0.5, np.ones(WIDTH), (None, None))
+        return Discriminant(0.5, prose, np.ones(WIDTH), (None, None))
     both = total.sum(axis=0) / n.sum()
     variance = both[1 + WIDTH :].reshape(WIDTH, WIDTH).diagonal() - both[1 : 1 + WIDTH] ** 2
     scale = np.where(variance > 1e-12, np.sqrt(np.maximum(variance, 1e-12)), 1.0)
@@ -149,7 +171,7 @@ def fit(rows: DataFrame, shrinkage: float = 0.1) -> Discriminant:
         cov = (1 - shrinkage) * cov + shrinkage * level * np.eye(WIDTH)
         factor = np.linalg.cholesky(cov)
         classes.append((mean, np.linalg.inv(factor), 2 * np.log(factor.diagonal()).sum()))
-    return Discriminant(float(n[1] / n.sum()), scale, tuple(classes))
+    return Discriminant(float(n[1] / n.sum()), prose, scale, tuple(classes))
 
 
 def held_out(doc_id):
@@ -166,28 +188,27 @@ def score(docs: DataFrame, labels: DataFrame, accept: float = 0.7, shrinkage: fl
     are ignored.
     """
     stats = saved(with_statistics(docs.select("doc_id", "text")).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "statistics"), "quality")
+    scored = scorer(stats, labels, shrinkage)
+    out = stats.select("doc_id", "held_out", scored("statistics").alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= accept).cast("int"))
+
+
+def scorer(stats: DataFrame, labels: DataFrame, shrinkage: float):
+    """The score of statistics as a function of columns, learnt from those rows of ``stats(doc_id, statistics)`` that are labelled and not held out."""
     known = labels.where("quality is not null").select(F.col("doc_id").alias("_fl_id"), F.col("quality").alias("label"))
-    train = stats.where("not held_out").join(known, F.col("doc_id") == F.col("_fl_id")).select("statistics", "label")
-    model = docs.sparkSession.sparkContext.broadcast(fit(train, shrinkage))
+    known = known.where(~held_out(F.col("_fl_id")))
+    train = stats.where(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("_fl_id")).select("statistics", "label")
+    model = stats.sparkSession.sparkContext.broadcast(fit(saved(train, "quality-train"), shrinkage))
 
     @F.pandas_udf("double")
     def scored(rows: pd.Series) -> pd.Series:
         return pd.Series(model.value.scores(np.stack(rows.to_list())) if len(rows) else [])
 
-    out = stats.select("doc_id", "held_out", scored("statistics").alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= accept).cast("int"))
+    return scored
 
 
 def accepted(docs: DataFrame, labels: DataFrame, accept: float = 0.7, shrinkage: float = 0.1) -> DataFrame:
     """The rows of docs whose score is at least ``accept``, with all their columns."""
     stats = saved(with_statistics(docs, "_fl_stats"), "quality-docs")
-    known = labels.where("quality is not null").select(F.col("doc_id").alias("_fl_id"), F.col("quality").alias("label"))
-    train = stats.where(~held_out(F.col("doc_id"))).select("doc_id", F.col("_fl_stats").alias("statistics"))
-    train = train.join(known, F.col("doc_id") == F.col("_fl_id")).select("statistics", "label")
-    model = docs.sparkSession.sparkContext.broadcast(fit(train, shrinkage))
-
-    @F.pandas_udf("double")
-    def scored(rows: pd.Series) -> pd.Series:
-        return pd.Series(model.value.scores(np.stack(rows.to_list())) if len(rows) else [])
-
+    scored = scorer(stats.select("doc_id", F.col("_fl_stats").alias("statistics")), labels, shrinkage)
     return stats.where(scored("_fl_stats") >= accept).select(*(F.col(f"`{c}`") for c in docs.columns))

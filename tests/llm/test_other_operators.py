@@ -87,6 +87,33 @@ def test_quality_learns_and_holds(spark, sf):
     assert kept == {d for d, r in got.items() if r.predicted}
 
 
+def test_quality_equals_a_plain_discriminant(spark, sf):
+    """Scores against quadratic discriminant analysis written out in NumPy, with labels and folds joined by hand."""
+    import zlib
+
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet").collect() for n in ("documents", "labels"))
+    known = {r.doc_id: r.quality for r in labels}
+    raw = {r.doc_id: quality.statistics(r.text) for r in docs}
+    train = [d for d in raw if d in known and zlib.crc32(str(d).encode()) % 4 != 2]
+    n = {d: len((r.text or "").encode().split()) for d, r in ((r.doc_id, r) for r in docs)}
+    good = [d for d in train if known[d] == 1]
+    prose = sum(n[d] * raw[d] for d in good) / sum(n[d] for d in good)
+    x = {d: np.array([v[0], *((n[d] * v + 20 * prose) / (n[d] + 20))[1:]]) for d, v in raw.items()}
+    scale = np.std([x[d] for d in train], axis=0)
+    scale[scale**2 <= 1e-12] = 1
+    logs = {}
+    for c in (0, 1):
+        own = np.array([x[d] / scale for d in train if known[d] == c])
+        cov = np.cov(own.T, bias=True)
+        cov = 0.9 * cov + 0.1 * max(cov.trace() / len(cov), 1e-3) * np.eye(len(cov))
+        for d in x:
+            apart = x[d] / scale - own.mean(axis=0)
+            logs[d, c] = np.log(len(own) / len(train)) - 0.5 * (apart @ np.linalg.solve(cov, apart) + np.linalg.slogdet(cov)[1])
+    got = {r.doc_id: r.score for r in quality.score(*(spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))).collect()}
+    for d in x:
+        assert got[d] == pytest.approx(1 / (1 + np.exp(np.clip(logs[d, 0] - logs[d, 1], -700, 700))), abs=1e-6), d
+
+
 def test_held_out_rows_teach_nothing(spark):
     import zlib
 
