@@ -186,20 +186,25 @@ w AS (
     SELECT DISTINCT r, a, regexp_extract_all(line, '\pL{3,}') AS hits, string_split_regex(line, '\pL{3,}') AS gaps FROM b) WHERE len(hits) > 0)),
 token AS (SELECT r, a, lower(v) AS term, s, s + length(v) AS e FROM w WHERE NOT EXISTS (SELECT 1 FROM base c WHERE c.r = w.r AND w.s < c.e AND c.s < w.s + length(w.v))),
 near AS (
-  SELECT DISTINCT r, entity, term, s, e, line FROM (
-    SELECT b.r, b.entity, token.term, token.s, token.e, b.line,
+  SELECT DISTINCT r, entity, term, s, e FROM (
+    SELECT b.r, b.entity, token.term, token.s, token.e,
            row_number() OVER (PARTITION BY b.r, b.s, b.e, b.entity, token.s >= b.e ORDER BY CASE WHEN token.s >= b.e THEN token.s ELSE -token.s END) AS n
     FROM b JOIN token ON token.r = b.r AND token.a = b.a AND (token.e <= b.s OR token.s >= b.e)) WHERE n <= 10),
-pairs AS (SELECT entity, term, count(*) AS together FROM near GROUP BY entity, term HAVING count(DISTINCT line) >= 3),
-corpus AS (SELECT lower(unnest(regexp_extract_all(t, '\pL{3,}'))) AS term FROM d),
+pairs AS (SELECT entity, term, count(*) AS together FROM near GROUP BY entity, term),
+corpus AS (
+  SELECT r, lower(v) AS term, s - length(v) AS s, s AS e FROM (
+    SELECT r, v, (sum(length(g) + length(v)) OVER (PARTITION BY r ORDER BY i))::BIGINT AS s FROM (
+      SELECT r, unnest(hits) AS v, unnest(gaps[1:len(hits)]) AS g, unnest(range(1, len(hits) + 1)) AS i
+      FROM (SELECT r, regexp_extract_all(t, '\pL{3,}') AS hits, string_split_regex(t, '\pL{3,}') AS gaps FROM d)))),
 total AS (SELECT greatest(count(*), 1)::DOUBLE AS n FROM corpus),
-frequency AS (SELECT term, count(*) AS n FROM corpus WHERE term IN (SELECT term FROM pairs) GROUP BY term),
+frequency AS (SELECT term, count(*) AS n FROM corpus GROUP BY term),
 rated AS (
-  SELECT p.entity, p.term, CASE WHEN ic > 0 THEN 1 + ln(least(p.together / f.n, 1.0)) / ic ELSE 0.0 END AS ratio
+  SELECT p.entity, p.term, CASE WHEN ic > 0 THEN 1 + ln(p.together / (f.n + 1.0)) / ic ELSE 0.0 END AS ratio
   FROM pairs p JOIN frequency f ON f.term = p.term JOIN (SELECT entity, -ln(least(count(*) / any_value(total.n), 1.0)) AS ic FROM near, total GROUP BY entity) c ON c.entity = p.entity),
+marks AS (SELECT term, max(CASE WHEN ratio >= 0.95 THEN 'remove' ELSE 'generalise' END) AS kind FROM rated WHERE ratio >= 0.9 GROUP BY term),
 added AS (
-  SELECT near.r, near.s, near.e, max(CASE WHEN ratio >= 0.95 THEN 'remove' ELSE 'generalise' END) AS kind
-  FROM near JOIN rated ON rated.entity = near.entity AND rated.term = near.term WHERE ratio >= 0.9 GROUP BY near.r, near.s, near.e),
+  SELECT corpus.r, corpus.s, corpus.e, marks.kind FROM corpus JOIN marks ON marks.term = corpus.term
+  WHERE NOT EXISTS (SELECT 1 FROM base c WHERE c.r = corpus.r AND corpus.s < c.e AND c.s < corpus.e)),
 spans AS (
   SELECT r, o, kind, s, e FROM base
   UNION ALL SELECT r, CASE kind WHEN 'generalise' THEN 5 ELSE 6 END, kind, s, e FROM added)

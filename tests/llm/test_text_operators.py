@@ -374,7 +374,7 @@ TRICKY = [
 
 def spark_spans(spark, texts):
     rows = [(i, t) for i, t in enumerate(texts)]
-    found = pii.found(spark.createDataFrame(rows, "doc_id long, text string"), support=10**6).collect()
+    found = pii.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     return {r.doc_id: [f"{k}:{s.s}:{s.e}" for k in pii.KINDS for s in r[k]] for r in found}
 
 
@@ -393,17 +393,81 @@ def test_base_spans_of_random_texts(spark):
     assert not wrong[:3]
 
 
+def brute_terms(rows, disclosure=0.9, removal=0.95):
+    """The method word for word: all tokens, all pairs of a token and an entity within ten free terms on a line, every occurrence."""
+    from collections import Counter
+    from math import log
+
+    letters = re.compile(r"[^\W\d_]{3,}")
+    every, near, tokens = Counter(), set(), {}
+    for n, (_, text) in enumerate(rows):
+        text = text or ""
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in brute_spans(text))]
+        free = []
+        for m in letters.finditer(text):
+            every[m[0].lower()] += 1
+            if all(m.end() <= a or b <= m.start() for _, a, b in spans):
+                free.append((m.start(), m.end(), m[0].lower()))
+        tokens[n] = free
+        for k, a, b in spans:
+            value = text[a:b].lower() if k in ("email", "ip") else re.sub("[^0-9]", "", text[a:b])
+            low, high = text.rfind("\n", 0, a) + 1, text.find("\n", b) % (len(text) + 1)
+            line = [t for t in free if low <= t[0] and t[1] <= high]
+            for t in [t for t in line if t[1] <= a][-10:] + [t for t in line if t[0] >= b][:10]:
+                near.add((n, f"{k}:{value}", *t))
+    together, close = Counter((c, t) for _, c, _, _, t in near), Counter(c for _, c, *_ in near)
+    marks = {}
+    for (c, t), k in together.items():
+        ic = -log(min(close[c] / max(sum(every.values()), 1), 1))
+        ratio = 1 + log(k / (every[t] + 1)) / ic if ic > 0 else 0
+        if ratio >= disclosure:
+            marks[t] = max(marks.get(t, ""), "remove" if ratio >= removal else "generalise")
+    return {n: sorted((marks[t], a, b) for a, b, t in own if t in marks) for n, own in tokens.items()}
+
+
+def test_terms_are_those_of_the_method_word_for_word(spark):
+    rng = np.random.default_rng(21)
+    words = [f"{a}{b}{c}" for a in "kst" for b in "aeiou" for c in ("lm", "nd", "rst", "vv")]
+    people = [f"person{'abcdefghij'[i]}@mail.example.com" for i in range(10)] + ["+1 (706) 555-3138", "4111 1111 1111 1111", "10.0.0.1"]
+    rows = []
+    for i in range(400):
+        line = list(rng.choice(words, int(rng.integers(3, 60))))
+        for _ in range(int(rng.integers(0, 3)) if i % 3 == 0 else 0):
+            who = int(rng.integers(len(people)))
+            at = int(rng.integers(len(line)))
+            line[at:at] = [f"clue{'abcdefghijklm'[who]}", people[who]] if rng.random() < 0.7 else [people[who]]
+        if i % 5 == 0:
+            line.insert(int(rng.integers(len(line))), f"clue{'abcdefghijklm'[int(rng.integers(13))]}")
+        rows.append((i, str(rng.choice([" ", " ", "\n"])).join(line)))
+    rows += [(500, None), (501, ""), (502, rows[0][1]), (502, rows[0][1]), (None, "cluea alone, x@y.zz")]
+    got = sorted((((-1 if r.doc_id is None else r.doc_id), [tuple(t) for t in r.terms]) for r in pii.found(spark.createDataFrame(rows, "doc_id long, text string"), 0.5, 0.7).collect()), key=str)
+    brute = brute_terms(rows, 0.5, 0.7)
+    assert got == sorted(((-1 if d is None else d, brute[n]) for n, (d, _) in enumerate(rows)), key=str)
+    assert sum(len(t) for _, t in got) > 50
+
+
 def test_disclosing_terms_are_added(spark):
     common = "the report names some people and some places of the town "
     rows = [(i, f"{common} filler{'abcdefghij'[i % 10]} words {i}") for i in range(300)]
     rows += [(1000 + i, f"{'xyzuvw'[i]} Kestrelworth wrote to kestrel@mail.example.com about the town {'pqrstu'[i]}") for i in range(6)]
-    rows += [(2000, "Kestrelworth alone is no reason"), (2001, None)]
+    rows += [(2000, "Kestrelworth alone says who it is"), (2001, None), (2002, "Seen once: Jackdaw at jack@mail.example.com")]
     found = {r.doc_id: r for r in pii.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     texts = dict(rows)
+    marked = {d: [texts[d][t.s : t.e] for t in r.terms] for d, r in found.items()}
     for i in range(6):
-        marked = [texts[1000 + i][t.s : t.e] for t in found[1000 + i].terms]
-        assert "Kestrelworth" in marked and "the" not in marked and "town" not in marked
-    assert not found[2000].terms and not found[2001].terms and not any(found[i].terms for i in range(300))
+        assert "Kestrelworth" in marked[1000 + i] and "the" not in marked[1000 + i] and "town" not in marked[1000 + i]
+    assert marked[2000] == ["Kestrelworth"] and not marked[2001] and "Jackdaw" in marked[2002] and not any(marked[i] for i in range(300))
+
+
+def test_long_lines_take_time_in_proportion(spark):
+    import time
+
+    words = " ".join(f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}" for i in range(200_000))
+    start = time.perf_counter()
+    rows = [(1, words + " Kestrelworth me@here.example.com"), (2, "me@here.example.com word " * 5000)]
+    found = {r.doc_id: r for r in pii.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(found[1].email) == 1 and len(found[2].email) == 5000 and found[2].email[4999].s == 4999 * 25
+    assert time.perf_counter() - start < 60
 
 
 def test_sanitised_text(spark):
@@ -411,11 +475,16 @@ def test_sanitised_text(spark):
 
     df = spark.sql("select 'mail a@b.cc from Kestrel now' as text, array(named_struct('kind','email','s',5L,'e',11L), named_struct('kind','remove','s',17L,'e',24L)) as spans")
     assert df.select(pii.sanitised(F.col("text"), F.col("spans"))).first()[0] == "mail [EMAIL] from  now"
+    many = spark.createDataFrame([(1, "é1.1.1.1 ü " * 1000 + "end"), (2, ""), (3, "1.1.1.1")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.sanitised_documents(many, disclosure=2.0).collect()}
+    assert got == {1: "é[IP] ü " * 1000 + "end", 2: "", 3: "[IP]"}
 
 
 def test_sanitised_documents(spark):
     rows = [(1, "call +4111111111111111 or a@b.cc \U0001f600 1.1.1.1"), (2, "nothing"), (3, None)]
-    got = {r.doc_id: r.text for r in pii.sanitised_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in pii.sanitised_documents(df).collect()}[1] == " +[CARD] or [EMAIL] \U0001f600 [IP]"  # the only term there is names the card
+    got = {r.doc_id: r.text for r in pii.sanitised_documents(df, disclosure=2.0).collect()}
     assert got == {1: "call +[CARD] or [EMAIL] \U0001f600 [IP]", 2: "nothing", 3: None}
 
 
