@@ -21,10 +21,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays.
+    """One document of each group of near copies stays: the row of the smallest id.
 
     Links are pairs of a Jaccard similarity of 0.8 or more of their sets of 5-word shingles, each compared exactly. Candidates are
-    SimHash groups (19 of 128 bits, which such sets differ in on average; 10 of the first 64 are searched) and MinHash bands.
+    SimHash groups (19 of 128 bits, which such sets differ in on average; 10 of the first 64 are searched) and MinHash bands,
+    which catch those pairs whose fingerprints differ more.
     """
     return simhash.deduplicated(docs, bits=10, words=5, wide=19, alike=0.8)
 
@@ -47,7 +48,7 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: No SQL: classifier and fingerprints are beyond it. tests/llm/test_pipeline.py holds run() against brute force.
+#: No SQL: classifier and fingerprints are beyond it. tests/llm holds each stage, and run() against the stages, to brute force.
 ORACLE_SQL = None
 
 
