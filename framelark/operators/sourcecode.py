@@ -1,12 +1,13 @@
 """Source analysis as tables: files of contracts in, functions with their accesses and calls out.
 
-A contract's files are one group (compilers bound their size), parsed by Python; what follows are joins and explodes.
+A contract's files are one group (compilers bound their size), parsed by Python once for all contracts of equal files; what follows are
+joins and explodes.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CALL = "function_name:string,signature:string,call_type:string,destination_kind:string,destination:string,address:string,contract_type:string,arguments:int,via:array<string>"
@@ -20,7 +21,8 @@ FUNCTIONS = (
 def functions(files: DataFrame, targets: DataFrame, language: str = "solidity") -> DataFrame:
     """The exposed functions of each contract: ``files(addr, path, content)`` and ``targets(addr, contract, abi array<string>)``.
 
-    A contract without files gives its interface's functions, without source; one without either gives no rows.
+    A contract without files gives its interface's functions, without source; one without either gives no rows. Contracts that are
+    equal in files, name and interface are analysed once: only digests are dealt out to find them.
     """
     names = [c.split()[0] for c in FUNCTIONS.split(", ")]
 
@@ -34,7 +36,12 @@ def functions(files: DataFrame, targets: DataFrame, language: str = "solidity")
         found = analyse(own, first["contract"], abi) if own or abi else []
         return pd.DataFrame([r | {"addr": first["addr"], "ord": i} for i, r in enumerate(found)], columns=names)
 
-    return targets.join(files, "addr", "left").groupBy("addr").applyInPandas(run, FUNCTIONS)
+    digests = files.groupBy("addr").agg(F.array_sort(F.collect_list(F.concat_ws(":", F.coalesce("path", F.lit("")), F.md5(F.coalesce("content", F.lit("")))))).alias("files"))
+    keyed = targets.join(digests, "addr", "left").select("addr", F.md5(F.to_json(F.struct("contract", "abi", "files"))).alias("_key"))
+    first = keyed.groupBy("_key").agg(F.min("addr").alias("_first"))
+    chosen = first.select(F.col("_first").alias("addr"))
+    found = targets.join(chosen, "addr", "left_semi").join(files, "addr", "left").groupBy("addr").applyInPandas(run, FUNCTIONS)
+    return keyed.join(first, "_key").join(found.withColumnRenamed("addr", "_first"), "_first").select(*names)
 
 
 def accesses(found: DataFrame) -> DataFrame:
@@ -51,30 +58,46 @@ def internal_calls(found: DataFrame) -> DataFrame:
     return found.select("addr", F.col("signature").alias("fn"), F.posexplode("internal_calls").alias("call_ord", "c")).select("addr", "fn", "call_ord", "c.*")
 
 
-def reach(edges: DataFrame, levels: int = 1000) -> DataFrame:
-    """``path, reaches``: transitive closure of ``edges(path, target)``, each path itself included; a recursive query over distinct pairs."""
-    spark, name = edges.sparkSession, f"edges_{abs(hash(edges.semanticHash()))}"
-    edges.distinct().createOrReplaceTempView(name)
-    return spark.sql(f"""
-        WITH RECURSIVE walk(path, reaches, trail) MAX RECURSION LEVEL {levels} AS (
-          SELECT DISTINCT p AS path, p AS reaches, array(p) AS trail FROM (SELECT path AS p FROM {name} UNION SELECT target FROM {name})
-          UNION ALL
-          SELECT w.path, e.target, concat(w.trail, array(e.target)) FROM walk w JOIN {name} e ON e.path = w.reaches WHERE NOT array_contains(w.trail, e.target)
-        ) SELECT DISTINCT path, reaches FROM walk""")
-
-
-def linearised(bases: DataFrame, levels: int = 200) -> DataFrame:
-    """``unit, base, place``: bases depth first from left to right, each at its first visit; ``bases(unit, ord, base)``, base null for a unit without any."""
-    spark, name = bases.sparkSession, f"bases_{abs(hash(bases.semanticHash()))}"
-    bases.createOrReplaceTempView(name)
-    visited = spark.sql(f"""
-        WITH RECURSIVE walk(unit, base, path, trail) MAX RECURSION LEVEL {levels} AS (
-          SELECT DISTINCT unit, unit AS base, CAST(array() AS array<int>) AS path, array(unit) AS trail FROM {name}
-          UNION ALL
-          SELECT w.unit, b.base, concat(w.path, array(b.ord)), concat(w.trail, array(b.base)) FROM walk w JOIN {name} b ON b.unit = w.base
-          WHERE b.base IS NOT NULL AND NOT array_contains(w.trail, b.base)
-        ) SELECT unit, base, min(path) AS path FROM walk GROUP BY unit, base""")
-    return visited.select("unit", "base", (F.row_number().over(Window.partitionBy("unit").orderBy("path")) - 1).alias("place"))
+def reach(edges: DataFrame) -> DataFrame:
+    """``addr, path, reaches``: transitive closure of ``edges(addr, path, target)``, each path itself included. One contract's imports are one group."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        targets: dict[str, set] = {}
+        for path, target in zip(rows["path"], rows["target"]):
+            targets.setdefault(path, set()).add(target)
+            targets.setdefault(target, set())
+        out = []
+        for start in targets:
+            seen, left = {start}, [start]
+            while left:
+                new = targets[left.pop()] - seen
+                seen |= new
+                left.extend(new)
+            out += [(rows["addr"].iloc[0], start, x) for x in seen]
+        return pd.DataFrame(out, columns=["addr", "path", "reaches"])
+
+    return edges.select("addr", "path", "target").groupBy("addr").applyInPandas(run, "addr string, path string, reaches string")
+
+
+def linearised(bases: DataFrame) -> DataFrame:
+    """``addr, unit, base, place``: bases depth first from left to right, each at its first visit; ``bases(addr, unit, ord, base)``, base null for a unit without any."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        below: dict[str, list] = {}
+        for unit, _, base in sorted(zip(rows["unit"], rows["ord"], rows["base"]), key=lambda r: r[:2]):
+            below.setdefault(unit, []).extend([base] if base is not None else [])
+        out = []
+        for unit in below:
+            order, left = [], [unit]
+            while left:
+                one = left.pop()
+                if one not in order:
+                    order.append(one)
+                    left.extend(reversed(below.get(one, [])))
+            out += [(rows["addr"].iloc[0], unit, base, place) for place, base in enumerate(order)]
+        return pd.DataFrame(out, columns=["addr", "unit", "base", "place"])
+
+    return bases.select("addr", "unit", "ord", "base").groupBy("addr").applyInPandas(run, "addr string, unit string, base string, place int")
 
 
 def execution_tree(found: DataFrame) -> DataFrame:

@@ -1,7 +1,4 @@
-"""Queries of scalar functions, dimensions, landed documents, hashing, interfaces and bytecode.
-
-Where SQL has no such function the expected rows stand as VALUES, the published vectors.
-"""
+"""Queries of scalar functions, dimensions, landed documents, hashing, interfaces and bytecode, over tables of many contracts."""
 
 from __future__ import annotations
 
@@ -9,15 +6,20 @@ from pyspark.sql import functions as F
 
 from framelark.functions import abi, hashing, scalars
 from framelark.operators import bytecode
+from framelark.plans.keccaksql import keccak
 from framelark.plans.registry import query
 from framelark.sources import dimensions, wire
+from framelark.sources.testcontracts import expected, instances, literal_sql
 from framelark.sources.testtables import PRELUDE, frames, table
 
 
 def values(rows, names):
     """SQL of literal rows."""
-    text = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS t({', '.join(names)})"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal_sql, r)) + ')' for r in rows)}) AS t({', '.join(names)})"
+
+
+def literal(spark, rows, schema):
+    return spark.createDataFrame([tuple(r) for r in rows], schema)
 
 
 # --- over tables ---------------------------------------------------------------------------------------------------
@@ -198,79 +200,87 @@ def dim_depths(spark, sf_dir):
     return dimensions.depths(spark)
 
 
-@query(values([(c[1], d[0], max(1, int(d[1] * 86400 / c[4] + 0.5)), min(2000, max(25, int(2000 * c[4] / 12 + 0.5)))) for c in dimensions.CHAINS for d in dimensions.DEPTHS], ("key", "depth", "span", "slice")).replace("SELECT *", "SELECT key, depth, span::BIGINT AS span, slice::BIGINT AS slice"))
+@query(f"SELECT n_name AS key, depth, greatest(1, floor(days * 86400 / bt + 0.5))::BIGINT AS span FROM (SELECT n_name, (n_nationkey + 1) / 4.0::DOUBLE AS bt FROM nation), ({values(dimensions.DEPTHS, ('depth', 'days', 'slices', 'txs', 'frames', 'stage_s', 'runtime_s'))})")
 def math_span_blocks(spark, sf_dir):
-    """Blocks of each depth's days and first slice on each chain."""
-    pairs = dimensions.chains(spark).crossJoin(F.broadcast(dimensions.depths(spark)))
-    return pairs.select("key", "depth", scalars.span_blocks(F.col("days"), F.col("block_time")).alias("span"), scalars.slice_size(F.col("block_time")).alias("slice"))
+    """Blocks of each depth's days on chains of many block times."""
+    chains = table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), ((F.col("n_nationkey") + 1) / F.lit(4.0)).alias("block_time"))
+    pairs = chains.crossJoin(F.broadcast(dimensions.depths(spark)))  # three depths
+    return pairs.select("key", "depth", scalars.span_blocks(F.col("days"), F.col("block_time")).alias("span"))
 
 
-@query(values([(c[2], c[3], i + 1) for i, c in enumerate(sorted(dimensions.CHAINS, key=lambda c: (not c[3], c[2])))], ("label", "trace_filter", "place")).replace("SELECT *", "SELECT label, trace_filter, place::BIGINT AS place"))
+@query("SELECT n_name AS label, row_number() OVER (ORDER BY n_regionkey % 2 DESC, n_name) AS place FROM nation")
 def sort_chains(spark, sf_dir):
+    """Chains that can filter traces first, then by label."""
     from pyspark.sql import Window
 
-    order = Window.orderBy(F.col("trace_filter").desc(), "label")
-    return dimensions.chains(spark).select("label", "trace_filter", F.row_number().over(order).cast("long").alias("place"))
+    order = Window.orderBy((F.col("n_regionkey") % 2).desc(), "n_name")
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("label"), F.row_number().over(order).cast("long").alias("place"))
 
 
 # --- hashing and interfaces ----------------------------------------------------------------------------------------
 
-#: Published digests, selectors and checksummed addresses.
-DIGESTS = (("", "0xc5d2460186f7233c927e7db2dcc703c0e500b653ca82273b7bfad8045d85a470"), ("abc", "0x4e03657aea45a94fc7d47ba826c8d667c0d1e6e33a64a036ec44f58fa12d6c45"),
-           ("a" * 200, "0x96ea54061def936c4be90b518992fdc6f12f535068a256229aca54267b4d084d"))
-SELECTORS = (("transfer(address,uint256)", "0xa9059cbb"), ("transferFrom(address,address,uint256)", "0x23b872dd"), ("deposit(uint256,address)", "0x6e553f65"), ("balanceOf(address)", "0x70a08231"), ("totalAssets()", "0x01e1d114"))
-TOPICS = (("Transfer(address,address,uint256)", "0xddf252ad1be2c89b69c2b068fc378daa952ba7f163c4a11628f55a4df523b3ef"), ("Approval(address,address,uint256)", "0x8c5be1e5ebec7d5bd14f71427d1e84f3dd0314c0f7b2291e5b200ac8c7c3b925"))
-CHECKSUMS = ("0x5aAeb6053F3E94C9b9A09f33669435E7Ef1BeAed", "0xfB6916095ca1df60bB79Ce92cE3Ea74c37c5d359", "0xdbF03B407c01E7cD3CBea99509d93f8DDDC8C6FB", "0xD1220A0cf47c7B9Be7A2E6BA89F429762e7b9aDb", "not an address")
 
+@query(f"WITH RECURSIVE {keccak('SELECT p_name || p_partkey AS k FROM part')} SELECT p_partkey, digest FROM part JOIN keccak ON k = p_name || p_partkey")
+def fn_keccak(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", hashing.keccak256(F.concat("p_name", F.col("p_partkey").cast("string"))).alias("digest"))
 
-def literal(spark, rows, schema):
-    return spark.createDataFrame([tuple(r) for r in rows], schema)
 
+MADE = "replace(p_name, ' ', '_') || p_partkey % 400 || '(uint256,' || lower(p_type) || '[' || p_size || '])'"
 
-@query(values(DIGESTS, ("text", "digest")))
-def fn_keccak(spark, sf_dir):
-    return literal(spark, DIGESTS, "text string, digest string").select("text", hashing.keccak256(F.col("text")).alias("digest"))
+
+def made_signature():
+    """A signature out of a part: a column, and ``MADE`` in SQL."""
+    return F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), (F.col("p_partkey") % 400).cast("string"), F.lit("(uint256,"), F.lower("p_type"), F.lit("["), F.col("p_size").cast("string"), F.lit("])"))
 
 
-@query(values(SELECTORS, ("signature", "selector")))
+@query(f"WITH RECURSIVE {keccak(f'SELECT {MADE} AS k FROM part')} SELECT p_partkey, substr(digest, 1, 10) AS selector FROM part JOIN keccak ON k = {MADE}")
 def fn_selector(spark, sf_dir):
-    return literal(spark, SELECTORS, "signature string, s string").select("signature", hashing.selector(F.col("signature")).alias("selector"))
+    return table(spark, sf_dir, "part").select("p_partkey", hashing.selector(made_signature()).alias("selector"))
 
 
-@query(values(TOPICS, ("signature", "topic")))
+@query(f"WITH RECURSIVE {keccak(f'SELECT {MADE} AS k FROM part')} SELECT p_partkey, digest AS topic FROM part JOIN keccak ON k = {MADE}")
 def fn_topic0(spark, sf_dir):
-    return literal(spark, TOPICS, "signature string, t string").select("signature", hashing.topic0(F.col("signature")).alias("topic"))
+    return table(spark, sf_dir, "part").select("p_partkey", hashing.topic0(made_signature()).alias("topic"))
 
 
-@query(values([(a.lower(), a) for a in CHECKSUMS], ("address", "checksum")))
+ACCOUNTS = "SELECT c_custkey, md5(c_name) || substr(md5(c_custkey::VARCHAR), 1, 8) AS k FROM customer"
+
+
+@query(f"""WITH RECURSIVE {keccak(f'SELECT k FROM ({ACCOUNTS})')}
+SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'no address' ELSE '0x' || list_aggregate(list_transform(range(1, 41), lambda i: CASE WHEN substr(digest, i + 2, 1) >= '8' THEN upper(substr(k, i, 1)) ELSE substr(k, i, 1) END), 'string_agg', '') END AS checksum
+FROM ({ACCOUNTS}) JOIN keccak USING (k)""")
 def fn_checksum(spark, sf_dir):
-    return literal(spark, [(a.lower(),) for a in CHECKSUMS], "address string").select("address", hashing.to_checksum(F.col("address")).alias("checksum"))
+    """Addresses in the mixed case that their digest asks for; what is no address stays."""
+    account = F.concat(F.lit("0x"), F.md5("c_name"), F.substring(F.md5(F.col("c_custkey").cast("string")), 1, 8))
+    account = F.when(F.col("c_custkey") % 9 == 0, "no address").otherwise(account)
+    return table(spark, sf_dir, "customer").select("c_custkey", hashing.to_checksum(account).alias("checksum"))
 
 
-TUPLE = '{"type":"tuple[2][]","components":[{"type":"address"},{"type":"tuple","components":[{"type":"uint256"},{"type":"bytes"}]}]}'
+TYPE_KINDS = ("nested", "plain", "list", "empty")
+TYPES = (("nested", '{"type":"tuple[¤][]","components":[{"type":"address"},{"type":"tuple","components":[{"type":"uint256"},{"type":"bytes¤"}]}]}', "(address,(uint256,bytes¤))[¤][]"), ("plain", '{"type":"uint¤"}', "uint¤"),
+         ("list", '{"type":"tuple[]","components":[]}', "()[]"), ("empty", "{}", ""))
 
 
-@query(values([(TUPLE, "(address,(uint256,bytes))[2][]"), ('{"type":"uint8"}', "uint8")], ("param", "kind")))
+@query(expected(TYPE_KINDS, [(k, t) for k, _, t in TYPES], ("kind",)))
 def fn_canonical_type(spark, sf_dir):
-    return literal(spark, [(TUPLE,), ('{"type":"uint8"}',)], "param string").select("param", abi.canonical_type_of("param").alias("kind"))
+    params = instances(spark, sf_dir, TYPE_KINDS, [t[:2] for t in TYPES], "param string")
+    return params.select("addr", abi.canonical_type_of("param").alias("kind"))
 
 
-ABIS = (
-    ("a", 0, '[{"type":"function","name":"supply","inputs":[{"type":"tuple","components":[{"type":"address"},{"type":"address"},{"type":"uint256"}]},{"type":"uint256[]"}]},{"name":"no type"},7]'),
-    ("a", 1, '[{"type":"event","name":"Moved","inputs":[]},{"type":"function","name":"supply","stateMutability":"view","inputs":[{"type":"tuple","components":[{"type":"address"},{"type":"address"},{"type":"uint256"}]},{"type":"uint256[]"}]}]'),
-    ("b", 0, "not json"),
-)
+SUPPLY = '{"type":"function","name":"supply¤","inputs":[{"type":"tuple","components":[{"type":"address"},{"type":"address"},{"type":"uint256"}]},{"type":"uint256[]"}]}'
+ABI_KINDS = ("two", "one", "broken")
+ABIS = (("two", 0, f'[{SUPPLY},{{"name":"no type"}},7]'), ("two", 1, f'[{{"type":"event","name":"Moved","inputs":[]}},{SUPPLY}]'), ("one", 3, '[{"type":"function","name":"f","inputs":[{"type":"int¤"}]}]'), ("broken", 0, "not json"))
 
 
-@query(values([("a", "function", "supply((address,address,uint256),uint256[])", 0), ("a", "event", "Moved()", 1)], ("addr", "type", "signature", "source")))
+@query(expected(ABI_KINDS, [("two", "function", "supply¤((address,address,uint256),uint256[])", 0), ("two", "event", "Moved()", 1), ("one", "function", "f(int¤)", 3)], ("type", "signature", "source")))
 def set_merge_abi(spark, sf_dir):
     """Entries of two interfaces of one contract; the first source that has one counts."""
-    return abi.merged(abi.parsed(literal(spark, ABIS, "addr string, source int, abi string"))).select("addr", "type", "signature", "source")
+    return abi.merged(abi.parsed(instances(spark, sf_dir, ABI_KINDS, ABIS, "source int, abi string"))).select("addr", "type", "signature", "source")
 
 
-@query(values([("a", "function", "supply((address,address,uint256),uint256[])"), ("a", "event", "Moved()")], ("addr", "type", "signature")))
+@query(expected(ABI_KINDS, [("two", "function", "supply¤((address,address,uint256),uint256[])"), ("two", "event", "Moved()"), ("one", "function", "f(int¤)")], ("type", "signature")))
 def fn_signature(spark, sf_dir):
-    return abi.parsed(literal(spark, ABIS, "addr string, source int, abi string")).select("addr", "type", "signature").distinct()
+    return abi.parsed(instances(spark, sf_dir, ABI_KINDS, ABIS, "source int, abi string")).select("addr", "type", "signature").distinct()
 
 
 @query("SELECT p_partkey, CASE WHEN strpos(s, '(') > 1 THEN split_part(s, '(', 1) END AS name FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name || '(x(y))' WHEN p_partkey % 3 = 1 THEN '(' || p_name ELSE p_name END AS s FROM part)")
@@ -280,55 +290,89 @@ def fn_sig_name(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", scalars.name_of_signature(text).alias("name"))
 
 
-COLLISIONS = (("0xa9059cbb", "workMyDirefulOwner(uint256,uint256)"), ("0xa9059cbb", "transfer(address,uint256)"), ("0xa9059cbb", "totallyUnrelated(uint256)"), ("0xdeadbeef", "nothing()"))
+#: Two signatures of one published selector, and one of another.
+COLLISIONS = (("0xa9059cbb", "workMyDirefulOwner(uint256,uint256)"), ("0xa9059cbb", "transfer(address,uint256)"), ("0xa9059cbb", "totallyUnrelated(uint256)"))
+COLLIDING = values(COLLISIONS, ("selector", "signature"))
 
 
-@query(values([("0xa9059cbb", "transfer(address,uint256)", "workMyDirefulOwner(uint256,uint256)"), ("0xdeadbeef", None, "")], ("selector", "chosen", "alternatives")))
+@query(f"""WITH RECURSIVE {keccak(f"SELECT {MADE} AS k FROM part UNION ALL SELECT 'x' || {MADE} FROM part UNION ALL SELECT signature FROM ({COLLIDING})")},
+own AS (SELECT p_partkey, {MADE} AS s, substr(digest, 1, 10) AS selector FROM part JOIN keccak ON k = {MADE}),
+candidates AS (
+  SELECT CASE WHEN p_partkey % 5 = 0 THEN '0x' || substr(md5(s), 1, 8) ELSE selector END AS selector, s AS signature FROM own
+  UNION ALL SELECT CASE WHEN p_partkey % 5 = 0 THEN '0x' || substr(md5(s), 1, 8) ELSE selector END, 'x' || s FROM own UNION ALL SELECT * FROM ({COLLIDING})),
+good AS (SELECT DISTINCT selector, signature FROM candidates JOIN keccak ON k = signature WHERE substr(digest, 1, 10) = selector),
+chosen AS (SELECT selector, list(signature ORDER BY length(signature), signature) AS a FROM good GROUP BY selector)
+SELECT c.selector, a[1] AS chosen, coalesce(array_to_string(a[2:], ';'), '') AS alternatives FROM (SELECT DISTINCT selector FROM candidates) c LEFT JOIN chosen USING (selector)""")
 def topk_signature(spark, sf_dir):
-    found = abi.verified(literal(spark, COLLISIONS, "selector string, signature string"))
+    """Signatures that a database claims for a selector, checked: some are of other functions, some selectors have none."""
+    own = table(spark, sf_dir, "part").select("p_partkey", made_signature().alias("signature"))
+    claimed = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("0x"), F.substring(F.md5("signature"), 1, 8))).otherwise(hashing.selector(F.col("signature")))
+    own = own.select(claimed.alias("selector"), "signature")
+    every = own.unionByName(own.select("selector", F.concat(F.lit("x"), "signature").alias("signature"))).unionByName(literal(spark, COLLISIONS, "selector string, signature string"))
+    found = abi.verified(every)
     return found.select("selector", "chosen", F.array_join("alternatives", ";").alias("alternatives"))
 
 
-HOLDERS = [("t", s) for s in abi.STANDARDS["ERC20"]] + [("v", s) for s in (*abi.STANDARDS["ERC20"], *abi.STANDARDS["ERC4626"], "owner()")] + [("o", s) for s in abi.STANDARDS["Ownable"]]
+HOLDER_KINDS = ("token", "vault", "owned", "almost")
+HOLDERS = [("token", s) for s in abi.STANDARDS["ERC20"]] + [("vault", s) for s in (*abi.STANDARDS["ERC20"], *abi.STANDARDS["ERC4626"], "owner()")] + [("owned", s) for s in (*abi.STANDARDS["Ownable"], "f¤()")] + [("almost", s) for s in abi.STANDARDS["ERC20"][1:]]
 
 
-@query(values([("t", "ERC20"), ("v", "ERC20"), ("v", "ERC4626"), ("o", "Ownable")], ("holder", "standard")))
+@query(expected(HOLDER_KINDS, [("token", "ERC20"), ("vault", "ERC20"), ("vault", "ERC4626"), ("owned", "Ownable")], ("standard",)))
 def standards_held(spark, sf_dir):
-    holders = literal(spark, HOLDERS, "holder string, signature string").select("holder", hashing.selector(F.col("signature")).alias("member"))
-    return abi.division(holders, abi.standards_table(spark))
+    """Standards all of whose functions a contract has, by selector."""
+    holders = instances(spark, sf_dir, HOLDER_KINDS, HOLDERS, "signature string").select(F.col("addr").alias("holder"), hashing.selector(F.col("signature")).alias("member"))
+    return abi.division(holders, abi.standards_table(spark)).withColumnRenamed("holder", "addr")
 
 
 # --- bytecode ------------------------------------------------------------------------------------------------------
 
-SCANS = (("linear", "0x63a9059cbb14"), ("shuffled", "0x63a9059cbb8014"), ("search", "0x6370a0823111"), ("error", "0x639fabe1c15260fd"), ("operand", "0x6163aa14"))
+#: Code by kind: a scan's push is compared straight, after a shuffle, or by GT; as an error's or another push's operand it is no selector.
+CODES = {
+    "linear": "0x63a9059c¶14", "shuffled": "0x63a9059c¶8014", "search for": "0x6370a082¶11", "error": "0x639fabe1¶5260fd", "operand": "0x6163¶14",
+    # stores 1 to slot 0, reads it back and jumps to a place that is no jump target
+    "program": "0x6001600055600054600a576000600bfd5b00",
+    # dispatch of one function at 0x11 that stores 5 to a slot and logs a topic
+    "dispatch": "0x" + "60003560e01c" + "63a9059cbb" + "14" + "6011" + "57" + "0000" + "5b" + "600560¶55" + "7f" + "ab" * 31 + "¶" + "60006000a1" + "00",
+    # two selectors: a search by GT at the start, XOR for 0x999999¶ (falls into 26 on a match), EQ for 0x111111¶ at 28 (jumps to 42)
+    "search": "0x60003560e01c" + "8063500000¶11601c57" + "8063999999¶18602857" + "5b00" + "5b8063111111¶14602a57" + "fd" + "5bfd" + "5b00",
+    "trailer": "0x60015ba1656970667358221220aa¶000c", "short": "0x00ff", "none": "0x", "odd": "0x6", "null": None,
+}
+DISPATCH_KINDS = ("dispatch", "program", "none", "null")
+SCAN_KINDS = ("linear", "shuffled", "search for", "error", "operand", "none")
+PROGRAM_KINDS = ("program", "none", "odd", "null")
 
 
-@query(values([("linear", "0xa9059cbb"), ("shuffled", "0xa9059cbb"), ("search", "0x70a08231")], ("addr", "selector")))
-def win_selector_scan(spark, sf_dir):
-    return bytecode.dispatcher_selectors(bytecode.decoded(literal(spark, SCANS, "addr string, code string")))
+def codes(spark, sf_dir, *kinds):
+    """Landed code ``addr, code`` of contracts of some kinds."""
+    return instances(spark, sf_dir, kinds, [(k, CODES[k]) for k in kinds], "code string")
+
+
+program = lambda rows, names, **more: expected(PROGRAM_KINDS, [("program", *r) for r in rows], names, **more)
 
 
-PROGRAM = "0x6001600055600054600a576000600bfd5b00"
+@query(expected(SCAN_KINDS, [("linear", "0xa9059c¶"), ("shuffled", "0xa9059c¶"), ("search for", "0x70a082¶")], ("selector",)))
+def win_selector_scan(spark, sf_dir):
+    return bytecode.dispatcher_selectors(bytecode.decoded(codes(spark, sf_dir, *SCAN_KINDS)))
 
 
-@query(values([(0, "PUSH1", "01"), (2, "PUSH1", "00"), (4, "SSTORE", None), (5, "PUSH1", "00"), (7, "SLOAD", None), (8, "PUSH1", "0a"), (10, "JUMPI", None), (11, "PUSH1", "00"), (13, "PUSH1", "0b"), (15, "REVERT", None), (16, "JUMPDEST", None), (17, "STOP", None)], ("pc", "mnemonic", "operand")))
+@query(program([(0, "PUSH1", "01"), (2, "PUSH1", "00"), (4, "SSTORE", None), (5, "PUSH1", "00"), (7, "SLOAD", None), (8, "PUSH1", "0a"), (10, "JUMPI", None), (11, "PUSH1", "00"), (13, "PUSH1", "0b"), (15, "REVERT", None), (16, "JUMPDEST", None), (17, "STOP", None)], ("pc", "mnemonic", "operand")))
 def bc_decode(spark, sf_dir):
-    return bytecode.decoded(literal(spark, [("x", PROGRAM)], "addr string, code string")).select("pc", "mnemonic", "operand")
+    return bytecode.decoded(codes(spark, sf_dir, *PROGRAM_KINDS)).select("addr", "pc", "mnemonic", "operand")
 
 
-@query(values([(0, 0, 10, 7, "JUMPI"), (1, 11, 15, 3, "REVERT"), (2, 16, 17, 2, "STOP")], ("block", "start", "end", "n", "last_op")).replace("end, n", '"end", n').replace("SELECT *", 'SELECT block::BIGINT AS block, start, "end", n::BIGINT AS n, last_op'))
+@query(program([(0, 0, 10, 7, "JUMPI"), (1, 11, 15, 3, "REVERT"), (2, 16, 17, 2, "STOP")], ("block", "start", "end", "n", "last_op"), longs=("block", "n")))
 def bc_blocks(spark, sf_dir):
-    return bytecode.blocks(bytecode.decoded(literal(spark, [("x", PROGRAM)], "addr string, code string"))).select("block", "start", "end", "n", "last_op")
+    return bytecode.blocks(bytecode.decoded(codes(spark, sf_dir, *PROGRAM_KINDS))).select("addr", "block", "start", "end", "n", "last_op")
 
 
-@query(values([(4, "write", "0x0"), (7, "read", "0x0")], ("pc", "access", "slot")))
+@query(expected(("program", "dispatch"), [("program", 4, "write", "0x0"), ("program", 7, "read", "0x0"), ("dispatch", 22, "write", "0x§")], ("pc", "access", "slot")))
 def win_slot_before(spark, sf_dir):
-    return bytecode.slots_before(bytecode.decoded(literal(spark, [("x", PROGRAM)], "addr string, code string"))).select("pc", "access", "slot")
+    return bytecode.slots_before(bytecode.decoded(codes(spark, sf_dir, "program", "dispatch"))).select("addr", "pc", "access", "slot")
 
 
-@query(values([(True, True, False, False)], ("reads_storage", "writes_storage", "calls", "delegatecalls")))
+@query(expected(DISPATCH_KINDS, [("dispatch", False, True, False, False), ("program", True, True, False, False)], ("reads_storage", "writes_storage", "calls", "delegatecalls")))
 def agg_code_facts(spark, sf_dir):
-    return bytecode.code_facts(bytecode.decoded(literal(spark, [("x", PROGRAM)], "addr string, code string"))).select("reads_storage", "writes_storage", "calls", "delegatecalls")
+    return bytecode.code_facts(bytecode.decoded(codes(spark, sf_dir, *DISPATCH_KINDS))).select("addr", "reads_storage", "writes_storage", "calls", "delegatecalls")
 
 
 @query(values(sorted(bytecode.NAMES.items()), ("op", "mnemonic")))
@@ -336,79 +380,105 @@ def bc_opcodes(spark, sf_dir):
     return dimensions.opcodes(spark)
 
 
-# dispatch of one function at 0x11 that stores 5 to slot 2 and logs a topic
-DISPATCH = "0x" + "60003560e01c" + "63a9059cbb" + "14" + "6011" + "57" + "0000" + "5b" + "6005600255" + "7f" + "ab" * 32 + "60006000a1" + "00"
+TOPIC = "0x" + "ab" * 31 + "¶"
 
 
-@query(values([("", "", "0x2", "0x" + "ab" * 32, False), ("0xa9059cbb", "", "0x2", "0x" + "ab" * 32, False)], ("selector", "reads", "writes", "topics", "truncated")))
+@query(expected(DISPATCH_KINDS, [("dispatch", "", "", "0x§", TOPIC, False), ("dispatch", "0xa9059cbb", "", "0x§", TOPIC, False), ("program", "", "0x0", "0x0", "", False), ("none", "", "", "", "", False), ("null", "", "", "", "", False)], ("selector", "reads", "writes", "topics", "truncated")))
 def bc_facts(spark, sf_dir):
-    found = bytecode.facts(literal(spark, [("x", DISPATCH)], "addr string, code string"))
-    return found.select("selector", *(F.array_join(c, ",").alias(c) for c in ("reads", "writes", "topics")), "truncated")
+    found = bytecode.facts(codes(spark, sf_dir, *DISPATCH_KINDS))
+    return found.select("addr", "selector", *(F.array_join(c, ",").alias(c) for c in ("reads", "writes", "topics")), "truncated")
 
 
 # --- landed documents ----------------------------------------------------------------------------------------------
 
+FLAT_KINDS = ("flat", "nested", "broken")
 FLAT = (
-    '{"type":"call","action":{"from":"0xAA","to":"0xBB","callType":"delegatecall","input":"0xA9059CBB00"},"blockNumber":7,"transactionHash":"0x1","traceAddress":[]}',
-    '{"type":"create","action":{"from":"0xAA","init":"0x60"},"result":{"address":"0xCC"},"blockNumber":7,"transactionHash":"0x1","traceAddress":[0]}',
-    '{"type":"suicide","action":{"address":"0xDD","refundAddress":"0xEE","balance":"0x1"},"error":"bad","blockNumber":7,"transactionHash":"0x1","traceAddress":[0,1]}',
-    '{"type":"call","action":{"from":"0xAA","to":"0xBB","callType":"odd","input":"0x12"},"blockNumber":8,"transactionHash":"0x2","traceAddress":[]}',
+    ("flat", '{"type":"call","action":{"from":"0xAA","to":"0xB·","callType":"delegatecall","input":"0xA9059CBB00"},"blockNumber":¤,"transactionHash":"0x°","traceAddress":[]}'),
+    ("flat", '{"type":"create","action":{"from":"0xAA","init":"0x60"},"result":{"address":"0xCC"},"blockNumber":7,"transactionHash":"0x°","traceAddress":[0]}'),
+    ("flat", '{"type":"suicide","action":{"address":"0xDD","refundAddress":"0xEE","balance":"0x1"},"error":"bad","blockNumber":7,"transactionHash":"0x°","traceAddress":[0,1]}'),
+    ("nested", '{"type":"call","action":{"from":"0xAA","to":"0xBB","callType":"odd","input":"0x12"},"blockNumber":8,"transactionHash":"0x°","traceAddress":[]}'),
+    ("broken", "<html>"),
 )
+FRAME = ("tx", "path", "call_type", "from_addr", "to_addr", "selector", "error")
 
 
-@query(values([("0x1", "root", "delegatecall", "0xaa", "0xbb", "0xa9059cbb", None), ("0x1", "0", "create", "0xaa", "0xcc", None, None), ("0x1", "0,1", "selfdestruct", "0xdd", "0xee", None, "bad"), ("0x2", "root", "call", "0xaa", "0xbb", None, None)], ("tx", "path", "call_type", "from_addr", "to_addr", "selector", "error")))
+@query(expected(FLAT_KINDS, [("flat", "0x°", "root", "delegatecall", "0xaa", "0xb·", "0xa9059cbb", None), ("flat", "0x°", "0", "create", "0xaa", "0xcc", None, None), ("flat", "0x°", "0,1", "selfdestruct", "0xdd", "0xee", None, "bad"),
+                              ("nested", "0x°", "root", "call", "0xaa", "0xbb", None, None), ("broken", None, None, "call", "", None, None, None)], FRAME, addr=False))
 def norm_flat_frame(spark, sf_dir):
     from framelark.operators.trace import path_text
 
-    found = wire.flat_frames(literal(spark, [(t,) for t in FLAT], "json string"))
-    return found.select("tx", path_text(F.col("path")).alias("path"), "call_type", "from_addr", "to_addr", "selector", "error")
+    found = wire.flat_frames(instances(spark, sf_dir, FLAT_KINDS, FLAT, "json string").select("json"))
+    return found.withColumn("path", path_text(F.col("path"))).select(*FRAME)
 
 
-NESTED = '{"type":"CALL","from":"0xAA","to":"0xBB","input":"0xa9059cbb","calls":[{"type":"STATICCALL","from":"0xbb","to":"0xcc"},{"type":"CREATE2","from":"0xbb","revertReason":"no","calls":[{"from":"0xdd","to":"0xEE","input":"0x70a08231ff"}]}]}'
+NESTED = (("nested", '{"type":"CALL","from":"0xAA","to":"0xB·","input":"0xa9059cbb","calls":[{"type":"STATICCALL","from":"0xbb","to":"0xcc"},{"type":"CREATE2","from":"0xbb","revertReason":"no","calls":[{"from":"0xdd","to":"0xEE","input":"0x70a08231ff"}]}]}'), ("broken", "<html>"))
 
 
-@query(values([("t", "root", "call", "0xaa", "0xbb", "0xa9059cbb", None), ("t", "0", "staticcall", "0xbb", "0xcc", None, None), ("t", "1", "create", "0xbb", None, None, "no"), ("t", "1,0", "call", "0xdd", "0xee", "0x70a08231", None)], ("tx", "path", "call_type", "from_addr", "to_addr", "selector", "error")))
+@query(expected(FLAT_KINDS, [("nested", "0x°", "root", "call", "0xaa", "0xb·", "0xa9059cbb", None), ("nested", "0x°", "0", "staticcall", "0xbb", "0xcc", None, None), ("nested", "0x°", "1", "create", "0xbb", None, None, "no"), ("nested", "0x°", "1,0", "call", "0xdd", "0xee", "0x70a08231", None),
+                              ("broken", "0x°", "root", "call", "", None, None, None)], FRAME, addr=False))
 def norm_nested_frame(spark, sf_dir):
     from framelark.operators.trace import path_text
 
-    found = wire.nested_frames(literal(spark, [("t", NESTED)], "tx string, json string"))
-    return found.select("tx", path_text(F.col("path")).alias("path"), "call_type", "from_addr", "to_addr", "selector", "error")
+    found = wire.nested_frames(instances(spark, sf_dir, FLAT_KINDS, NESTED, "json string").withColumnRenamed("addr", "tx"))
+    return found.withColumn("path", path_text(F.col("path"))).select(*FRAME)
+
+
+#: Names of calls as providers write them, and what they are.
+CALL_TYPES = (("CREATE2", "create"), ("suicide", "selfdestruct"), ("DelegateCall", "delegatecall"), ("odd", "call"), ("STATICCALL", "staticcall"), ("callcode", "callcode"), (None, "call"))
 
 
-@query(values([(None, "call"), ("CREATE2", "create"), ("suicide", "selfdestruct"), ("DelegateCall", "delegatecall"), ("odd", "call")], ("raw", "call_type")))
+@query("SELECT o_orderkey, [" + ", ".join(f"'{t}'" for _, t in CALL_TYPES) + "][o_orderkey % 7 + 1] AS call_type FROM orders")
 def norm_call_type(spark, sf_dir):
-    return literal(spark, [(None,), ("CREATE2",), ("suicide",), ("DelegateCall",), ("odd",)], "raw string").select("raw", scalars.call_type(F.col("raw")).alias("call_type"))
+    raw = F.element_at(F.array(*(F.lit(r) for r, _ in CALL_TYPES)), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalars.call_type(raw).alias("call_type"))
 
 
-CONTRACTS = (("0x1", '{"is_verified":true,"name":"Proxy","proxy_type":"eip1967","file_path":"Proxy.sol","source_code":"contract Proxy {}","additional_sources":[{"file_path":"Base.sol","source_code":"contract Base {}"},{"file_path":"x"}],"implementations":[{"address_hash":"0xImpl","name":"V2"}]}'),)
-ADDRESSES = (("0x1", '{"is_contract":true,"token":{"name":"USDC","symbol":"USDC","decimals":"6"}}'), ("0x2", '{"is_contract":false,"name":""}'))
+META_KINDS = ("proxy", "plain", "account", "broken")
+CONTRACTS = (
+    ("proxy", '{"is_verified":true,"name":"Proxy","proxy_type":"eip1967","file_path":"Proxy.sol","source_code":"contract Proxy¤ {}","additional_sources":[{"file_path":"Base.sol","source_code":"contract Base {}"},{"file_path":"x"}],"implementations":[{"address_hash":"0xb·","name":"V¤"},{"name":"lost"}]}'),
+    ("plain", '{"is_verified":true,"name":"Plain¤","source_code":"contract Plain {}"}'), ("broken", "<html>"),
+)
+ADDRESSES = (("proxy", '{"is_contract":true,"token":{"name":"Token ¤","symbol":"T¤","decimals":"6"}}'), ("account", '{"is_contract":false,"name":"","ens_domain_name":"name¤.eth"}'), ("broken", "<html>"))
 
 
-@query(values([("0x1", True, "Proxy", "0xImpl", "Proxy.sol,Base.sol", "USDC", 6, True), ("0x2", False, None, "", "", None, -1, False)], ("addr", "verified", "name", "implementations", "sources", "token", "decimals", "is_contract")))
+def metadata(spark, sf_dir):
+    return wire.contract_metadata(instances(spark, sf_dir, META_KINDS, CONTRACTS, "json string"), instances(spark, sf_dir, META_KINDS, ADDRESSES, "json string"))
+
+
+META_ROWS = [("proxy", True, "Proxy", "0xb·", "Proxy.sol,Base.sol", "T¤", 6, True), ("plain", True, "Plain¤", "", "Plain¤.sol", None, -1, True), ("account", False, None, "", "", None, -1, False), ("broken", False, None, "", "", None, -1, True)]
+
+
+@query(expected(META_KINDS, META_ROWS, ("verified", "name", "implementations", "sources", "token", "decimals", "is_contract")))
 def src_contract_metadata(spark, sf_dir):
-    found = wire.contract_metadata(literal(spark, CONTRACTS, "addr string, json string"), literal(spark, ADDRESSES, "addr string, json string"))
-    return found.select("addr", "verified", "name", F.array_join("implementations.address", ",").alias("implementations"), F.array_join("sources.path", ",").alias("sources"), F.col("token_symbol").alias("token"), F.coalesce("token_decimals", F.lit(-1)).alias("decimals"), "is_contract")
+    return metadata(spark, sf_dir).select("addr", "verified", "name", F.array_join("implementations.address", ",").alias("implementations"), F.array_join("sources.path", ",").alias("sources"), F.col("token_symbol").alias("token"), F.coalesce("token_decimals", F.lit(-1)).alias("decimals"), "is_contract")
 
 
 WORD = "0x" + "0" * 24
-A, B, C, D = ("0x" + x * 40 for x in "abcd")
+PROXY_KINDS = ("slot", "beacon", "getter", "zero", "none")
 
 
-@query(values([(A, B, "eip1967-slot"), (C, D, "beacon"), ("0x3", None, "none")], ("addr", "implementation", "detected_by")))
+@query(expected(PROXY_KINDS, [("slot", "0xb·", "eip1967-slot"), ("beacon", "0xd·", "beacon"), ("getter", "0xd·", "blockscout"), ("zero", None, "none"), ("none", None, "none")], ("implementation", "detected_by")))
 def proxy_resolve(spark, sf_dir):
-    slots = literal(spark, [(A, wire.SLOTS["eip1967-slot"], WORD + B[2:]), (A, wire.SLOTS["eip1822-slot"], WORD + D[2:]), (C, wire.SLOTS["beacon"], WORD + B[2:]), ("0x3", wire.SLOTS["eip1967-slot"], WORD + "0" * 40)], "addr string, slot string, word string")
-    answers = literal(spark, [(B, WORD + D[2:]), ("0x3", "0x")], "addr string, word string")
-    codes = literal(spark, [(B, "0x6001"), (D, "0x6002"), (C, "0x")], "addr string, code string")
-    explorer = literal(spark, [(A, C)], "addr string, implementation string")
-    return wire.resolve_proxies(literal(spark, [(A,), (C,), ("0x3",)], "addr string"), explorer, slots, answers, codes)
+    """The first of five ways to an implementation that holds code: an explorer's word, three slots and a getter."""
+    at = lambda rows, schema: instances(spark, sf_dir, PROXY_KINDS, rows, schema)
+    who = lambda rows, column: at(rows, f"who string, {column} string").select(F.col("who").alias("addr"), column)
+    slots = at([("slot", wire.SLOTS["eip1967-slot"], WORD + "b·"), ("slot", wire.SLOTS["eip1822-slot"], WORD + "d·"), ("beacon", wire.SLOTS["beacon"], WORD + "b·"), ("zero", wire.SLOTS["eip1967-slot"], WORD + "0" * 40)], "slot string, word string")
+    answers = who([("beacon", "0xb·", WORD + "d·"), ("getter", "0x°", WORD + "d·"), ("zero", "0x°", "0x")], "word")
+    code = who([("slot", "0xb·", "0x6001"), ("slot", "0xd·", "0x6002"), ("slot", "0xc·", "0x"), ("beacon", "0xd·", "0x6002"), ("getter", "0xd·", "0x6002")], "code")
+    explorer = at([("slot", "0xC·")], "implementation string")
+    targets = at([(k, 1) for k in PROXY_KINDS], "one int").select("addr")
+    return wire.resolve_proxies(targets, explorer, slots, answers, code)
+
+
+CASCADE_KINDS = ("second", "none", "first")
 
 
-@query(values([("a", "search")], ("addr", "provenance")))
+@query(expected(CASCADE_KINDS, [("second", "search"), ("first", "twin")], ("provenance",)))
 def recover_cascade(spark, sf_dir):
     """The first candidate by rank that explains two thirds of the dispatcher."""
-    candidates = literal(spark, [("a", 0, "twin"), ("a", 1, "search"), ("a", 2, "sourcify"), ("b", 0, "twin")], "addr string, rank int, provenance string")
-    ratios = literal(spark, [("a", 0, 0.5), ("a", 1, 0.7), ("a", 2, 1.0), ("b", 0, 0.6)], "addr string, rank int, ratio double")
-    return wire.recovered(candidates, ratios)
+    tries = [("second", 0, "twin", 0.5), ("second", 1, "search", 0.7), ("second", 2, "sourcify", 1.0), ("none", 0, "twin", 0.6), ("first", 0, "twin", 1.0), ("first", 1, "search", 1.0)]
+    rows = instances(spark, sf_dir, CASCADE_KINDS, tries, "rank int, provenance string, ratio double")
+    return wire.recovered(rows.select("addr", "rank", "provenance"), rows.select("addr", "rank", "ratio"))
 
 
 @query("SELECT 'p' || p_partkey AS addr, '0x' || md5(p_name) AS code FROM part WHERE p_partkey = 7")
@@ -430,9 +500,9 @@ def src_eth_call(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey").join(answers, F.col("p_partkey") == F.col("l_partkey"), "left").where("answer is not null").select("p_partkey", "answer")
 
 
-@query()
+@query(PRELUDE + "SELECT to_json({'target_selector': target_selector, 'destination': destination, 'destination_selector': destination_selector, 'call_type': call_type, 'calls': calls, 'txs': txs, 'last_block': last_block, 'last_tx': last_tx})::VARCHAR AS json FROM edges_out")
 def sink_result_json(spark, sf_dir):
-    """Edges as JSON documents, as a sink takes them."""
+    """Edges as JSON documents, as a sink takes them; what is missing is null."""
     from framelark.plans.tracequeries import out_edges
 
-    return out_edges(spark, sf_dir).select(F.to_json(F.struct("*")).alias("json"))
+    return out_edges(spark, sf_dir).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))

@@ -1,22 +1,20 @@
-"""Queries of views, reports, landed documents and single steps of source and bytecode analysis."""
+"""Queries of views, reports, landed documents and single steps of bytecode analysis and of name resolution."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framelark.functions import abi, scalars
 from framelark.functions.udfs import vectorised
-from framelark.operators import bytecode, sourcecode, trace
-from framelark.plans.discoveryqueries import SITES, possible_observed
+from framelark.operators import bytecode, trace
+from framelark.plans.discoveryqueries import SEGMENTS, SITES, planned, possible_observed
 from framelark.plans.registry import query
-from framelark.plans.scalarqueries import ADDRESSES, CONTRACTS, DISPATCH, FLAT, NESTED, PROGRAM, literal, values
-from framelark.plans.sourcequeries import FILES, TARGETS, TOKEN_VY, VAULT, solidity_functions, vyper_functions
+from framelark.plans.scalarqueries import DISPATCH_KINDS, FLAT, FLAT_KINDS, META_KINDS, NESTED, codes, metadata
 from framelark.plans.tracequeries import out_edges, shown
-from framelark.source_code import solidity, vyper
+from framelark.source_code import vyper
 from framelark.sources import wire
+from framelark.sources.testcontracts import ADDRESS_SQL, expected, instances
 from framelark.sources.testtables import IDENTITY, PRELUDE, frames, labels, signatures, table
 
 
@@ -26,102 +24,117 @@ def place(*order):
 
 # --- bytecode steps ------------------------------------------------------------------------------------------------
 
-# two selectors: a search by GT at the start, XOR for 0x99999999 (falls into 26 on a match), EQ for 0x11111111 at 28 (jumps to 42)
-SEARCH = "0x60003560e01c" + "80635000000011601c57" + "80639999999918602857" + "5b00" + "5b80631111111114602a57" + "fd" + "5bfd" + "5b00"
+STEP_KINDS = ("search", "program", "none")
 
 
-def at(function):
-    """A query column of a Python step over code."""
-    return vectorised("string")(lambda codes: codes.map(function))
+def step(spark, sf_dir, function, kinds=STEP_KINDS):
+    """``addr, found``: a Python step over code, once for each distinct code."""
+    column = vectorised("array<struct<found:string>>")(lambda c: c.map(lambda x: [{"found": function(x)}]))
+    return bytecode.by_code(codes(spark, sf_dir, *kinds), column)
 
 
-def step(spark, function, name="found", code=SEARCH):
-    return literal(spark, [(code,)], "code string").select(at(function)("code").alias(name))
+def blocks_of(code):
+    return bytecode.basic_blocks(bytecode.decode(code))
 
 
-@query(values([("0x50000000 11 False;0x99999999 18 True;0x11111111 14 False",)], ("found",)))
+@query(expected(STEP_KINDS, [("search", "0x500000¶ 11 False;0x999999¶ 18 True;0x111111¶ 14 False"), ("program", ""), ("none", "")], ("found",)))
 def bc_comparison(spark, sf_dir):
-    def run(code):
-        tests = [c for b in bytecode.basic_blocks(bytecode.decode(code)).values() if (c := bytecode.comparison(b))]
-        return ";".join(f"0x{c.selector:08x} {c.op:x} {c.inverted}" for c in tests)
-
-    return step(spark, run)
+    return step(spark, sf_dir, lambda code: ";".join(f"0x{c.selector:08x} {c.op:x} {c.inverted}" for b in blocks_of(code).values() if (c := bytecode.comparison(b))))
 
 
-@query(values([("0x11111111,0x99999999",)], ("found",)))
+@query(expected(STEP_KINDS, [("search", "0x111111¶,0x999999¶"), ("program", ""), ("none", "")], ("found",)))
 def bc_all_selectors(spark, sf_dir):
-    return step(spark, lambda code: ",".join(bytecode.all_selectors(bytecode.basic_blocks(bytecode.decode(code)))))
+    return step(spark, sf_dir, lambda code: ",".join(bytecode.all_selectors(blocks_of(code))))
 
 
-@query(values([("0",)], ("found",)))
+@query(expected(STEP_KINDS, [("search", "0"), ("program", "None"), ("none", "None")], ("found",)))
 def bc_root(spark, sf_dir):
-    return step(spark, lambda code: str(bytecode.dispatcher_root(bytecode.basic_blocks(bytecode.decode(code)))))
+    return step(spark, sf_dir, lambda code: str(bytecode.dispatcher_root(blocks_of(code))))
 
 
-@query(values([("0,28,42,39,16,40,26",)], ("found",)))
+@query(expected(STEP_KINDS, [("search", "0,28,42,39,16,40,26"), ("program", "0,11"), ("none", "")], ("found",)))
 def bc_traverse(spark, sf_dir):
-    return step(spark, lambda code: ",".join(map(str, bytecode.traverse(bytecode.basic_blocks(bytecode.decode(code))))))
+    """Blocks from the start; a jump to a place that is no jump target leads nowhere."""
+    return step(spark, sf_dir, lambda code: ",".join(map(str, bytecode.traverse(blocks_of(code)))))
 
 
-@query(values([("(42, None) (26, None)",)], ("found",)))
+@query(expected(STEP_KINDS, [("search", "(42, None) (26, None)"), ("program", ""), ("none", "")], ("found",)))
 def bc_dispatch(spark, sf_dir):
     def run(code):
-        blocks = bytecode.basic_blocks(bytecode.decode(code))
-        return " ".join(str(bytecode.resolve(blocks, bytecode.dispatcher_root(blocks), s)) for s in (0x11111111, 0x99999999))
+        blocks = blocks_of(code)
+        return " ".join(str(bytecode.resolve(blocks, bytecode.dispatcher_root(blocks), int(s, 16))) for s in bytecode.all_selectors(blocks))
+
+    return step(spark, sf_dir, run)
+
 
-    return step(spark, run)
+TRAILERS = ("none", "trailer", "short", "null")
 
 
-@query(values([("0x6001", 0), ("0x60015ba1656970667358221220aabb000c", 14), ("0x00ff", 0)], ("code", "trailer")))
+@query(expected(TRAILERS, [("none", 0), ("trailer", 14), ("short", 0), ("null", 0)], ("trailer",)))
 def bc_trailer(spark, sf_dir):
     """Bytes of the compiler's metadata at the end of code: its length stands in the last two bytes, a small map begins it."""
-    codes = literal(spark, [("0x6001",), ("0x60015ba1656970667358221220aabb000c",), ("0x00ff",)], "code string")
     size, last = (F.length("code") - 2) / 2, F.conv(F.right("code", F.lit(4)), 16, 10).cast("int") + 2
     head = F.substr("code", (F.length("code") - last * 2 + 1).cast("int"), F.lit(2))
-    return codes.select("code", F.when((last > 2) & (last <= size) & head.isin("a1", "a2", "a3"), last).otherwise(0).alias("trailer"))
+    found = (last > 2) & (last <= size) & head.isin("a1", "a2", "a3")
+    return codes(spark, sf_dir, *TRAILERS).select("addr", F.when(F.coalesce(found, F.lit(False)), last).otherwise(0).alias("trailer"))
 
 
-@query(values([("x", 2, False)], ("addr", "functions", "truncated")).replace("functions, truncated) ", "functions, truncated) ").replace("SELECT *", "SELECT addr, functions::BIGINT AS functions, truncated"))
+@query(expected(DISPATCH_KINDS, [("dispatch", 2, False), ("program", 1, False), ("none", 1, False), ("null", 1, False)], ("functions", "truncated"), longs=("functions",)))
 def bc_analyze(spark, sf_dir):
-    found = bytecode.facts(literal(spark, [("x", DISPATCH)], "addr string, code string"))
+    """How many parts of each contract have facts: the whole and each function."""
+    found = bytecode.facts(codes(spark, sf_dir, *DISPATCH_KINDS))
     return found.groupBy("addr").agg(F.count("*").alias("functions"), F.bool_or("truncated").alias("truncated"))
 
 
-@query(values([("put(uint256)", "0x2"), ("ghost()", "")], ("signature", "writes")))
+@query(expected(DISPATCH_KINDS, [(k, f, "0x§" if (k, f) == ("dispatch", "put(uint256)") else "") for k in DISPATCH_KINDS for f in ("put(uint256)", "ghost()")], ("signature", "writes")))
 def join_bytecode_facts(spark, sf_dir):
     """Facts of a function by its selector; one that the code does not name has the contract's, here of nothing."""
-    functions = literal(spark, [("put(uint256)", "0xa9059cbb"), ("ghost()", "0x00000001")], "signature string, s string")
-    facts = bytecode.facts(literal(spark, [("x", DISPATCH)], "addr string, code string")).where("selector <> ''")
-    return functions.join(facts, F.col("s") == F.col("selector"), "left").select("signature", F.coalesce(F.array_join("writes", ","), F.lit("")).alias("writes"))
+    rows = [(k, *f) for k in DISPATCH_KINDS for f in (("put(uint256)", "0xa9059cbb"), ("ghost()", "0x00000001"))]
+    functions = instances(spark, sf_dir, DISPATCH_KINDS, rows, "signature string, selector string")
+    facts = bytecode.facts(codes(spark, sf_dir, *DISPATCH_KINDS)).where("selector <> ''")
+    return functions.join(facts, ["addr", "selector"], "left").select("addr", "signature", F.coalesce(F.array_join("writes", ","), F.lit("")).alias("writes"))
 
 
-@query(values([("0x" + "ab" * 32,)], ("found",)))
+@query(expected(DISPATCH_KINDS, [("dispatch", "0x" + "ab" * 31 + "¶"), *((k, "") for k in DISPATCH_KINDS[1:])], ("found",)))
 def win_log_topics(spark, sf_dir):
-    return step(spark, lambda code: ",".join(bytecode.trailing_topics(bytecode.decode(code))), code=DISPATCH)
+    return step(spark, sf_dir, lambda code: ",".join(bytecode.trailing_topics(bytecode.decode(code))), DISPATCH_KINDS)
 
 
-@query(values([("ff" * 32, "01", "0x0"), ("02", "03", "0x6")], ("a", "b", "c")))
+@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '0x' || lower(printf('%x', o_custkey)) WHEN 1 THEN '0x' || printf('%x', o_custkey * o_orderkey) ELSE '0x0' END AS word FROM orders""")
 def fn_u256(spark, sf_dir):
     """256-bit words are text outside Python: sums and products are taken modulo 2^256."""
 
     @vectorised("string")
-    def word(a, b):
-        return (a + " " + b).map(lambda t: hex((lambda x, y: x + y if x > 9 else x * y)(*(int(v, 16) for v in t.split())) & bytecode.WORD))
+    def word(texts):
+        def run(text):
+            a, op, b = text.split()
+            x, y = int(a, 16), int(b, 16)
+            return hex((x + y if op == "+" else x * y) & bytecode.WORD)
 
-    return literal(spark, [("ff" * 32, "01"), ("02", "03")], "a string, b string").select("a", "b", word("a", "b").alias("c"))
+        return texts.map(run)
+
+    k = F.col("o_orderkey") % 3
+    a = F.when(k == 0, F.repeat(F.lit("f"), 64)).when(k == 1, F.hex("o_custkey")).otherwise(F.concat(F.lit("8"), F.repeat(F.lit("0"), 63)))
+    b = F.when(k == 0, F.hex(F.col("o_custkey") + 1)).when(k == 1, F.hex("o_orderkey")).otherwise(F.hex(F.col("o_custkey") * 2))
+    text = F.concat_ws(" ", a, F.when(k == 0, "+").otherwise("*"), b)
+    return table(spark, sf_dir, "orders").select("o_orderkey", word(text).alias("word"))
 
 
 # --- text functions ------------------------------------------------------------------------------------------------
 
 
-@query(values([("f(a,g(b,c))", 10), ("f(a", -1), ("f()", 2)], ("text", "close")))
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN -1 ELSE length(t) - 1 END::INT AS "close" FROM (SELECT p_partkey, 'f(' || p_name || ',g(' || p_type || ',[c]))' AS t FROM part)""")
 def fn_bracket(spark, sf_dir):
-    return literal(spark, [("f(a,g(b,c))",), ("f(a",), ("f()",)], "text string").select("text", vectorised("int")(lambda t: t.map(lambda x: vyper.matching(x, 1)))("text").alias("close"))
+    text = F.concat(F.lit("f("), "p_name", F.lit(",g("), "p_type", F.lit(",[c]))"))
+    text = F.when(F.col("p_partkey") % 3 == 1, F.substr(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    close = vectorised("int")(lambda t: t.map(lambda x: vyper.matching(x, 1)))
+    return table(spark, sf_dir, "part").select("p_partkey", close(text).alias("close"))
 
 
-@query(values([("a,g(b,c),'x,y'", "a;g(b,c);'x,y'")], ("text", "parts")))
+@query("""SELECT p_partkey, replace(p_name, ' ', '_') || ';g(' || p_type || ',c);''x,y'';[' || p_size || ',2]' AS parts FROM part""")
 def fn_split_top(spark, sf_dir):
-    return literal(spark, [("a,g(b,c),'x,y'",)], "text string").select("text", vectorised("string")(lambda t: t.map(lambda x: ";".join(vyper.arguments(x))))("text").alias("parts"))
+    text = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(",g("), "p_type", F.lit(",c),'x,y',["), F.col("p_size").cast("string"), F.lit(",2]"))
+    return table(spark, sf_dir, "part").select("p_partkey", vectorised("string")(lambda t: t.map(lambda x: ";".join(vyper.arguments(x))))(text).alias("parts"))
 
 
 @query("SELECT doc_id, len(string_split(substr(text, 1, greatest(length(text) // 2, 0)), chr(10)))::BIGINT AS line FROM documents")
@@ -131,34 +144,46 @@ def fn_line_of_offset(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(F.split(before, "\n", -1)).cast("long").alias("line"))
 
 
-@query()
+@query("""WITH RECURSIVE words AS (SELECT o_orderkey, string_split(o_orderpriority || ' ' || o_orderstatus || ' ' || o_custkey || ' order of customer number ' || o_custkey || ' on ' || strftime(o_orderdate, '%Y-%m-%d'), ' ') AS ws FROM orders),
+fill(o_orderkey, ws, i, line, done) AS (
+  SELECT o_orderkey, ws, 1, '', []::VARCHAR[] FROM words
+  UNION ALL
+  SELECT o_orderkey, ws, i + 1, CASE WHEN line = '' THEN ws[i] WHEN length(line) + 1 + length(ws[i]) <= 24 THEN line || ' ' || ws[i] ELSE ws[i] END,
+         CASE WHEN line = '' OR length(line) + 1 + length(ws[i]) <= 24 THEN done ELSE list_append(done, line) END
+  FROM fill WHERE i <= len(ws))
+SELECT o_orderkey, array_to_string(list_append(done, line), '|') AS lines FROM fill WHERE i = len(ws) + 1""")
 def fn_wrap(spark, sf_dir):
-    """Greedy word wrap to forty columns."""
+    """Greedy word wrap to 24 columns."""
 
-    @vectorised("array<string>")
+    @vectorised("string")
     def wrapped(texts):
         import textwrap
 
-        return texts.map(lambda t: textwrap.wrap(t, 40, max_lines=4, placeholder=" …") if t else [])
+        return texts.map(lambda t: "|".join(textwrap.wrap(t, 24, break_long_words=False, break_on_hyphens=False)) if t else "")
 
-    return table(spark, sf_dir, "part").select("p_partkey", wrapped("p_name").alias("lines"))
+    text = F.concat_ws(" ", "o_orderpriority", "o_orderstatus", "o_custkey", F.lit("order of customer number"), "o_custkey", F.lit("on"), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", wrapped(text).alias("lines"))
 
 
-LEVELS = (("FULL", None, None, "exact_match"), (None, "partial", None, "match"), (None, None, "exact_match", "exact_match"), (None, "odd", None, None), ("PERFECT", None, None, "exact_match"))
+#: What providers call a match.
+LEVELS = ("FULL", "partial", "exact_match", "odd", "PERFECT", "match", "full")
 
 
-@query(values([(i, x[3]) for i, x in enumerate(LEVELS)], ("id", "level")))
+@query(f"""SELECT o_orderkey, CASE WHEN raw IN ('partial', 'match', 'PARTIAL') THEN 'match' WHEN raw IN ('FULL', 'PERFECT', 'full', 'exact_match') THEN 'exact_match' END AS level
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE [{', '.join(f"'{x}'" for x in LEVELS)}][o_orderkey % 7 + 1] END AS raw FROM orders)""")
 def fn_match_level(spark, sf_dir):
-    raw = F.coalesce("a", "b", "c")
+    """The level by any of three fields, the first that is there."""
+    k = F.col("o_orderkey")
+    said = F.when(k % 11 != 0, F.element_at(F.array(*map(F.lit, LEVELS)), (k % 7 + 1).cast("int")))
+    raw = F.coalesce(F.when(k % 3 == 0, said), F.when(k % 3 == 1, said), F.when(k % 3 == 2, said))
     level = F.when(raw.isin("PARTIAL", "partial", "match"), "match").when(raw.isin("FULL", "PERFECT", "full", "exact_match"), "exact_match")
-    return literal(spark, [(i, *x[:3]) for i, x in enumerate(LEVELS)], "id int, a string, b string, c string").select("id", level.alias("level"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", level.alias("level"))
 
 
-@query(values([(c, s) for c, s in (("ethereum", 2000), ("base", 333), ("arbitrum", 42))], ("key", "slice")).replace("SELECT *", "SELECT key, slice::BIGINT AS slice"))
+@query("SELECT n_nationkey, least(2000, greatest(25, floor(2000 * bt / 12 + 0.5)))::BIGINT AS slice FROM (SELECT n_nationkey, (n_nationkey + 1) / 4.0::DOUBLE AS bt FROM nation)")
 def math_slice_size(spark, sf_dir):
-    from framelark.sources.dimensions import chains
-
-    return chains(spark).where("key in ('ethereum', 'base', 'arbitrum')").select("key", scalars.slice_size(F.col("block_time")).alias("slice"))
+    """First slices of chains of many block times."""
+    return table(spark, sf_dir, "nation").select("n_nationkey", scalars.slice_size((F.col("n_nationkey") + 1) / F.lit(4.0)).alias("slice"))
 
 
 @query("SELECT round((epoch(max(ts)) - epoch(min(ts))) / count(*), 2) AS block_time FROM events")
@@ -171,138 +196,153 @@ def math_block_time(spark, sf_dir):
 # --- landed documents ----------------------------------------------------------------------------------------------
 
 
-def metadata(spark):
-    return wire.contract_metadata(literal(spark, CONTRACTS, "addr string, json string"), literal(spark, ADDRESSES, "addr string, json string"))
-
-
-@query(values([("0x1", "Proxy.sol", "contract Proxy {}"), ("0x1", "Base.sol", "contract Base {}")], ("addr", "path", "content")))
+@query(expected(META_KINDS, [("proxy", "Proxy.sol", "contract Proxy¤ {}"), ("proxy", "Base.sol", "contract Base {}"), ("plain", "Plain¤.sol", "contract Plain {}")], ("path", "content")))
 def meta_source_files(spark, sf_dir):
-    return metadata(spark).select("addr", F.explode("sources").alias("s")).select("addr", "s.path", "s.content")
+    return metadata(spark, sf_dir).select("addr", F.explode("sources").alias("s")).select("addr", "s.path", "s.content")
 
 
-@query(values([("0x1", "0xImpl", "V2")], ("addr", "address", "name")))
+@query(expected(META_KINDS, [("proxy", "0xb·", "V¤")], ("address", "name")))
 def meta_implementations(spark, sf_dir):
-    return metadata(spark).select("addr", F.explode("implementations").alias("i")).select("addr", "i.address", "i.name")
+    return metadata(spark, sf_dir).select("addr", F.explode("implementations").alias("i")).select("addr", "i.address", "i.name")
 
 
-@query(values([("0x1", "USDC", "USDC", 6)], ("addr", "name", "symbol", "decimals")))
+@query(expected(META_KINDS, [("proxy", "Token ¤", "T¤", 6)], ("name", "symbol", "decimals")))
 def meta_token(spark, sf_dir):
-    return metadata(spark).where("token_name is not null or token_symbol is not null").select("addr", F.col("token_name").alias("name"), F.col("token_symbol").alias("symbol"), F.col("token_decimals").alias("decimals"))
+    return metadata(spark, sf_dir).where("token_name is not null or token_symbol is not null").select("addr", F.col("token_name").alias("name"), F.col("token_symbol").alias("symbol"), F.col("token_decimals").alias("decimals"))
 
 
-TWIN = "0x" + "Ab" * 20
+TWIN_KINDS = ("twin", "itself", "short", "none")
 
 
-@query(values([("0x9", TWIN.lower())], ("addr", "twin")))
+@query(expected(TWIN_KINDS, [("twin", "0xb·")], ("twin",)))
 def meta_twin(spark, sf_dir):
-    docs = [("0x9", json.dumps({"verified_twin_address_hash": TWIN})), (TWIN.lower(), json.dumps({"verified_twin_address_hash": TWIN})), ("0x8", json.dumps({"verified_twin_address_hash": "0x12"}))]
-    found = wire.contract_metadata(literal(spark, docs, "addr string, json string"), literal(spark, ADDRESSES, "addr string, json string"))
-    return found.where("twin is not null").select("addr", "twin")
+    """A twin is another contract's whole address."""
+    named = lambda a: '{"verified_twin_address_hash":"' + a + '"}'
+    docs = instances(spark, sf_dir, TWIN_KINDS, [("twin", named("0xB·")), ("itself", named("0x°")), ("short", named("0x12")), ("none", "{}")], "json string")
+    none = docs.limit(0)
+    return wire.contract_metadata(docs, none).where("twin is not null").select("addr", "twin")
 
 
-@query(values([("0xa",), ("0xb",), ("0xc",)], ("address",)))
+@query(expected(TWIN_KINDS, [("twin", "0xa"), ("twin", "0xb·"), ("twin", "0xc"), ("itself", "0x°")], ("address",)))
 def meta_conflicting(spark, sf_dir):
     """A list that holds texts or records."""
-    docs = literal(spark, [('{"conflicting_implementations":["0xa",{"address_hash":"0xb"},{"address":"0xc"},7,null]}',), ('{"conflicting_implementations":null}',)], "json string")
-    listed = docs.select(F.explode(F.try_variant_get(F.parse_json("json"), "$.conflicting_implementations", "array<variant>")).alias("v"))
+    rows = [("twin", '{"conflicting_implementations":["0xa",{"address_hash":"0xb·"},{"address":"0xc"},7,null]}'), ("itself", '{"conflicting_implementations":["0x°"]}'), ("short", '{"conflicting_implementations":null}'), ("none", "no json")]
+    docs = instances(spark, sf_dir, TWIN_KINDS, rows, "json string")
+    listed = docs.select("addr", F.explode(F.try_variant_get(F.try_parse_json("json"), "$.conflicting_implementations", "array<variant>")).alias("v"))
     text = F.when(F.schema_of_variant("v") == "STRING", F.try_variant_get("v", "$", "string"))
-    return listed.select(F.coalesce(text, F.try_variant_get("v", "$.address_hash", "string"), F.try_variant_get("v", "$.address", "string")).alias("address")).where("address is not null")
+    return listed.select("addr", F.coalesce(text, F.try_variant_get("v", "$.address_hash", "string"), F.try_variant_get("v", "$.address", "string")).alias("address")).where("address is not null")
 
 
-@query(values([("0x1", True, "", "USDC"), ("0x2", False, "", None)], ("addr", "is_contract", "ens", "symbol")))
+@query(expected(META_KINDS, [("proxy", True, "", "T¤"), ("account", False, "name¤.eth", None), ("broken", False, "", None)], ("is_contract", "ens", "symbol")))
 def meta_address_summary(spark, sf_dir):
-    a = literal(spark, ADDRESSES, "addr string, json string").select("addr", F.from_json("json", wire.ADDRESS).alias("a"))
+    from framelark.plans.scalarqueries import ADDRESSES
+
+    a = instances(spark, sf_dir, META_KINDS, ADDRESSES, "json string").select("addr", F.from_json("json", wire.ADDRESS).alias("a"))
     return a.select("addr", F.coalesce("a.is_contract", F.lit(False)).alias("is_contract"), F.coalesce("a.ens_domain_name", F.lit("")).alias("ens"), F.nullif("a.token.symbol", F.lit("")).alias("symbol"))
 
 
-SOURCIFY = (("0x1", '{"runtimeMatch":"exact_match","sources":{"A.sol":{"content":"contract A {}"},"B.sol":{"content":"contract B {}"}}}'), ("0x2", '{"runtimeMatch":null,"sources":{"C.sol":{"content":"x"}}}'))
+FOUND_KINDS = ("whole", "part", "none", "broken")
+SOURCIFY = (("whole", '{"runtimeMatch":"exact_match","sources":{"A.sol":{"content":"contract A¤ {}"},"B.sol":{"content":"contract B {}"}}}'), ("part", '{"runtimeMatch":"match","sources":{"C¤.sol":{"content":"x"}}}'),
+            ("none", '{"runtimeMatch":null,"sources":{"C.sol":{"content":"x"}}}'), ("broken", "<html>"))
 
 
-@query(values([("0x1", "exact_match", "A.sol", "contract A {}"), ("0x1", "exact_match", "B.sol", "contract B {}")], ("addr", "level", "path", "content")))
+@query(expected(FOUND_KINDS, [("whole", "exact_match", "A.sol", "contract A¤ {}"), ("whole", "exact_match", "B.sol", "contract B {}"), ("part", "match", "C¤.sol", "x")], ("level", "path", "content")))
 def recover_sourcify(spark, sf_dir):
     """Files of a matched contract; one without a runtime match gives none."""
-    docs = literal(spark, SOURCIFY, "addr string, json string").select("addr", F.from_json("json", "runtimeMatch string, sources map<string,struct<content:string>>").alias("d"))
+    docs = instances(spark, sf_dir, FOUND_KINDS, SOURCIFY, "json string").select("addr", F.from_json("json", "runtimeMatch string, sources map<string,struct<content:string>>").alias("d"))
     return docs.where("d.runtimeMatch is not null").select("addr", F.col("d.runtimeMatch").alias("level"), F.explode("d.sources").alias("path", "s")).select("addr", "level", "path", "s.content")
 
 
-SEARCHES = (("0x1", '{"sources":[{"matchType":"PARTIAL","sourceFiles":{"A.sol":"contract A {}"}}]}'), ("0x2", '{"results":[{"match_type":"full","source_files":{"B.sol":"contract B {}"}}]}'), ("0x3", "{}"))
+SEARCHES = (("whole", '{"results":[{"match_type":"full","source_files":{"B¤.sol":"contract B {}"}}]}'), ("part", '{"sources":[{"matchType":"PARTIAL","sourceFiles":{"A¤.sol":"contract A {}"}},{"matchType":"FULL","sourceFiles":{"Z.sol":""}}]}'), ("none", "{}"), ("broken", "<html>"))
 
 
-@query(values([("0x1", "match", "A.sol"), ("0x2", "exact_match", "B.sol")], ("addr", "level", "path")))
+@query(expected(FOUND_KINDS, [("whole", "exact_match", "B¤.sol"), ("part", "match", "A¤.sol")], ("level", "path")))
 def recover_bytecode_search(spark, sf_dir):
     """The first match of a search, by any of the names that its fields go by."""
     match = "array<struct<matchType:string,match_type:string,sourceFiles:map<string,string>,source_files:map<string,string>>>"
-    d = literal(spark, SEARCHES, "addr string, json string").select("addr", F.from_json("json", f"sources {match}, results {match}").alias("d"))
+    d = instances(spark, sf_dir, FOUND_KINDS, SEARCHES, "json string").select("addr", F.from_json("json", f"sources {match}, results {match}").alias("d"))
     first = d.select("addr", F.try_element_at(F.coalesce("d.sources", "d.results"), F.lit(1)).alias("m")).where("m is not null")
     raw = F.lower(F.coalesce("m.matchType", "m.match_type"))
     level = F.when(raw.isin("partial", "match"), "match").when(raw.isin("full", "perfect", "exact_match"), "exact_match")
     return first.select("addr", level.alias("level"), F.explode(F.map_keys(F.coalesce("m.sourceFiles", "m.source_files"))).alias("path"))
 
 
-@query(values([("0x9", "0x1", "Proxy")], ("addr", "twin", "name")))
+@query(f"""SELECT {ADDRESS_SQL} AS addr, '0x' || lpad(printf('%x', p_partkey // {len(META_KINDS)} * {len(META_KINDS)}), 40, '0') AS twin, 'Proxy' AS name FROM part WHERE p_partkey % {len(META_KINDS)} = 2""")
 def recover_twin(spark, sf_dir):
-    """Metadata of a verified twin that has sources."""
-    wanted = literal(spark, [("0x9", "0x1"), ("0x8", "0x2")], "addr string, twin string")
-    twins = metadata(spark).where(F.col("verified") & (F.size("sources") > 0)).select(F.col("addr").alias("t"), "name")
+    """Metadata of a verified twin that has sources: accounts here name the proxy three keys before, others an account."""
+    n, key = len(META_KINDS), F.col("p_partkey")
+    at = lambda k: F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(k)), 40, "0"))
+    twin = F.when(key % n == 2, at((F.floor(key / n) * n).cast("long"))).otherwise(at((F.floor(key / n) * n).cast("long") + 2))
+    wanted = table(spark, sf_dir, "part").select(at(key).alias("addr"), twin.alias("twin"))
+    twins = metadata(spark, sf_dir).where(F.col("verified") & (F.size("sources") > 0)).select(F.col("addr").alias("t"), "name")
     return wanted.join(twins, F.col("twin") == F.col("t")).select("addr", "twin", "name")
 
 
-REGISTRY = (("0x01", "a()", "abi", 0), ("0x01", "b()", "abi", 1), ("0x01", "c()", "database", 0), ("0x02", "d()", "database", 0), ("0x02", "e()", "known", 0))
+REGISTRY_KINDS = ("three", "two", "one")
+REGISTRY = (("three", "a¤()", "abi", 0), ("three", "b()", "abi", 1), ("three", "c()", "database", 0), ("two", "d()", "database", 0), ("two", "e¤()", "known", 0), ("one", "f¤()", "database", 0))
 
 
-@query(values([("0x01", "a()", "abi", "b();c()"), ("0x02", "e()", "known", "d()")], ("selector", "signature", "source", "others")))
+@query(expected(REGISTRY_KINDS, [("three", "a¤()", "abi", "b();c()"), ("two", "e¤()", "known", "d()"), ("one", "f¤()", "database", "")], ("signature", "source", "others")))
 def sig_registry(spark, sf_dir):
     """One signature a selector: interfaces before known ones before a database's; the losers are listed."""
     rank = F.when(F.col("source") == "abi", 0).when(F.col("source") == "known", 1).otherwise(2)
-    rows = literal(spark, REGISTRY, "selector string, signature string, source string, ord int").groupBy("selector").agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "ord", "signature", "source"))).alias("a"))
-    return rows.select("selector", F.col("a")[0]["signature"].alias("signature"), F.col("a")[0]["source"].alias("source"), F.array_join(F.slice(F.col("a.signature"), 2, 100), ";").alias("others"))
+    rows = instances(spark, sf_dir, REGISTRY_KINDS, REGISTRY, "signature string, source string, ord int").groupBy("addr").agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "ord", "signature", "source"))).alias("a"))
+    return rows.select("addr", F.col("a")[0]["signature"].alias("signature"), F.col("a")[0]["source"].alias("source"), F.array_join(F.slice(F.col("a.signature"), 2, 100), ";").alias("others"))
 
 
-EVENTS = (("Moved", "Moved(address)", "source"), ("Moved", "Moved(uint256)", "abi"), ("Only", "Only()", "abi"))
+EVENTS = (("three", "Moved", "Moved(address)", "source"), ("three", "Moved", "Moved(uint256)", "abi"), ("three", "Only¤", "Only¤()", "abi"), ("two", "Moved", "Moved(uint256)", "abi"))
 
 
-@query(values([("Moved", "Moved(address)"), ("Only", "Only()")], ("name", "signature")))
+@query(expected(REGISTRY_KINDS, [("three", "Moved", "Moved(address)"), ("three", "Only¤", "Only¤()"), ("two", "Moved", "Moved(uint256)")], ("name", "signature")))
 def set_merge_events(spark, sf_dir):
     """Source first, an interface fills gaps."""
-    rows = literal(spark, EVENTS, "name string, signature string, source string")
-    return rows.groupBy("name").agg(F.max_by("signature", "source").alias("signature"))
+    rows = instances(spark, sf_dir, REGISTRY_KINDS, EVENTS, "name string, signature string, source string")
+    return rows.groupBy("addr", "name").agg(F.max_by("signature", "source").alias("signature"))
 
 
-MODULES = (("a.vy", 0, "x", "uint256"), ("b.vy", 1, "x", "address"), ("b.vy", 1, "y", "bool"))
+MODULES = (("three", "a.vy", 0, "x", "uint¤"), ("three", "b.vy", 1, "x", "address"), ("three", "b.vy", 1, "y¤", "bool"), ("one", "c¤.vy", 0, "z", "int128"))
 
 
-@query(values([("x", "uint256", "a.vy"), ("y", "bool", "b.vy")], ("name", "type", "file")))
+@query(expected(REGISTRY_KINDS, [("three", "x", "uint¤", "a.vy"), ("three", "y¤", "bool", "b.vy"), ("one", "z", "int128", "c¤.vy")], ("name", "type", "file")))
 def set_merge_modules(spark, sf_dir):
-    rows = literal(spark, MODULES, "file string, ord int, name string, type string")
-    return rows.groupBy("name").agg(F.min_by("type", "ord").alias("type"), F.min_by("file", "ord").alias("file"))
+    rows = instances(spark, sf_dir, REGISTRY_KINDS, MODULES, "file string, ord int, name string, type string")
+    return rows.groupBy("addr", "name").agg(F.min_by("type", "ord").alias("type"), F.min_by("file", "ord").alias("file"))
 
 
-@query(values([(1, "function", "a()")], ("n", "type", "signature")))
+@query(expected(FOUND_KINDS, [("whole", 0, "function", "a¤()"), ("part", 1, "event", "Put(uint256)")], ("ord", "type", "signature")))
 def flt_abi(spark, sf_dir):
     """Only objects with a type that is text are entries."""
-    found = abi.parsed(literal(spark, [("a", 0, '[{"type":"function","name":"a"},{"type":7},{"name":"b"},"x",null]')], "addr string, source int, abi string"))
-    return found.select(F.lit(1).alias("n"), "type", "signature")
+    rows = [("whole", 0, '[{"type":"function","name":"a¤"},{"type":7},{"name":"b"},"x",null]'), ("part", 0, '[4,{"type":"event","name":"Put","inputs":[{"type":"uint256"}]}]'), ("none", 0, None), ("broken", 0, "{not json")]
+    return abi.parsed(instances(spark, sf_dir, FOUND_KINDS, rows, "source int, abi string")).select("addr", "ord", "type", "signature")
+
+
+NESTED_ROWS = [("nested", "root", "0xb·"), ("nested", "0", "0xcc"), ("nested", "1", None), ("nested", "1,0", "0xee"), ("broken", "root", None)]
 
 
-@query(values([("t", "root", "0xbb"), ("t", "0", "0xcc"), ("t", "1", None), ("t", "1,0", "0xee")], ("tx", "path", "to_addr")))
+@query(expected(FLAT_KINDS, NESTED_ROWS, ("path", "to_addr")))
 def scan_tx_nested(spark, sf_dir):
-    return shown(wire.nested_frames(literal(spark, [("t", NESTED)], "tx string, json string"))).select("tx", "path", "to_addr")
+    """Frames of nested traces, a tree for each transaction."""
+    return shown(wire.nested_frames(instances(spark, sf_dir, FLAT_KINDS, NESTED, "json string").withColumnRenamed("addr", "tx"))).select(F.col("tx").alias("addr"), "path", "to_addr")
 
 
-@query(values([("0x1", "flat", 3), ("0x2", "flat", 1), ("t", "nested", 4)], ("tx", "method", "frames")).replace("SELECT *", "SELECT tx, method, frames::BIGINT AS frames"))
+@query(expected(FLAT_KINDS, [("flat", "flat", 3), ("nested", "nested", 4), ("broken", "nested", 1)], ("method", "frames"), longs=("frames",)))
 def norm_method_fallback(spark, sf_dir):
     """Flat traces where a provider gave them, nested ones for the transactions that lack them."""
-    flat = wire.flat_frames(literal(spark, [(t,) for t in FLAT], "json string")).select("tx", "path")
-    nested = wire.nested_frames(literal(spark, [("t", NESTED), ("0x1", NESTED)], "tx string, json string")).select("tx", "path")
+    flat = wire.flat_frames(instances(spark, sf_dir, FLAT_KINDS, [r for r in FLAT if r[0] == "flat"], "json string").select("json")).select("tx", "path")
+    both = [*NESTED, ("flat", NESTED[0][1])]
+    nested = wire.nested_frames(instances(spark, sf_dir, FLAT_KINDS, both, "json string").withColumnRenamed("addr", "tx")).select("tx", "path")
     lacking = nested.join(flat.select("tx").distinct(), "tx", "left_anti").withColumn("method", F.lit("nested"))
-    return flat.withColumn("method", F.lit("flat")).unionByName(lacking).groupBy("tx", "method").agg(F.count("*").alias("frames"))
+    return flat.withColumn("method", F.lit("flat")).unionByName(lacking).groupBy(F.col("tx").alias("addr"), "method").agg(F.count("*").alias("frames"))
 
 
-@query(values([("0x1", True, "Vault", 2)], ("address", "verified", "name", "functions")))
+RESULTS = (("whole", '{"address":"0x°","statics":{"verified":true,"name":"Vault¤","functions":[{"signature":"a()"},{"signature":"b()"}]}}'), ("part", '{"address":"0x°","statics":{"verified":false,"functions":[]}}'), ("broken", "<html>"))
+
+
+@query(expected(FOUND_KINDS, [("whole", "0x°", True, "Vault¤", 2), ("part", "0x°", False, None, 0)], ("address", "verified", "name", "functions")))
 def src_result_json(spark, sf_dir):
     schema = "address string, statics struct<verified:boolean,name:string,functions:array<struct<signature:string>>>"
-    docs = literal(spark, [('{"address":"0x1","statics":{"verified":true,"name":"Vault","functions":[{"signature":"a()"},{"signature":"b()"}]}}',)], "json string")
-    return docs.select(F.from_json("json", schema).alias("r")).select("r.address", "r.statics.verified", "r.statics.name", F.size("r.statics.functions").alias("functions"))
+    docs = instances(spark, sf_dir, FOUND_KINDS, RESULTS, "json string").select("addr", F.from_json("json", schema).alias("r")).where("r.address is not null")
+    return docs.select("addr", "r.address", "r.statics.verified", "r.statics.name", F.size("r.statics.functions").alias("functions"))
 
 
 @query("SELECT o_orderkey AS tx, o_orderstatus AS status, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderkey = 11")
@@ -310,243 +350,123 @@ def src_tx_header(spark, sf_dir):
     return table(spark, sf_dir, "orders").where("o_orderkey = 11").select(F.col("o_orderkey").alias("tx"), F.col("o_orderstatus").alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
 
 
-@query()
+@query(PRELUDE + """SELECT to_json({'tx': tx, 'block': block, 'path': path, 'call_type': call_type, 'from_addr': from_addr, 'to_addr': to_addr, 'selector': selector, 'error': error})::VARCHAR AS json FROM frames WHERE block BETWEEN 1000 AND 1100""")
 def sink_trace_json(spark, sf_dir):
-    """Frames of one transaction as JSON lines, as a file sink takes them."""
-    return frames(spark, sf_dir).where("tx = '0x0000000b'").select(F.to_json(F.struct("*")).alias("json"))
+    """Frames of a range of blocks as JSON lines, as a file sink takes them; what is missing is null."""
+    found = frames(spark, sf_dir).where("block between 1000 and 1100").select("tx", "block", "path", "call_type", "from_addr", "to_addr", "selector", "error")
+    return found.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
 
 
-@query()
+@query(PRELUDE + f""", {SEGMENTS} SELECT from_block, to_block, 0 AS traced, CASE slice_index % 3 WHEN 1 THEN 'no traces: the provider refused the method' ELSE 'no traces: the time for them was over' END AS note FROM segments WHERE slice_index % 3 > 0""")
 def report_unavailable(spark, sf_dir):
-    """A window that was not read: typed, with its reason and no counts."""
-    return literal(spark, [(None, None, 0, "no traces: the provider refused the method")], "from_block long, to_block long, traced int, note string")
+    """Windows that were not read: typed, with their reason and no counts. Of three segments one is read, one refused and one too late here."""
+    why = F.when(F.col("slice_index") % 3 == 1, "no traces: the provider refused the method").otherwise("no traces: the time for them was over")
+    return planned(frames(spark, sf_dir)).where("slice_index % 3 > 0").select("from_block", "to_block", F.lit(0).alias("traced"), why.alias("note"))
 
 
-# --- source steps --------------------------------------------------------------------------------------------------
+# --- name resolution -----------------------------------------------------------------------------------------------
 
-CHAIN = (("D", 0), ("B", 1), ("A", 2))
-MEMBERS = (("A", "f"), ("B", "f"), ("A", "g"), ("D", "h"), ("B", "h"))
+CHAIN_KINDS = ("three", "two")
+CHAIN = (("three", "D¤", 0), ("three", "B", 1), ("three", "A", 2), ("two", "X", 0), ("two", "Y¤", 1))
+MEMBERS = (("three", "A", "f"), ("three", "B", "f"), ("three", "A", "g"), ("three", "D¤", "h"), ("three", "B", "h"), ("two", "Y¤", "f"), ("two", "X", "g¤"))
 
 
-def chain_members(spark):
-    chain = literal(spark, CHAIN, "unit string, chain_ord int")
-    return chain.join(literal(spark, MEMBERS, "unit string, name string"), "unit")
+def chain_members(spark, sf_dir):
+    chain = instances(spark, sf_dir, CHAIN_KINDS, CHAIN, "unit string, chain_ord int")
+    return chain.join(instances(spark, sf_dir, CHAIN_KINDS, MEMBERS, "unit string, name string"), ["addr", "unit"])
 
 
-@query(values([("f", "B"), ("g", "A"), ("h", "D")], ("name", "unit")))
+@query(expected(CHAIN_KINDS, [("three", "f", "B"), ("three", "g", "A"), ("three", "h", "D¤"), ("two", "f", "Y¤"), ("two", "g¤", "X")], ("name", "unit")))
 def join_member_lookup(spark, sf_dir):
     """The first unit of the chain that declares a name."""
-    return chain_members(spark).groupBy("name").agg(F.min_by("unit", "chain_ord").alias("unit"))
+    return chain_members(spark, sf_dir).groupBy("addr", "name").agg(F.min_by("unit", "chain_ord").alias("unit"))
 
 
-@query(values([("D", "f", "B"), ("B", "f", "A"), ("D", "h", "B"), ("B", "g", "A"), ("D", "g", "A")], ("unit", "name", "super")))
+@query(expected(CHAIN_KINDS, [("three", "D¤", "f", "B"), ("three", "B", "f", "A"), ("three", "D¤", "h", "B"), ("three", "B", "g", "A"), ("three", "D¤", "g", "A"), ("two", "X", "f", "Y¤")], ("unit", "name", "super")))
 def join_super(spark, sf_dir):
     """For each unit and name the next unit of the chain that declares it: an as-of join on the place in the chain."""
-    m = chain_members(spark).select(F.col("unit").alias("super"), "name", F.col("chain_ord").alias("o"))
-    here = literal(spark, CHAIN, "unit string, chain_ord int")
-    return here.join(m, F.col("o") > F.col("chain_ord")).groupBy("unit", "name").agg(F.min_by("super", "o").alias("super"))
+    m = chain_members(spark, sf_dir).select("addr", F.col("unit").alias("super"), "name", F.col("chain_ord").alias("o"))
+    here = instances(spark, sf_dir, CHAIN_KINDS, CHAIN, "unit string, chain_ord int")
+    return here.join(m, "addr").where("o > chain_ord").groupBy("addr", "unit", "name").agg(F.min_by("super", "o").alias("super"))
 
 
-@query(values([("f", "D"), ("g", "A"), ("h", "D")], ("name", "declared_in")).replace("('f', 'D')", "('f', 'B')"))
+@query(expected(CHAIN_KINDS, [("three", "f", 2, "B"), ("three", "g", 1, "A"), ("three", "h", 2, "D¤"), ("two", "f", 1, "Y¤"), ("two", "g¤", 1, "X")], ("name", "declared", "declared_in"), longs=("declared",)))
 def sol_members(spark, sf_dir):
-    """A member table: base to derived, the derived declaration last."""
-    return chain_members(spark).groupBy("name").agg(F.min_by("unit", "chain_ord").alias("declared_in"))
+    """A member table: base to derived, the derived declaration last, with how many there are."""
+    return chain_members(spark, sf_dir).groupBy("addr", "name").agg(F.count("*").alias("declared"), F.max_by("unit", -F.col("chain_ord")).alias("declared_in"))
 
 
-CANDIDATES = (("Utils", "a.sol", 0), ("Utils", "b.sol", 1), ("Lone", "c.sol", 0), ("Far", "d.sol", 0), ("Far", "e.sol", 1))
+CANDIDATES = (("three", "Utils", "a.sol", 0), ("three", "Utils", "b.sol", 1), ("three", "Lone¤", "c.sol", 0), ("three", "Far", "d.sol", 0), ("three", "Far", "e¤.sol", 1), ("two", "Utils", "b.sol", 0), ("two", "Utils", "x.sol", 1))
 
 
-@query(values([("Utils", "a.sol"), ("Lone", "c.sol"), ("Far", "e.sol")], ("name", "file")))
+@query(expected(CHAIN_KINDS, [("three", "Utils", "a.sol"), ("three", "Lone¤", "c.sol"), ("three", "Far", "e¤.sol"), ("two", "Utils", "x.sol")], ("name", "file")))
 def join_name_resolution(spark, sf_dir):
     """Of units of one name the last that the calling file reaches, else the last declared."""
-    reach = literal(spark, [("a.sol",), ("x.sol",)], "f string")
-    rows = literal(spark, CANDIDATES, "name string, file string, ord int").join(reach, F.col("file") == F.col("f"), "left")
-    return rows.groupBy("name").agg(F.max_by("file", F.struct(F.col("f").isNotNull(), "ord")).alias("file"))
+    reach = instances(spark, sf_dir, CHAIN_KINDS, [(k, f) for k in CHAIN_KINDS for f in ("a.sol", "x.sol")], "f string")
+    rows = instances(spark, sf_dir, CHAIN_KINDS, CANDIDATES, "name string, file string, ord int")
+    rows = rows.join(reach.select(F.col("addr").alias("_a"), "f"), (F.col("addr") == F.col("_a")) & (F.col("file") == F.col("f")), "left")
+    return rows.groupBy("addr", "name").agg(F.max_by("file", F.struct(F.col("f").isNotNull(), "ord")).alias("file"))
 
 
-USING = (("Exact", "IERC20", 0), ("Any", "*", 1), ("Other", "uint256", 2))
+USING = (("three", "Exact¤", "IERC20", 0), ("three", "Any", "*", 1), ("three", "Other", "uint256", 2), ("two", "Only", "uint256", 0))
 
 
-@query(values([("IERC20", "Exact"), ("bytes32", "Any"), ("uint256", "Other")], ("type", "library")))
+@query(expected(CHAIN_KINDS, [("three", "IERC20", "Exact¤"), ("three", "bytes32", "Any"), ("three", "uint256", "Other"), ("two", "uint256", "Only")], ("type", "library")))
 def join_using(spark, sf_dir):
     """The library of a type: named for it, else for all."""
-    types = literal(spark, [("IERC20",), ("bytes32",), ("uint256",)], "type string")
-    using = F.broadcast(literal(spark, USING, "library string, for_type string, ord int"))
-    fits = types.join(using, (F.col("for_type") == F.col("type")) | (F.col("for_type") == "*"))
-    return fits.groupBy("type").agg(F.min_by("library", F.struct(F.col("for_type") == "*", "ord")).alias("library"))
+    types = instances(spark, sf_dir, CHAIN_KINDS, [(k, t) for k in CHAIN_KINDS for t in ("IERC20", "bytes32", "uint256")], "type string")
+    fits = types.join(instances(spark, sf_dir, CHAIN_KINDS, USING, "library string, for_type string, ord int"), "addr").where("for_type = type or for_type = '*'")
+    return fits.groupBy("addr", "type").agg(F.min_by("library", F.struct(F.col("for_type") == "*", "ord")).alias("library"))
+
+
+DECLARED = (("three", "f", 1, "f(Odd)"), ("three", "g", 1, "g(uint8)"), ("three", "h¤", 1, "h¤(address)"), ("two", "f", 2, "f(a,b)"))
+OFFERED = (("three", "f", 1, "f(uint256)"), ("three", "h¤", 1, "h¤(address)"), ("three", "h¤", 1, "h¤(bytes32)"), ("three", "g", 2, "g(uint8,uint8)"), ("two", "f", 2, "f(int¤,int8)"))
 
 
-@query(values([("f", "f(uint256)"), ("g", None), ("h", "h(address)")], ("name", "matched")))
+@query(expected(CHAIN_KINDS, [("three", "f", "f(uint256)"), ("three", "g", None), ("three", "h¤", "h¤(address)"), ("two", "f", "f(int¤,int8)")], ("name", "matched")))
 def join_abi_match(spark, sf_dir):
     """A source function with one interface function of its name and arity takes it; with several, the one of its own signature; else none."""
-    source = literal(spark, [("f", 1, "f(Odd)"), ("g", 1, "g(uint8)"), ("h", 1, "h(address)")], "name string, arity int, own string")
-    entries = literal(spark, [("f", 1, "f(uint256)"), ("h", 1, "h(address)"), ("h", 1, "h(bytes32)"), ("g", 2, "g(uint8,uint8)")], "n string, a int, signature string")
-    found = source.join(entries, (F.col("name") == F.col("n")) & (F.col("arity") == F.col("a")), "left").groupBy("name", "own").agg(F.collect_list("signature").alias("s"))
-    return found.select("name", F.when(F.size("s") == 1, F.col("s")[0]).when(F.array_contains("s", F.col("own")), F.col("own")).alias("matched"))
+    source = instances(spark, sf_dir, CHAIN_KINDS, DECLARED, "name string, arity int, own string")
+    entries = instances(spark, sf_dir, CHAIN_KINDS, OFFERED, "name string, arity int, signature string")
+    found = source.join(entries, ["addr", "name", "arity"], "left").groupBy("addr", "name", "own").agg(F.collect_list("signature").alias("s"))
+    return found.select("addr", "name", F.when(F.size("s") == 1, F.col("s")[0]).when(F.array_contains("s", F.col("own")), F.col("own")).alias("matched"))
 
 
-ACCESSES = (("x", 0, ["a", "b"]), ("x", 1, ["c"]), ("x", 2, ["d"]), ("y", 3, []))
+ACCESSES = (("three", "x", 0, ["a", "b"]), ("three", "x", 1, ["c¤"]), ("three", "x", 2, ["d"]), ("three", "y", 3, []), ("two", "x", 0, ["a¤", "b"]))
 
 
-@query(values([("x", "c"), ("y", "")], ("name", "via")))
+@query(expected(CHAIN_KINDS, [("three", "x", "c¤"), ("three", "y", ""), ("two", "x", "a¤,b")], ("name", "via")))
 def agg_collapse_access(spark, sf_dir):
     """The shortest way to a variable, the first of equally short ones."""
-    rows = literal(spark, ACCESSES, "name string, ord int, via array<string>")
-    return rows.groupBy("name").agg(F.array_join(F.min_by("via", F.struct(F.size("via"), "ord")), ",").alias("via"))
-
-
-@query(values([("B",)], ("unit",)))
-def agg_pick_unit(spark, sf_dir):
-    """The unit with most functions of the interface, the first of equals; at least one."""
-    units = literal(spark, [("A", 0, "f"), ("B", 1, "f"), ("B", 1, "g"), ("C", 2, "f"), ("C", 2, "g")], "unit string, ord int, name string")
-    scored = units.join(literal(spark, [("f",), ("g",)], "name string"), "name").groupBy("unit", "ord").agg(F.count("*").alias("n"))
-    return scored.agg(F.max_by("unit", F.struct("n", -F.col("ord"))).alias("unit"))
-
-
-@query(values([("put", "external"), ("held", "external"), ("setFee", "external"), ("forward", "external"), ("ping", "external"), ("rolesOwner", "external")], ("name", "visibility")))
-def flt_exposed(spark, sf_dir):
-    return solidity_functions(spark).where("addr = 'v'").select("name", "visibility")
-
-
-@query(values([("transfer",), ("set_owner",), ("sweep",), ("raw",)], ("name",)))
-def flt_external(spark, sf_dir):
-    functions = vectorised("array<struct<name:string,decorators:array<string>>>")(lambda c: c.map(lambda x: [{"name": f.name, "decorators": f.decorators} for f in vyper.parse(x).functions.values()]))
-    rows = literal(spark, [(TOKEN_VY,)], "content string").select(F.explode(functions("content")).alias("f")).select("f.*")
-    return rows.where(F.exists("decorators", lambda d: d.isin("external", "public"))).select("name")
-
-
-def units_of(function, ddl):
-    """Rows that a function makes of a parsed Solidity file."""
-    return vectorised(f"array<struct<{ddl}>>")(lambda c: c.map(lambda x: function(solidity.File("x.sol", x))))
-
-
-def exploded(spark, column, contents):
-    return literal(spark, [(c,) for c in contents], "content string").select(F.explode(column("content")).alias("r")).select("r.*")
-
-
-@query(values([("Vault", "Put", "address indexed,uint256")], ("unit", "event", "params")))
-def sol_events(spark, sf_dir):
-    rows = units_of(lambda f: [{"unit": u.name, "event": e, "params": ",".join(p.type + " indexed" * p.indexed for p in ps)} for u in f.units for e, ps in u.events.items()], "unit:string,event:string,params:string")
-    return exploded(spark, rows, [VAULT])
-
-
-@query(values([("put", 0, "uint256", "amount"), ("forward", 0, "address", "target"), ("forward", 1, "bytes", "data"), ("setFee", 0, "uint256", "newFee"), ("_set", 0, "uint256", "value")], ("fn", "ord", "type", "name")))
-def sol_params(spark, sf_dir):
-    rows = units_of(lambda f: [{"fn": x.name, "ord": i, "type": p.type, "name": p.name} for u in f.units if u.name == "Vault" for x in u.functions for i, p in enumerate(x.params)], "fn:string,ord:int,type:string,name:string")
-    return exploded(spark, rows, [VAULT])
-
+    rows = instances(spark, sf_dir, CHAIN_KINDS, ACCESSES, "name string, ord int, via array<string>")
+    return rows.groupBy("addr", "name").agg(F.array_join(F.min_by("via", F.struct(F.size("via"), "ord")), ",").alias("via"))
 
-@query(values([("asset", "IToken", "public", True), ("pool", "IPool", "public", False), ("shares", "mapping(address=>uint256)", "public", False), ("fee", "uint256", "internal", False)], ("name", "type", "visibility", "immutable")))
-def sol_state_vars(spark, sf_dir):
-    rows = units_of(lambda f: [{"name": v.name, "type": v.type, "visibility": v.visibility, "immutable": v.immutable} for u in f.units if u.name == "Vault" for v in u.variables], "name:string,type:string,visibility:string,immutable:boolean")
-    return exploded(spark, rows, [VAULT])
 
+UNITS = (("three", "A", 0, "f"), ("three", "B¤", 1, "f"), ("three", "B¤", 1, "g"), ("three", "C", 2, "f"), ("three", "C", 2, "g"), ("two", "A¤", 0, "h"), ("two", "B", 1, "f"))
 
-IMPORTING = 'import "./b/B.sol"; import {X} from "lib/C.sol"; contract A {}'
 
-
-@query(values([("./b/B.sol", "b/B.sol"), ("lib/C.sol", "x/lib/C.sol")], ("spec", "target")))
-def sol_imports(spark, sf_dir):
-    def run(contents):
-        def edges(text):
-            project = solidity.Project([("A.sol", text), ("b/B.sol", ""), ("x/lib/C.sol", "")])
-            return [{"spec": s, "target": project.target("A.sol", s)} for s in project.files["A.sol"].imports]
-
-        return contents.map(edges)
-
-    return exploded(spark, vectorised("array<struct<spec:string,target:string>>")(run), [IMPORTING])
-
-
-@query(values([(6,)], ("lines",)))
-def sol_strip(spark, sf_dir):
-    """Comments and what strings hold are no tokens of a declaration: brackets in them open nothing."""
-    text = 'contract A { // }\n/* } */ string s = "}"; /* \n */\n function f() external {} }\n'
-    count = vectorised("array<struct<lines:int>>")(lambda c: c.map(lambda x: [{"lines": 5 + len(solidity.File("x", x).units[0].functions)}]))
-    return exploded(spark, count, [text])
-
-
-@query(values([("Market", "(address,address,uint256)"), ("Allocation[]", "((address,address,uint256),uint256[])[]"), ("Status", "uint8"), ("Id", "bytes32"), ("IAdapter", "address"), ("Nowhere", None)], ("type", "abi")))
-def sol_abi_types(spark, sf_dir):
-    types = ("Market", "Allocation[]", "Status", "Id", "IAdapter", "Nowhere")
-
-    def run(contents):
-        def rows(text):
-            project = solidity.Project([("T.sol", text)])
-            return [{"type": t, "abi": project.abi_type(t, "T.sol", None)} for t in types]
-
-        return contents.map(rows)
-
-    return exploded(spark, vectorised("array<struct<type:string,abi:string>>")(run), [FILES[1][2]])
-
-
-@query(values([("known(uint256)",), (None,)], ("signature",)))
-def sol_signatures(spark, sf_dir):
-    """A signature, or nothing where a type is not declared."""
-    files = literal(spark, [("s", "S.sol", "contract S { function known(uint a) external {} function unknown(Nowhere n) external {} }")], "addr string, path string, content string")
-    return sourcecode.functions(files, literal(spark, [("s", "S", None)], "addr string, contract string, abi array<string>")).select("signature")
+@query(expected(CHAIN_KINDS, [("three", "B¤"), ("two", "B")], ("unit",)))
+def agg_pick_unit(spark, sf_dir):
+    """The unit with most functions of the interface, the first of equals; at least one."""
+    units = instances(spark, sf_dir, CHAIN_KINDS, UNITS, "unit string, ord int, name string")
+    interface = instances(spark, sf_dir, CHAIN_KINDS, [(k, n) for k in CHAIN_KINDS for n in ("f", "g")], "name string")
+    scored = units.join(interface, ["addr", "name"]).groupBy("addr", "unit", "ord").agg(F.count("*").alias("n"))
+    return scored.groupBy("addr").agg(F.max_by("unit", F.struct("n", -F.col("ord"))).alias("unit"))
 
 
-DOC = ["/// one", "/// two", "", "function a()", "code", "/// three", "function b()"]
+DOC = [("three", n, t) for n, t in enumerate(["/// one ¤", "/// two", "", "function a()", "code", "/// three", "function b¤()"])] + [("two", 0, "/// four"), ("two", 1, "contract C¤")]
 
 
-@query(values([("function a()", "/// one /// two"), ("function b()", "/// three")], ("target", "doc")))
+@query(expected(CHAIN_KINDS, [("three", "function a()", "/// one ¤ /// two"), ("three", "function b¤()", "/// three"), ("two", "contract C¤", "/// four")], ("target", "doc")))
 def win_natspec_islands(spark, sf_dir):
     """Adjacent doc lines are one group, which belongs to the next line that is not blank: gaps and islands."""
-    rows = literal(spark, list(enumerate(DOC)), "line int, text string").where("text <> ''")
-    order = Window.orderBy("line")
+    rows = instances(spark, sf_dir, CHAIN_KINDS, DOC, "line int, text string").where("text <> ''")
+    order = Window.partitionBy("addr").orderBy("line")
     is_doc = F.startswith("text", F.lit("///"))
     rows = rows.withColumn("group", F.sum(F.when(~is_doc, 1).otherwise(0)).over(order) - F.when(~is_doc, 1).otherwise(0))
-    found = rows.groupBy("group").agg(F.max_by("text", "line").alias("target"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(is_doc, F.struct("line", "text")))), lambda s: s["text"]), " ").alias("doc"))
-    return found.where("doc <> ''").select("target", "doc")
-
-
-@query(values([("_move", "internal", "nonpayable"), ("transfer", "external", "nonpayable"), ("set_owner", "external", "nonpayable"), ("sweep", "external", "nonpayable"), ("raw", "external", "nonpayable")], ("name", "visibility", "mutability")))
-def vy_functions(spark, sf_dir):
-    def run(contents):
-        def rows(text):
-            module = vyper.parse(text)
-            return [{"name": f.name, "visibility": module.visibility(f), "mutability": vyper.mutability(f.decorators)} for f in module.functions.values()]
-
-        return contents.map(rows)
-
-    return exploded(spark, vectorised("array<struct<name:string,visibility:string,mutability:string>>")(run), [TOKEN_VY])
-
-
-VY_TYPES = (("DynArray[S, 3]", "(address,uint256[3])[]"), ("Bytes[32]", "bytes"), ("uint256[N]", "uint256[3]"), ("decimal", "int168"), ("HashMap[address, uint256]", None), ("ERC20", "address"))
-
-
-@query(values(VY_TYPES, ("type", "abi")))
-def vy_types(spark, sf_dir):
-    def run(types):
-        module = vyper.parse("N: constant(uint256) = 3\nstruct S:\n    a: address\n    b: uint256[N]\n")
-        return types.map(lambda t: vyper.abi_type(t, module))
-
-    return literal(spark, [(t,) for t, _ in VY_TYPES], "type string").select("type", vectorised("string")(run)("type").alias("abi"))
-
-
-@query(values([("balanceOf(address)", "uint256")], ("signature", "returns")))
-def vy_getters(spark, sf_dir):
-    def run(contents):
-        def rows(text):
-            module = vyper.parse(text)
-            found = [vyper.getter(n, k, module) for n, (k, f, _) in module.variables.items() if "public" in f]
-            return [{"signature": s, "returns": r} for s, r in found]
-
-        return contents.map(rows)
-
-    return exploded(spark, vectorised("array<struct<signature:string,returns:string>>")(run), [TOKEN_VY])
-
-
-@query(values([("self.a[b == c] += d", "self.a[b == c]", "+="), ("x: uint256 = y", "x: uint256", "="), ("assert a == b", None, None)], ("text", "target", "op")))
-def vy_lines(spark, sf_dir):
-    rows = vectorised("array<string>")(lambda t: t.map(lambda x: list(vyper.assignment(x) or (None, None))))
-    texts = literal(spark, [("self.a[b == c] += d",), ("x: uint256 = y",), ("assert a == b",)], "text string").withColumn("a", rows("text"))
-    return texts.select("text", F.col("a")[0].alias("target"), F.col("a")[1].alias("op"))
-
-
-@query(values([("note", "note(uint256)", "call"), ("raw_call", None, "dynamic")], ("function_name", "signature", "call_type")))
-def vy_raw_call(spark, sf_dir):
-    return sourcecode.external_calls(vyper_functions(spark)).where("contract_type is null").select("function_name", "signature", "call_type")
+    lines = F.transform(F.array_sort(F.collect_list(F.when(is_doc, F.struct("line", "text")))), lambda s: s["text"])
+    found = rows.groupBy("addr", "group").agg(F.max_by("text", "line").alias("target"), F.array_join(lines, " ").alias("doc"))
+    return found.where("doc <> ''").select("addr", "target", "doc")
 
 
 # --- views and reports ---------------------------------------------------------------------------------------------
@@ -621,10 +541,10 @@ def text_dest_label(spark, sf_dir):
     return possible_observed(spark, sf_dir).groupBy("fn", label.alias("label")).agg(F.count("*").alias("n"))
 
 
-@query(values([("x", "The code reads storage, writes storage.")], ("addr", "said")))
+@query(expected(DISPATCH_KINDS, [("dispatch", "The code writes storage."), ("program", "The code reads storage, writes storage.")], ("said",)))
 def text_facts(spark, sf_dir):
     """Which effects the opcodes show; nothing is said of those that are not there."""
-    found = bytecode.code_facts(bytecode.decoded(literal(spark, [("x", PROGRAM)], "addr string, code string")))
+    found = bytecode.code_facts(bytecode.decoded(codes(spark, sf_dir, *DISPATCH_KINDS)))
     texts = {"reads_storage": "reads storage", "writes_storage": "writes storage", "calls": "calls", "staticcalls": "calls without change", "delegatecalls": "runs others' code", "creates": "creates contracts", "selfdestructs": "can destroy itself"}
     seen = F.array_compact(F.array(*(F.when(F.col(c), t) for c, t in texts.items())))
     return found.select("addr", F.concat(F.lit("The code "), F.array_join(seen, ", "), F.lit(".")).alias("said"))
@@ -647,21 +567,20 @@ def text_summary(spark, sf_dir):
     return top.agg(F.concat(F.lit("In the traced window it calls "), scalars.listed(said), F.lit(".")).alias("summary"))
 
 
-@query(values([("movePull", "internal", 1), ("movePull>#0", "external", 2), ("#1", "external", 1)], ("path", "kind", "depth")))
-def tree_render(spark, sf_dir):
-    """A tree from the top: the order of paths is the order of a walk."""
-    found = sourcecode.execution_tree(sourcecode.functions(literal(spark, FILES[:1], "addr string, path string, content string"), literal(spark, TARGETS[:1], "addr string, contract string, abi array<string>")))
-    return found.where("fn = 'put(uint256)'").orderBy("path").select(F.array_join("path", ">").alias("path"), "kind", F.size("path").alias("depth"))
-
-
-@query()
+@query(PRELUDE + """SELECT 'outbound' AS "table", count(*) AS rows, sum(calls)::BIGINT AS calls FROM edges_out
+UNION ALL SELECT 'delegatecalls', count(*), sum(calls)::BIGINT FROM edges_delegated
+UNION ALL SELECT 'inbound', count(*), sum(calls)::BIGINT FROM edges_in
+UNION ALL SELECT 'entries', count(*), sum(n)::BIGINT FROM (SELECT selector, count(*) AS n FROM inbound GROUP BY selector)
+UNION ALL SELECT 'contracts', count(*), sum(n)::BIGINT FROM (SELECT to_addr, count(*) AS n FROM outbound GROUP BY to_addr UNION ALL SELECT from_addr, count(*) FROM inbound GROUP BY from_addr)
+UNION ALL SELECT 'unresolved', count(*), NULL FROM (SELECT target_selector AS s FROM edges_out UNION SELECT destination_selector FROM edges_out UNION SELECT target_selector FROM edges_in UNION SELECT caller_selector FROM edges_in) WHERE s IS NOT NULL AND s NOT IN (SELECT selector FROM signatures)""")
 def flagship(spark, sf_dir):
-    """The whole analysis of the target; here how many rows each of its tables has."""
+    """The whole analysis of the target; here how many rows each of its tables has, and the calls that they count."""
     from framelark.plans.analysis import analyse
 
     tables = analyse(frames(spark, sf_dir), IDENTITY, signatures(spark, sf_dir), labels(spark, sf_dir))
     found = None
     for name, one in tables.items():
-        count = one.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
+        calls = F.sum("calls") if "calls" in one.columns else F.lit(None).cast("long")
+        count = one.agg(F.count("*").alias("rows"), calls.alias("calls")).select(F.lit(name).alias("table"), "rows", "calls")
         found = count if found is None else found.unionByName(count)
     return found

@@ -31,14 +31,14 @@ def flat_frames(texts: DataFrame) -> DataFrame:
 def nested_frames(texts: DataFrame, levels: int = 1024) -> DataFrame:
     """Frames of ``texts(tx, json)``, one nested call tree each: a recursive query takes the calls of each level off the tree.
 
-    ``levels`` bounds the depth, which the machine itself bounds at 1024.
+    ``levels`` bounds the depth, which the machine itself bounds at 1024. A text that is no JSON gives a root without ends.
     """
     spark = texts.sparkSession
     name = f"nested_{abs(hash(texts.semanticHash()))}"
     texts.createOrReplaceTempView(name)
     tree = spark.sql(f"""
         WITH RECURSIVE tree(tx, path, node) MAX RECURSION LEVEL {levels} AS (
-          SELECT tx, CAST(array() AS array<int>), parse_json(json) FROM {name}
+          SELECT tx, CAST(array() AS array<int>), try_parse_json(json) FROM {name}
           UNION ALL
           SELECT tree.tx, concat(tree.path, array(e.pos)), e.value FROM tree, LATERAL variant_explode(variant_get(tree.node, '$.calls', 'variant')) AS e
         )
@@ -46,6 +46,7 @@ def nested_frames(texts: DataFrame, levels: int = 1024) -> DataFrame:
                try_variant_get(node, '$.type', 'string') AS k, try_variant_get(node, '$.value', 'string') AS v,
                coalesce(try_variant_get(node, '$.error', 'string'), try_variant_get(node, '$.revertReason', 'string')) AS error
         FROM tree""")
+    spark.catalog.dropTempView(name)
     data = F.coalesce("i", F.lit("0x"))
     return tree.select(
         "tx", "path", call_type(F.col("k")).alias("call_type"), F.lower(F.coalesce("f", F.lit(""))).alias("from_addr"), F.lower("t").alias("to_addr"),

@@ -89,7 +89,7 @@ def test_windowed_counts(spark, tmp_path):
 def test_analysis_gives_every_table(spark, sf):
     from framelark.plans.sourcequeries import solidity_functions
 
-    tables = analyse(testtables.frames(spark, sf), testtables.IDENTITY, testtables.signatures(spark, sf), testtables.labels(spark, sf), solidity_functions(spark))
+    tables = analyse(testtables.frames(spark, sf), testtables.IDENTITY, testtables.signatures(spark, sf), testtables.labels(spark, sf), solidity_functions(spark, sf))
     assert set(tables) == {"outbound", "delegatecalls", "inbound", "entries", "contracts", "unresolved", "calls"}
     assert all(t.columns for t in tables.values()) and tables["outbound"].count() > 0 and tables["calls"].where("not possible").count() > 0
 
