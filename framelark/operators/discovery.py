@@ -7,18 +7,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def width(most: int) -> Column:
+    """Blocks of each of up to ``most`` segments of ``low`` to ``head``."""
+    total = F.col("head") - F.col("low") + 1
+    return F.ceil(total / F.greatest(F.lit(1), F.least(F.lit(most).cast("long"), total)))
+
+
 def segments(span: DataFrame, most: int) -> DataFrame:
     """``slice_index, from_block, to_block`` of ``span(low, head)``: up to ``most`` touching segments of equal width, newest first."""
-    total = F.col("head") - F.col("low") + 1
-    width = F.ceil(total / F.greatest(F.lit(1), F.least(F.lit(most).cast("long"), total)))
-    cut = span.withColumn("w", width).withColumn("slice_index", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil((F.col("head") - F.col("low") + 1) / F.col("w")) - 1)))
+    cut = span.withColumn("w", width(most)).withColumn("slice_index", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil((F.col("head") - F.col("low") + 1) / F.col("w")) - 1)))
     top = F.col("head") - F.col("slice_index") * F.col("w")
     return cut.select("slice_index", F.greatest(F.col("low"), top - F.col("w") + 1).alias("from_block"), top.alias("to_block"))
 
 
-def in_segments(frames: DataFrame, parts: DataFrame) -> DataFrame:
-    """frames with the ``slice_index`` of the segment that holds their block; segments are few by their plan, so they are sent along."""
-    return frames.join(F.broadcast(parts), F.col("block").between(F.col("from_block"), F.col("to_block")))
+def in_segments(frames: DataFrame, span: DataFrame, most: int) -> DataFrame:
+    """frames within ``span(low, head)``, one row, with the ``slice_index`` of the segment that holds their block: of equal widths, it is a quotient."""
+    low, head = span.select("low").scalar(), span.select("head").scalar()
+    inside = frames.where(F.col("block").between(low, head))
+    return inside.withColumn("slice_index", F.floor((head - F.col("block")) / span.select(width(most)).scalar()))
 
 
 def capped(frames: DataFrame, cap: int, *order: Column | str) -> DataFrame:
@@ -59,6 +65,17 @@ def greedy(candidates: DataFrame, cap: int) -> DataFrame:
     return newest.drop("_n").groupBy("slice_index").applyInPandas(pick, "slice_index long, tx string, place long")
 
 
+def escaped(found: DataFrame, explorer: DataFrame, parts: DataFrame, least: int) -> DataFrame:
+    """``tx, slice_index, path``: candidates of ranges where a segment of ``parts`` has at least so many, else those of an explorer.
+
+    Few candidates past the time for a segment say that its range is slow or lies about what it holds; what it gave is dropped then.
+    """
+    n = found.groupBy("slice_index").agg(F.count("*").alias("_n"))
+    few = parts.select("slice_index").join(n, "slice_index", "left").where(F.coalesce("_n", F.lit(0)) < least).select("slice_index")
+    ranged = found.join(few, "slice_index", "left_anti").select("tx", "slice_index", F.lit("range").alias("path"))
+    return ranged.unionByName(explorer.join(few, "slice_index", "left_semi").select("tx", "slice_index", F.lit("explorer").alias("path")))
+
+
 def interleaved(ranked: DataFrame, cap: int) -> DataFrame:
     """Round robin over segments, newest first: all first places, then all second ones, up to ``cap``."""
     return ranked.orderBy("place", "slice_index").limit(cap)

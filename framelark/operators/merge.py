@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def call_sites(functions: DataFrame, signatures: DataFrame) -> DataFrame:
+    """``fn, site_ord, selector, name, address`` of the external calls of analysed ``functions``, by the selectors of ``signatures(selector, signature)``.
+
+    ``fn`` is the function's own selector; functions whose signature nothing knows are left out. A call's selector is null if its signature is unknown.
+    """
+    own = signatures.select(F.col("signature").alias("_own"), F.col("selector").alias("fn"))
+    called = signatures.select(F.col("signature").alias("_called"), "selector")
+    sites = functions.join(own, F.col("signature") == F.col("_own")).select("fn", F.posexplode("external_calls").alias("site_ord", "c"))
+    sites = sites.join(called, F.col("c.signature") == F.col("_called"), "left")
+    return sites.select("fn", F.col("site_ord").cast("long"), "selector", F.col("c.function_name").alias("name"), F.col("c.address").alias("address"))
+
+
 def resolved(sites: DataFrame, edges: DataFrame) -> DataFrame:
     """edges with ``site_ord`` of the first site of their function that fits, null without one.
 

@@ -145,10 +145,33 @@ def signed(rows: DataFrame, signatures: DataFrame, **columns: str) -> DataFrame:
     return rows
 
 
+def resolved_signatures(selectors: DataFrame, books: dict[str, DataFrame]) -> DataFrame:
+    """``selector, signature, source``: of the books ``(selector, signature)``, by name, the first that knows a selector; unknown without one."""
+    found, left = None, selectors
+    for name, book in books.items():
+        known = left.join(book, "selector").select("selector", "signature", F.lit(name).alias("source"))
+        found = known if found is None else found.unionByName(known)
+        left = left.join(book, "selector", "left_anti")
+    rest = left.select("selector", F.lit(None).cast("string").alias("signature"), F.lit("unknown").alias("source"))
+    return rest if found is None else found.unionByName(rest)
+
+
 def analysed(frames: DataFrame, identity: Sequence[str]) -> DataFrame:
     return with_enclosing(with_caller(flagged(frames, identity)))
 
 
+def touching(frames: DataFrame, identity: Sequence[str]) -> DataFrame:
+    """The flagged frames with one end at the target, with ``enclosing``, ``caller_selector`` and ``has_parent``: all that edges of any direction need."""
+    found = flagged(frames, identity)
+    return with_caller(with_enclosing(found.where("from_in <> to_in"), found), found)
+
+
+def edge_keys(rows: DataFrame, direction: str) -> DataFrame:
+    """``target_selector, txs`` of each edge of outbound ("out") or inbound ("in") frames, without what else an edge tells."""
+    keys = {"out": [F.col("enclosing").alias("target_selector"), "to_addr", "selector", "call_type"], "in": ["from_addr", "caller_selector", F.col("selector").alias("target_selector"), "call_type"]}[direction]
+    return rows.groupBy(*keys).agg(F.countDistinct("tx").alias("txs")).select("target_selector", "txs")
+
+
 def reachable(frames: DataFrame) -> DataFrame:
     """Frames all of whose strict prefixes exist: what a tree that is built from its root can hold."""
     keys = frames.select(F.col("tx").alias("_tx"), path_key(F.col("path")).alias("_key")).distinct()

@@ -8,37 +8,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelark.functions.scalars import name_of_signature
+from framelark.landing import saved
 from framelark.operators import merge, trace
 
 
-def analyse(frames: DataFrame, identity: Sequence[str], signatures: DataFrame, labels: DataFrame, functions: DataFrame | None = None) -> dict[str, DataFrame]:
+def analyse(frames: DataFrame, identity: Sequence[str], signatures: DataFrame, labels: DataFrame, functions: DataFrame | None = None, progress=None) -> dict[str, DataFrame]:
     """``outbound, delegatecalls, inbound, entries, contracts, unresolved`` from frames; with ``functions`` of source analysis also ``calls``.
 
-    ``functions`` have ``signature`` and ``external_calls``, and are joined by the signatures' selectors. Nothing runs until a table is read.
+    ``functions`` have ``signature`` and ``external_calls``, and are joined by the signatures' selectors. The frames that touch the target are
+    attributed once and written, and so are the edges; the tables read those. ``progress(stage, detail, share)`` is told as each is done.
     """
-    found = trace.flagged(frames, identity)
-    out, into = trace.with_enclosing(trace.outbound(found), found), trace.with_caller(trace.inbound(found), found)
-    outbound = trace.signed(trace.outbound_edges(out), signatures, target_selector="target_signature", destination_selector="destination_signature")
-    inbound = trace.inbound_edges(into, labels)
+    tell = progress or (lambda *_: None)
+    tell("traces", "attributing the frames that touch the target", 0.1)
+    rows = saved(trace.touching(frames, identity), "touching")
+    out, into = trace.outbound(rows), trace.inbound(rows)
+    outbound = saved(trace.signed(trace.outbound_edges(out), signatures, target_selector="target_signature", destination_selector="destination_signature"), "outbound")
+    tell("edges", "outbound edges are done", 0.6)
+    inbound = saved(trace.inbound_edges(into, labels), "inbound")
+    tell("edges", "inbound edges are done", 0.9)
     sides = [trace.rollup(out, "to_addr").withColumn("side", F.lit("outbound")), trace.rollup(into, "from_addr").withColumn("side", F.lit("inbound"))]
     contracts = trace.kinds(sides[0].unionByName(sides[1]), frames, labels)
     result = {
         "outbound": outbound,
-        "delegatecalls": trace.outbound_edges(trace.with_enclosing(trace.delegatecalls(found), found)),
+        "delegatecalls": trace.outbound_edges(trace.delegatecalls(rows)),
         "inbound": inbound,
         "entries": trace.function_counts(into, None, "selector"),
         "contracts": contracts,
         "unresolved": trace.selectors(outbound, inbound).join(signatures, "selector", "left_anti"),
     }
     if functions is not None:
-        known = functions.join(signatures.select(F.col("signature").alias("_s"), F.col("selector").alias("fn")), F.col("signature") == F.col("_s"))
-        sites = known.select("fn", F.posexplode("external_calls").alias("site_ord", "c")).join(
-            signatures.select(F.col("signature").alias("_d"), F.col("selector").alias("selector")), F.col("c.signature") == F.col("_d"), "left"
-        )
-        sites = sites.select("fn", F.col("site_ord").cast("long"), "selector", F.col("c.function_name").alias("name"), F.col("c.address").alias("address"))
+        sites = merge.call_sites(functions, signatures)
         edge_id = F.md5(F.concat_ws("|", "target_selector", "destination", F.coalesce("destination_selector", F.lit("")), "call_type"))
         edges = outbound.where("target_selector is not null").select(
             F.col("target_selector").alias("fn"), edge_id.alias("edge_id"), F.col("destination_selector").alias("selector"), name_of_signature(F.col("destination_signature")).alias("name"), "destination", "calls", "txs"
         )
         result["calls"] = merge.merged(sites, edges)
+    tell("result", "every table is ready to be read", 1.0)
     return result

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from framelark.operators import discovery, merge, trace
+from framelark.landing import saved
+from framelark.operators import discovery, merge, sourcecode, trace
 from framelark.plans.registry import query
-from framelark.plans.tracequeries import CANDIDATES, candidates, in_edges, out_edges, shown
-from framelark.sources.testtables import IDENTITY, PRELUDE, frames, labels, signatures
+from framelark.plans.tracequeries import CANDIDATES, candidates, out_edges, shown
+from framelark.sources.testtables import IDENTITY, PRELUDE, SOURCE_SQL, frames, labels, landed_frames, signatures, table, target_source
 
 SPAN, SLICES, CAP = 400, 10, 12000
 SEGMENTS = f"""span AS (SELECT greatest(0, max(block) - {SPAN} + 1) AS low, max(block) AS head FROM frames),
@@ -18,20 +19,24 @@ segments AS (SELECT n AS slice_index, greatest(low, head - n * w - w + 1) AS fro
 TOUCHED = """touched AS (SELECT f.*, s.slice_index FROM frames f JOIN segments s ON f.block BETWEEN s.from_block AND s.to_block WHERE f.from_in OR f.to_in)"""
 
 
-def planned(found):
-    span = found.agg(F.max("block").alias("head")).select(F.greatest(F.lit(0).cast("long"), F.col("head") - SPAN + 1).alias("low"), "head")
-    return discovery.segments(span, SLICES)
+def span_of(spark, sf_dir):
+    """``low, head`` of the blocks that are looked at; of the orders themselves, as a node tells its head without its traces."""
+    head = table(spark, sf_dir, "orders").agg(F.max(F.datediff("o_orderdate", F.lit("1992-01-01").cast("date"))).cast("long").alias("head"))
+    return head.select(F.greatest(F.lit(0).cast("long"), F.col("head") - SPAN + 1).alias("low"), "head")
+
+
+def planned(spark, sf_dir):
+    return discovery.segments(span_of(spark, sf_dir), SLICES)
 
 
 def touched(spark, sf_dir):
-    found = frames(spark, sf_dir)
-    flagged = trace.flagged(found, IDENTITY).where("from_in or to_in")
-    return discovery.in_segments(flagged, planned(found))
+    flagged = trace.flagged(frames(spark, sf_dir), IDENTITY).where("from_in or to_in")
+    return discovery.in_segments(flagged, span_of(spark, sf_dir), SLICES)
 
 
 @query(PRELUDE + f", {SEGMENTS} SELECT * FROM segments")
 def math_segments(spark, sf_dir):
-    return planned(frames(spark, sf_dir))
+    return planned(spark, sf_dir)
 
 
 @query(PRELUDE + f", {SEGMENTS}, {TOUCHED} SELECT tx, p AS path, slice_index FROM touched")
@@ -61,6 +66,18 @@ def discover_range(spark, sf_dir):
     return discovered(spark, sf_dir).select("tx", "block", "slice_index", F.size("selectors").cast("long").alias("selectors"), F.size("counterparties").cast("long").alias("counterparties"))
 
 
+@query(PRELUDE + f""", {SEGMENTS}, {TOUCHED}, {DISCOVERED}, counted AS (SELECT slice_index, count(*) AS n FROM discovered GROUP BY slice_index),
+few AS (SELECT s.slice_index FROM segments s LEFT JOIN counted c ON c.slice_index = s.slice_index WHERE coalesce(c.n, 0) < (SELECT max(n) FROM counted))
+SELECT tx, slice_index, 'range' AS path FROM discovered WHERE slice_index NOT IN (SELECT slice_index FROM few)
+UNION ALL SELECT DISTINCT tx, slice_index, 'explorer' FROM touched WHERE to_in AND slice_index IN (SELECT slice_index FROM few)""")
+def discover_escape(spark, sf_dir):
+    """Segments with fewer candidates than the best one turn to the explorer, which knows transactions into the target."""
+    found = saved(discovered(spark, sf_dir).select("tx", "slice_index"), "discovered")
+    least = found.groupBy("slice_index").count().agg(F.max("count")).first()[0] or 0
+    explorer = touched(spark, sf_dir).where("to_in").select("tx", "slice_index").distinct()
+    return discovery.escaped(found, explorer, planned(spark, sf_dir), least)
+
+
 PICKS = 8
 
 
@@ -101,9 +118,8 @@ def discover_router(spark, sf_dir, trace_filter: bool = True):
     """Which path finds candidates is settled when the plan is built, by the chain's flag."""
     if not trace_filter:
         return discover_explorer(spark, sf_dir).select("tx", "block")
-    found = frames(spark, sf_dir)
-    head = found.agg(F.max("block").alias("head"))
-    return candidates(trace.flagged(found, IDENTITY)).join(F.broadcast(head), F.col("block") >= F.col("head") - SPAN + 1).select("tx", "block")
+    low = span_of(spark, sf_dir).select("low").scalar()
+    return candidates(trace.flagged(frames(spark, sf_dir), IDENTITY)).where(F.col("block") >= low).select("tx", "block")
 
 
 @query(PRELUDE + """, tos AS (SELECT tx, min(block) AS block, 1 AS prio FROM frames WHERE to_in AND depth > 0 GROUP BY tx UNION ALL SELECT tx, min(block), 2 FROM frames WHERE from_in GROUP BY tx
@@ -164,7 +180,7 @@ def report_window_note(spark, sf_dir):
 
 @query(PRELUDE + f", {SEGMENTS} SELECT slice_index, (from_block - low) * 100.0::DOUBLE / (head - low + 1) AS left_pct, (to_block - from_block + 1) * 100.0::DOUBLE / (head - low + 1) AS width_pct FROM segments, span")
 def math_slice_strip(spark, sf_dir):
-    parts = planned(frames(spark, sf_dir))
+    parts = planned(spark, sf_dir)
     ends = parts.agg(F.min("from_block").alias("low"), F.max("to_block").alias("head"))
     total = F.col("head") - F.col("low") + 1
     return parts.crossJoin(F.broadcast(ends)).select("slice_index", ((F.col("from_block") - F.col("low")) * F.lit(100.0) / total).alias("left_pct"), ((F.col("to_block") - F.col("from_block") + 1) * F.lit(100.0) / total).alias("width_pct"))
@@ -175,10 +191,7 @@ def math_slice_strip(spark, sf_dir):
 SITES = """edges AS (SELECT target_selector AS fn, md5(target_selector || destination || coalesce(destination_selector, '') || call_type) AS edge_id, destination, destination_selector AS selector,
   CASE WHEN strpos(signature, '(') > 1 THEN split_part(signature, '(', 1) END AS name, calls, txs
   FROM edges_out LEFT JOIN signatures s ON s.selector = destination_selector WHERE target_selector IS NOT NULL),
-sites AS (SELECT fn, row_number() OVER (PARTITION BY fn ORDER BY selector, name, address) AS site_ord, selector, name, address FROM (
-  SELECT DISTINCT fn, CASE WHEN substr(h, 1, 1) >= '4' THEN selector END AS selector, name, CASE WHEN substr(h, 2, 1) < '8' THEN destination END AS address
-  FROM (SELECT *, md5(destination || coalesce(selector, '')) AS h FROM edges) WHERE substr(h, 3, 1) < 'a' AND (selector IS NOT NULL OR name IS NOT NULL)
-  UNION ALL SELECT DISTINCT fn, '0xdeadbeef', 'ghost', NULL FROM edges)),
+""" + SOURCE_SQL + """,
 pairs AS (SELECT s.fn, s.site_ord, e.edge_id, e.calls, e.txs, row_number() OVER (PARTITION BY e.edge_id ORDER BY s.site_ord) AS n FROM sites s JOIN edges e ON s.fn = e.fn
   AND CASE WHEN s.selector IS NOT NULL AND e.selector IS NOT NULL THEN s.selector = e.selector ELSE s.name = e.name END AND (s.address IS NULL OR s.address = e.destination)),
 matched AS (SELECT * FROM pairs WHERE n = 1),
@@ -189,27 +202,26 @@ merged AS (
 
 
 def site_tables(spark, sf_dir):
+    """What the target's parsed source makes possible, and the edges that were observed; each is made once and written, as all that follows reads both."""
     from framelark.functions.scalars import name_of_signature
 
-    edges = trace.signed(out_edges(spark, sf_dir), signatures(spark, sf_dir), destination_selector="signature").where("target_selector is not null")
+    book = signatures(spark, sf_dir)
+    edges = trace.signed(out_edges(spark, sf_dir), book, destination_selector="signature").where("target_selector is not null")
     ident = F.md5(F.concat("target_selector", "destination", F.coalesce("destination_selector", F.lit("")), "call_type"))
     edges = edges.select(F.col("target_selector").alias("fn"), ident.alias("edge_id"), "destination", F.col("destination_selector").alias("selector"), name_of_signature(F.col("signature")).alias("name"), "calls", "txs")
-    h = F.md5(F.concat("destination", F.coalesce("selector", F.lit(""))))
-    real = edges.where((F.substring(h, 3, 1) < "a") & (F.col("selector").isNotNull() | F.col("name").isNotNull()))
-    real = real.select("fn", F.when(F.substring(h, 1, 1) >= "4", F.col("selector")).alias("selector"), "name", F.when(F.substring(h, 2, 1) < "8", F.col("destination")).alias("address")).distinct()
-    ghosts = edges.select("fn", F.lit("0xdeadbeef").alias("selector"), F.lit("ghost").alias("name"), F.lit(None).cast("string").alias("address")).distinct()
-    order = Window.partitionBy("fn").orderBy(F.col("selector").asc_nulls_last(), F.col("name").asc_nulls_last(), F.col("address").asc_nulls_last())
-    return real.unionByName(ghosts).withColumn("site_ord", F.row_number().over(order).cast("long")), edges
+    source = target_source(spark, sf_dir)
+    functions = sourcecode.functions(source, source.select("addr", F.lit("Target").alias("contract"), F.lit(None).cast("array<string>").alias("abi")))
+    return saved(merge.call_sites(functions, book), "sites"), saved(edges, "edges")
 
 
 def possible_observed(spark, sf_dir):
     return merge.merged(*site_tables(spark, sf_dir))
 
 
-@query(PRELUDE + f", {SITES} SELECT * REPLACE (coalesce(site_ord, 0) AS site_ord) FROM merged")
+@query(PRELUDE + f", {SITES} SELECT * REPLACE (coalesce(site_ord, -1) AS site_ord) FROM merged")
 def merge_possible_observed(spark, sf_dir):
-    """Calls without a site have site 0 here."""
-    return possible_observed(spark, sf_dir).withColumn("site_ord", F.coalesce("site_ord", F.lit(0).cast("long")))
+    """Calls without a site have site -1 here."""
+    return possible_observed(spark, sf_dir).withColumn("site_ord", F.coalesce("site_ord", F.lit(-1).cast("long")))
 
 
 @query(PRELUDE + f", {SITES} SELECT e.fn, e.edge_id, e.destination, m.edge_id IS NOT NULL AS possible_from_code FROM edges e LEFT JOIN matched m ON m.edge_id = e.edge_id")
@@ -241,9 +253,12 @@ FROM (SELECT DISTINCT selector FROM signatures) f LEFT JOIN (SELECT selector, co
 LEFT JOIN (SELECT target_selector, max(txs) AS txs, count(*) AS n FROM edges_out GROUP BY 1) o ON o.target_selector = f.selector
 LEFT JOIN (SELECT target_selector, sum(txs) AS txs, count(*) AS n FROM edges_in GROUP BY 1) i ON i.target_selector = f.selector""")
 def map_function(spark, sf_dir):
+    """Entries, and edges out and in, of one pass over the frames that touch the target."""
     functions = signatures(spark, sf_dir).select("selector").distinct()
-    entries = trace.function_counts(trace.inbound(trace.flagged(frames(spark, sf_dir), IDENTITY)), None, "selector").where("selector is not null")
-    return merge.function_map(functions, entries, out_edges(spark, sf_dir), in_edges(spark, sf_dir))
+    rows = trace.touching(landed_frames(spark, sf_dir), IDENTITY)
+    entries = trace.function_counts(trace.inbound(rows), None, "selector").where("selector is not null")
+    out, into = trace.edge_keys(trace.outbound(rows), "out"), trace.edge_keys(trace.inbound(rows), "in")
+    return merge.function_map(functions, entries, out, into)
 
 
 @query(PRELUDE + """SELECT s.selector, s.signature, CASE WHEN o.selector IS NULL THEN false ELSE true END AS observed, count(*) OVER (PARTITION BY split_part(s.signature, '(', 1)) > 1 AS overloaded
@@ -274,8 +289,6 @@ SELECT holder, standard FROM held JOIN needed USING (member) JOIN size USING (st
 def agg_division(spark, sf_dir):
     """Relational division: suppliers that supply every kind of part, by name, that a brand has."""
     from framelark.functions.abi import division
-    from framelark.sources.testtables import table
-
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("standard"), F.col("p_name").alias("member"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("holder"), "l_partkey")
     return division(lines.join(parts, F.col("p_partkey") == F.col("l_partkey")).select("holder", "member"), parts.select("standard", "member"))
@@ -285,8 +298,6 @@ def agg_division(spark, sf_dir):
 LEFT JOIN (SELECT DISTINCT l_suppkey % 20 AS addr, l_partkey % 97 AS selector FROM lineitem WHERE l_quantity > 40) k USING (addr, selector) GROUP BY addr""")
 def agg_match_ratio(spark, sf_dir):
     from framelark.functions.abi import match_ratio
-    from framelark.sources.testtables import table
-
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).alias("addr"), (F.col("l_partkey") % 97).alias("selector"), "l_quantity")
     return match_ratio(rows.select("addr", "selector"), rows.where("l_quantity > 40"))
 
@@ -311,9 +322,8 @@ UNION ALL SELECT 'delegatecall', delegated FROM checks WHERE delegated > 0
 UNION ALL SELECT 'inbound-attribution', unattributed FROM checks WHERE unattributed > 0""")
 def review_checks(spark, sf_dir):
     """One row for each evidence check that has something to report."""
-    from framelark.plans.tracequeries import delegated_edges
-
+    rows = saved(trace.touching(landed_frames(spark, sf_dir), IDENTITY), "touching")
     one_sided = possible_observed(spark, sf_dir).where("possible <> observed").agg(F.count("*").alias("n")).select(F.lit("static-vs-observed").alias("id"), "n")
-    delegated = delegated_edges(spark, sf_dir).agg(F.count("*").alias("n")).select(F.lit("delegatecall").alias("id"), "n")
-    unknown = in_edges(spark, sf_dir).where("not caller_is_eoa and caller_selector is null").agg(F.count("*").alias("n")).select(F.lit("inbound-attribution").alias("id"), "n")
+    delegated = trace.outbound_edges(trace.delegatecalls(rows)).agg(F.count("*").alias("n")).select(F.lit("delegatecall").alias("id"), "n")
+    unknown = trace.inbound_edges(trace.inbound(rows), labels(spark, sf_dir)).where("not caller_is_eoa and caller_selector is null").agg(F.count("*").alias("n")).select(F.lit("inbound-attribution").alias("id"), "n")
     return one_sided.unionByName(delegated).unionByName(unknown).where("n > 0")

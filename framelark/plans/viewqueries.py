@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framelark.functions import abi, scalars
 from framelark.functions.udfs import vectorised
+from framelark.landing import saved
 from framelark.operators import bytecode, trace
 from framelark.plans.discoveryqueries import SEGMENTS, SITES, planned, possible_observed
 from framelark.plans.registry import query
@@ -15,7 +16,7 @@ from framelark.plans.tracequeries import out_edges, shown
 from framelark.source_code import vyper
 from framelark.sources import wire
 from framelark.sources.testcontracts import ADDRESS_SQL, expected, instances
-from framelark.sources.testtables import IDENTITY, PRELUDE, frames, labels, signatures, table
+from framelark.sources.testtables import IDENTITY, PRELUDE, frames, labels, landed_frames, signatures, table
 
 
 def place(*order):
@@ -361,7 +362,7 @@ def sink_trace_json(spark, sf_dir):
 def report_unavailable(spark, sf_dir):
     """Windows that were not read: typed, with their reason and no counts. Of three segments one is read, one refused and one too late here."""
     why = F.when(F.col("slice_index") % 3 == 1, "no traces: the provider refused the method").otherwise("no traces: the time for them was over")
-    return planned(frames(spark, sf_dir)).where("slice_index % 3 > 0").select("from_block", "to_block", F.lit(0).alias("traced"), why.alias("note"))
+    return planned(spark, sf_dir).where("slice_index % 3 > 0").select("from_block", "to_block", F.lit(0).alias("traced"), why.alias("note"))
 
 
 # --- name resolution -----------------------------------------------------------------------------------------------
@@ -577,7 +578,7 @@ def flagship(spark, sf_dir):
     """The whole analysis of the target; here how many rows each of its tables has, and the calls that they count."""
     from framelark.plans.analysis import analyse
 
-    tables = analyse(frames(spark, sf_dir), IDENTITY, signatures(spark, sf_dir), labels(spark, sf_dir))
+    tables = analyse(landed_frames(spark, sf_dir), IDENTITY, saved(signatures(spark, sf_dir), "signatures"), saved(labels(spark, sf_dir), "labels"))
     found = None
     for name, one in tables.items():
         calls = F.sum("calls") if "calls" in one.columns else F.lit(None).cast("long")

@@ -9,13 +9,7 @@ from pathlib import Path
 from urllib.parse import parse_qsl, urlsplit
 
 #: What documentation puts where a value belongs.
-PLACEHOLDERS = {"your_key_here", "your-key-here", "changeme", "todo", "xxx", "<key>", "alchemy_api_key", "your_rpc_url_here", "https://", "<url>"}
-#: The hosts of the chains at the vendor whose key may stand for an address.
-HOSTS = {
-    "ethereum": "eth-mainnet", "base": "base-mainnet", "bnb": "bnb-mainnet", "arbitrum": "arb-mainnet", "polygon": "polygon-mainnet", "optimism": "opt-mainnet", "ink": "ink-mainnet", "gnosis": "gnosis-mainnet",
-    "berachain": "berachain-mainnet", "worldchain": "worldchain-mainnet", "unichain": "unichain-mainnet", "linea": "linea-mainnet", "celo": "celo-mainnet", "sonic": "sonic-mainnet",
-    "zksync": "zksync-mainnet", "ronin": "ronin-mainnet", "scroll": "scroll-mainnet", "soneium": "soneium-mainnet", "zora": "zora-mainnet",
-}
+PLACEHOLDERS = {"your_key_here", "your-key-here", "changeme", "todo", "xxx", "<key>", "your_rpc_url_here", "https://", "<url>"}
 #: Characters from which a part of an address may be a credential.
 SECRET = 8
 
@@ -72,30 +66,27 @@ def own_url(chain: str, settings: Settings) -> str | None:
 
 
 def has_endpoint(settings: Settings) -> bool:
-    return bool(settings.get("ALCHEMY_API_KEY") or any(settings.urls()))
+    return bool(settings.get("RPC_TEMPLATE") or any(settings.urls()))
 
 
 def rpc_url(chain: str, settings: Settings) -> str:
-    """An own address before one that is made of the vendor's key."""
+    """An own address before one of RPC_TEMPLATE, in which ``{chain}`` and ``{key}`` stand for the chain and for RPC_KEY."""
     if url := own_url(chain, settings):
         return url
-    if not (key := settings.get("ALCHEMY_API_KEY")):
-        raise MissingEndpoint(f"set RPC_URL, {url_variable(chain)} or ALCHEMY_API_KEY")
-    return f"https://{HOSTS[chain]}.g.alchemy.com/v2/{key}"
+    if not (template := settings.get("RPC_TEMPLATE")):
+        raise MissingEndpoint(f"set RPC_URL, {url_variable(chain)} or RPC_TEMPLATE")
+    return template.replace("{chain}", chain).replace("{key}", settings.get("RPC_KEY") or "")
 
 
 def provider_label(chain: str, settings: Settings) -> str:
     """Who answers, without a credential."""
-    url = own_url(chain, settings)
-    if not url:
-        return f"Alchemy {HOSTS[chain]}"
-    host = urlsplit(url).netloc.rpartition("@")[2]
+    host = urlsplit(rpc_url(chain, settings)).netloc.rpartition("@")[2]
     return f"RPC {host}" if host else "RPC custom endpoint"
 
 
 def secrets(settings: Settings) -> list[str]:
     """Addresses, keys, passwords, and long parts of paths and queries; the longest first, so no part of one survives."""
-    found = set(filter(None, [settings.get("ALCHEMY_API_KEY")]))
+    found = set(filter(None, [settings.get("RPC_KEY")]))
     for url in settings.urls():
         parts = urlsplit(url)
         found |= {url} | {p for p in [*parts.path.split("/"), *(v for _, v in parse_qsl(parts.query))] if len(p) >= SECRET}

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from framelark.landing import saved
+
 #: The proxy and its implementation, one target seen under two addresses.
 IDENTITY = ("s0", "s1")
 LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
@@ -99,6 +101,42 @@ def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.unionByName(own)
 
 
+def landed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames as a table that lies there, as a query that reads them more than once finds them."""
+    return saved(frames(spark, sf_dir), "frames")
+
+
+def target_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``addr, path, content``: source of the target, one file. Function k calls the dependencies whose number has its parity, then one that nobody
+    signs, then the first dependency at a fixed address. The third dependency is declared with another type than the one that is observed.
+    """
+    parts = table(spark, sf_dir, "part").where("p_partkey < 5").select(F.col("p_partkey").alias("p"), F.regexp_replace("p_name", " ", "_").alias("name"))
+    kind = F.when(F.col("p") == 2, "address").otherwise("uint256")
+    declared = F.concat(F.lit("function "), "name", F.lit("("), kind, F.lit(" x) external; "))
+    of = lambda text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", text.alias("t")))), lambda x: x["t"]), "")
+    first = F.max(F.when(F.col("p") == 0, F.col("name")))
+    interface = parts.agg(F.concat(F.lit("interface Dep { "), of(declared), F.lit("function ghost(uint256 x) external; } contract Target { Dep dep; ")).alias("head"), first.alias("first"))
+    numbers = table(spark, sf_dir, "orders").select("o_orderpriority").distinct().where("o_orderpriority <> '5-LOW'").select(F.substring("o_orderpriority", 1, 1).cast("int").alias("k"))
+    calls = numbers.join(parts, (F.col("k") + F.col("p")) % 2 == 0).groupBy("k").agg(of(F.concat(F.lit("dep."), "name", F.lit("(1); "))).alias("calls"))  # four functions, five parts
+    body = F.concat(F.lit("function order_"), F.col("k").cast("string"), F.lit("() external { "), "calls", F.lit(f"dep.ghost(1); Dep({FIXED}).FIRST(1); }} "))
+    bodies = calls.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", body.alias("t")))), lambda x: x["t"]), "").alias("bodies"))
+    whole = interface.crossJoin(bodies).select(F.replace(F.concat("head", "bodies", F.lit("}")), F.lit("FIRST"), F.col("first")).alias("content"))  # one row each
+    return whole.select(F.lit("s0").alias("addr"), F.lit("Target.sol").alias("path"), "content")
+
+
+#: An address that no frame has.
+FIXED = "0x" + "00" * 19 + "aa"
+
+#: What the code of the target makes possible, for DuckDB, after ``PRELUDE``.
+SITES_SQL = f"""sites AS (
+  SELECT fn, (row_number() OVER (PARTITION BY fn ORDER BY o, p) - 1)::BIGINT AS site_ord, selector, name, address FROM (
+    SELECT fn, 0 AS o, p, selector, name, NULL::VARCHAR AS address FROM target_functions JOIN deps ON (p + k) % 2 = 0
+    UNION ALL SELECT fn, 1, 0, NULL, 'ghost', NULL FROM target_functions
+    UNION ALL SELECT fn, 2, 0, selector, name, '{FIXED}' FROM target_functions JOIN deps ON p = 0))"""
+SOURCE_SQL = """target_functions AS (SELECT '0x' || substr(md5(o_orderpriority), 1, 8) AS fn, substr(o_orderpriority, 1, 1)::INT AS k FROM (SELECT DISTINCT o_orderpriority FROM orders) WHERE o_orderpriority <> '5-LOW'),
+deps AS (SELECT p_partkey AS p, replace(p_name, ' ', '_') AS name, CASE WHEN p_partkey <> 2 THEN '0x' || substr(md5('f' || p_partkey), 1, 8) END AS selector FROM part WHERE p_partkey < 5),
+""" + SITES_SQL  # noqa: E501
+
 #: The same tables for DuckDB. ``p`` is the path as text, ``root`` for the root, ``depth`` its length, ``pk`` it with a point after each step.
 PRELUDE = """
 WITH RECURSIVE ord AS (
