@@ -145,14 +145,14 @@ def signed(rows: DataFrame, signatures: DataFrame, **columns: str) -> DataFrame:
     return rows
 
 
-def resolved_signatures(selectors: DataFrame, books: dict[str, DataFrame]) -> DataFrame:
-    """``selector, signature, source``: of the books ``(selector, signature)``, by name, the first that knows a selector; unknown without one."""
-    found, left = None, selectors
+def first_known(wanted: DataFrame, key: str, value: str, books: dict[str, DataFrame]) -> DataFrame:
+    """``<key>, <value>, source`` of wanted keys: of the books ``(<key>, <value>)``, by name, the first that knows a key, and only that is asked; unknown without one."""
+    found, left = None, wanted
     for name, book in books.items():
-        known = left.join(book, "selector").select("selector", "signature", F.lit(name).alias("source"))
+        known = left.join(book, key).select(key, value, F.lit(name).alias("source"))
         found = known if found is None else found.unionByName(known)
-        left = left.join(book, "selector", "left_anti")
-    rest = left.select("selector", F.lit(None).cast("string").alias("signature"), F.lit("unknown").alias("source"))
+        left = left.join(book, key, "left_anti")
+    rest = left.select(key, F.lit(None).cast("string").alias(value), F.lit("unknown").alias("source"))
     return rest if found is None else found.unionByName(rest)
 
 

@@ -107,4 +107,15 @@ def sig_resolver(spark, sf_dir):
 
     wanted = out_edges(spark, sf_dir).where("destination_selector is not null").select(F.col("destination_selector").alias("selector")).distinct()
     database = spark.range(1).select(selector_of(F.lit("f5")).alias("selector"), F.lit("late(uint256)").alias("signature"))
-    return trace.resolved_signatures(wanted, {"registry": signatures(spark, sf_dir), "database": database})
+    return trace.first_known(wanted, "selector", "signature", {"registry": signatures(spark, sf_dir), "database": database})
+
+
+@query(PRELUDE + """SELECT a AS addr, coalesce(o.label, l.label) AS label, CASE WHEN o.addr IS NOT NULL THEN 'own' WHEN l.addr IS NOT NULL THEN 'explorer' ELSE 'unknown' END AS source
+FROM (SELECT DISTINCT from_addr AS a FROM frames) LEFT JOIN (SELECT 's' || s_suppkey AS addr, s_name AS label FROM supplier WHERE s_suppkey < 3) o ON o.addr = a LEFT JOIN labels l ON l.addr = a""")
+def label_source(spark, sf_dir):
+    """A label source is any tables ``addr, label`` in the order in which they are asked."""
+    from framelark.sources.testtables import labels
+
+    wanted = frames(spark, sf_dir).select(F.col("from_addr").alias("addr")).distinct()
+    own = table(spark, sf_dir, "supplier").where("s_suppkey < 3").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("addr"), F.col("s_name").alias("label"))
+    return trace.first_known(wanted, "addr", "label", {"own": own, "explorer": labels(spark, sf_dir).select("addr", "label")})

@@ -53,17 +53,21 @@ def bc_root(spark, sf_dir):
     return step(spark, sf_dir, lambda code: str(bytecode.dispatcher_root(blocks_of(code))))
 
 
-@query(expected(STEP_KINDS, [("search", "0,28,42,39,16,40,26"), ("program", "0,11"), ("none", "")], ("found",)))
+@query(expected(STEP_KINDS, [("search", "0,28,42,39,16,40,26 False"), ("program", "0,11 False"), ("none", " False")], ("found",)))
 def bc_traverse(spark, sf_dir):
-    """Blocks from the start; a jump to a place that is no jump target leads nowhere."""
-    return step(spark, sf_dir, lambda code: ",".join(map(str, bytecode.traverse(blocks_of(code)))))
+    """Blocks from the start, and whether a cap cut the walk; a jump to a place that is no jump target leads nowhere."""
+
+    def run(code):
+        order, truncated = bytecode.traverse(blocks_of(code))
+        return f"{','.join(map(str, order))} {truncated}"
+
+    return step(spark, sf_dir, run)
 
 
 @query(expected(STEP_KINDS, [("search", "(42, None) (26, None)"), ("program", ""), ("none", "")], ("found",)))
 def bc_dispatch(spark, sf_dir):
     def run(code):
-        blocks = blocks_of(code)
-        return " ".join(str(bytecode.resolve(blocks, bytecode.dispatcher_root(blocks), int(s, 16))) for s in bytecode.all_selectors(blocks))
+        return " ".join(str(bytecode.enter(bytecode.decode(code), int(s, 16))) for s in bytecode.all_selectors(blocks_of(code)))
 
     return step(spark, sf_dir, run)
 

@@ -148,3 +148,17 @@ def test_sources_that_are_broken_do_not_stop_it():
 def test_interface_decides_which_functions_count():
     got = {r["signature"]: r["has_source"] for r in solidity.analyse([("a.sol", CHAINED)], "C", ["run(address)", "ghost()"])}
     assert got == {"run(address)": True, "ghost()": False}
+
+
+def test_dispatchers_are_run():
+    run = lambda text, selector: bytecode.enter(bytecode.decode(text), selector)
+    load = "60003560e01c"
+    # no match; a selector kept in memory; a division instead of a shift; a test that is turned round; a loop; an unknown jump
+    assert run("0x" + load + "6311111111" + "14" + "600f" + "57" + "00" + "5b00", 0x22222222) == (None, "the code ends before the selector is found")
+    assert run("0x" + load + "600052" + "600051" + "6311111111" + "14" + "6016" + "57" + "00" + "5b00", 0x11111111) == (22, None)
+    assert run("0x" + "7c01" + "00" * 28 + "600035" + "04" + "6311111111" + "14" + "602c" + "57" + "00" + "5b00", 0x11111111) == (44, None)
+    assert run("0x" + load + "6311111111" + "14" + "15" + "6011" + "57" + "00" + "5b00", 0x11111111) == (16, None)
+    assert run("0x5b600056", 1) == (None, "the dispatcher comes back to where it was")
+    assert run("0x" + "600154" + "56", 1) == (None, "a jump of the dispatcher has no constant target")
+    order, truncated = bytecode.traverse(bytecode.basic_blocks(bytecode.decode("0x" + "5b60016002576000" * 50)), cap=10)
+    assert truncated and len(order) == 10

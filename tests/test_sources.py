@@ -135,14 +135,18 @@ def test_refusals_fail_at_once_without_secrets(node):
     assert jsonrpc.scrub("at http://h/longsecret12 now", jsonrpc.secrets_of("http://h/longsecret12")) == "at *** now"
 
 
-def test_streamed_edges_equal_those_of_the_table(spark, sf, tmp_path):
+@pytest.mark.parametrize("compact", [8, 2])
+def test_streamed_edges_equal_those_of_the_table(spark, sf, tmp_path, monkeypatch, compact):
+    monkeypatch.setattr(edges, "COMPACT", compact)
     frames = testtables.frames(spark, sf).where("tx_ord % 7 = 0")
-    frames.repartition(3, "tx").write.parquet(str(tmp_path / "landed"))
+    frames.repartition(5, "tx").write.parquet(str(tmp_path / "landed"))
     schema = ", ".join(f"{n} {t}" for n, t in frames.dtypes)
     edges.edge_counts(spark, str(tmp_path / "landed"), str(tmp_path / "state"), testtables.IDENTITY, str(tmp_path / "check"), schema).awaitTermination()
     got = {tuple(r[k] for k in edges.KEYS): r.calls for r in edges.latest(spark, str(tmp_path / "state")).collect()}
     whole = trace.outbound_edges(trace.outbound(trace.analysed(frames, testtables.IDENTITY))).collect()
     assert got == {tuple(r[k] for k in edges.KEYS): r.calls for r in whole} and got
+    bases, own = edges.versions(spark, str(tmp_path / "state"))
+    assert len(bases) == (2 if compact == 2 else 0) and len(own) == (3 if compact == 2 else 5)
 
 
 def test_windowed_counts(spark, tmp_path):
