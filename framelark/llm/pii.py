@@ -36,8 +36,8 @@ TERM = r"\p{L}{3,}+"
 WINDOW = 10
 
 SPAN = "array<struct<s:bigint,e:bigint,value:string>>"
-#: Items of a list that are gone through at a time.
-BLOCK = 128
+#: Items of a list that are gone through at a time; forms of words up to which a pattern of them alone is looked for in a text.
+BLOCK, FORMS = 128, 64
 
 
 def _valid(kind: str, value: Column) -> Column:
@@ -83,9 +83,10 @@ def placed(items: Column) -> Column:
     return let(items, lambda xs: F.flatten(F.aggregate(blocks(xs), zero, step, lambda acc: F.concat(acc["all"], F.array(acc["last"]["out"])))))
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     """``array<struct<s, e, value>>``: the matches of a pattern with their code point offsets."""
-    hits, between = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    hits, between = F.regexp_extract_all(text, pattern, 0), F.split(text, pattern, -1)
     both = F.zip_with(between, hits, lambda g, h: F.struct(F.length(g).cast("long").alias("gap"), h.alias("hit")))
     return placed(F.filter(both, lambda x: x["hit"].isNotNull()))  # the last gap has no hit
 
@@ -182,11 +183,14 @@ def marked(docs: DataFrame, base: DataFrame, terms: DataFrame) -> DataFrame:
     """``of, terms array<struct<action, s, e>>``: by the digest of a text, every token of it that is one of ``terms(term, action)`` and overlaps no base span."""
     terms = bounded(terms)
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), 0), F.lower))
-    having = docs.select(digest(text).alias("of"), F.explode(words).alias("term")).join(terms, "term", "left_semi")
-    having = bounded(saved(having.select("of").distinct(), "pii-having"))
-    held = docs.select(digest(text).alias("of"), text.alias("text")).join(having, "of", "left_semi").dropDuplicates(["of"])
-    tokens = held.select("of", F.explode(matches(F.col("text"), TERM)).alias("t"))
+    forms = docs.select(digest(text).alias("of"), F.explode(F.regexp_extract_all(text, F.lit(TERM), 0)).alias("form")).withColumn("term", F.lower("form"))
+    having = forms.join(terms, "term", "left_semi").groupBy("of").agg(F.array_sort(F.collect_set("form")).alias("forms"))
+    # few words are looked for alone, so that few matches are placed; with many, all words of a text are
+    alone = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("forms", "|"), F.lit(r")(?!\p{L})"))
+    having = saved(having.select("of", F.when(F.size("forms") <= FORMS, alone).otherwise(F.lit(TERM)).alias("pattern")), "pii-having")
+    having = bounded(having)
+    held = docs.select(digest(text).alias("of"), text.alias("text")).join(having, "of").groupBy("of").agg(F.first("text").alias("text"), F.first("pattern").alias("pattern"))
+    tokens = held.select("of", F.explode(matches(F.col("text"), F.col("pattern"))).alias("t"))
     tokens = tokens.select("of", "t.s", "t.e", F.lower("t.value").alias("term")).join(terms, "term").select("of", F.lit(TOKEN).alias("kind"), "s", "e", "action")
     spans = base.where(F.size("entities") > 0).select(F.col("_fl_of").alias("of"), "entities").join(having, "of", "left_semi").dropDuplicates(["of"])
     spans = spans.select("of", F.explode("entities").alias("c")).select("of", F.lit(ENTITY).alias("kind"), "c.s", "c.e", F.lit(None).cast("string").alias("action"))

@@ -425,7 +425,9 @@ def brute_terms(rows, disclosure=0.9, removal=0.95):
     return {n: sorted((marks[t], a, b) for a, b, t in own if t in marks) for n, own in tokens.items()}
 
 
-def test_terms_are_those_of_the_method_word_for_word(spark):
+@pytest.mark.parametrize("forms", [64, 0])
+def test_terms_are_those_of_the_method_word_for_word(spark, monkeypatch, forms):
+    monkeypatch.setattr(pii, "FORMS", forms)
     rng = np.random.default_rng(21)
     words = [f"{a}{b}{c}" for a in "kst" for b in "aeiou" for c in ("lm", "nd", "rst", "vv")]
     people = [f"person{'abcdefghij'[i]}@mail.example.com" for i in range(10)] + ["+1 (706) 555-3138", "4111 1111 1111 1111", "10.0.0.1"]
@@ -607,6 +609,13 @@ def test_broken_media_rows(spark):
     assert [r.payload_bytes for r in got] == [0, 0, 0, 0, 192] and [len(r.tracks) for r in got] == [0, 0, 0, 1, 1] and got[4].tail_crc32 == zlib.crc32(b"y" * 16)
 
 
+def test_batches_to_python_are_made_small(spark):
+    from framelark.llm.common import small_batches
+
+    small_batches(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "512" and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(16 << 20)
+
+
 def test_registry_names():
     assert [int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES] == list(range(1, 11))
     assert set(queries.SQL) <= set(queries.QUERIES)
