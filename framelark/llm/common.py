@@ -1,54 +1,18 @@
-"""Shared helpers of the training-data operators: durable intermediates and size-checked broadcasts."""
+"""Shared helpers of the training-data operators: size-checked broadcasts, settings, batches to Python."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows, and bytes of their text, binary and array columns, up to which a side that was measured may be broadcast.
-BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir``, or a temporary one in local mode where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    context = spark.sparkContext
-    if not (context.master == "local" or context.master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _own:
-        folder = tempfile.mkdtemp(prefix="framelark-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        _own[context.applicationId] = f"file://{folder}"
-    return _own[context.applicationId]
-
-
-def _hadoop(spark: SparkSession, path: str):
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+from framelark.landing import new_path, remove, saved, shared_dir
 
+__all__ = ["bounded", "n_words", "new_path", "remove", "saved", "settings", "shared_dir", "shuffle_partitions", "small_batches"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; what is written there goes when the application ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    files, hadoop = _hadoop(spark, path)
-    files.deleteOnExit(hadoop)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Give back the disk of a path that nothing reads any more."""
-    files, hadoop = _hadoop(spark, path)
-    files.delete(hadoop, True)
+#: Rows, and bytes of their text, binary and array columns, up to which a side that was measured may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 @contextlib.contextmanager
@@ -67,14 +31,6 @@ def settings(spark: SparkSession, **values: str):
                 spark.conf.set(k, v)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it again."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _bytes(df: DataFrame):
     """Column: about how many bytes a row of df takes."""
     sizes = [F.lit(8 * len(df.columns))]
@@ -83,7 +39,7 @@ def _bytes(df: DataFrame):
         if kind in ("string", "binary"):
             sizes.append(F.coalesce(F.octet_length(c), F.lit(0)))
         elif kind == "array":
-            each = {"string": 32, "binary": 32}.get(field.dataType.elementType.typeName(), 16)
+            each = {"string": 32, "binary": 32, "struct": 64}.get(field.dataType.elementType.typeName(), 16)
             sizes.append(F.greatest(F.size(c), F.lit(0)) * each)
     return sum(sizes[1:], sizes[0])
 
@@ -98,15 +54,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """From now on at most so many rows go to Python at once: batches of whole, maybe very long, texts must fit a worker's memory.
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 16 << 20) -> None:
+    """From now on at most so many rows, or bytes where Spark can tell, go to Python at once: batches of whole, maybe very long, texts must fit a worker's memory.
 
     Stays set in the session, as plans are made when their results are read: after the operator that needs it has returned.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key).lower().rstrip("b")
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:  # one in other units was set by hand, and stays
+            spark.conf.set(key, str(most))
 
 
 def n_words(text):
