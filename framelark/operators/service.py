@@ -48,6 +48,22 @@ def query_string(params: Column) -> Column:
     return F.when(F.size(pairs) > 0, F.concat(F.lit("&"), F.array_join(pairs, "&"))).otherwise("")
 
 
+def env_rows(files: DataFrame) -> DataFrame:
+    """``addr, name, value`` of the ``NAME=value`` lines of ``files(addr, text)``: comments and empty values go, and one quote at each end."""
+    lines = files.select("addr", F.explode(F.split("text", "\n")).alias("line")).select("addr", F.trim("line").alias("line"))
+    parts = lines.where("line not like '#%' and instr(line, '=') > 1")
+    name = F.trim(F.substring_index("line", "=", 1))
+    value = F.trim(F.substr("line", F.instr("line", "=") + 1))
+    value = F.regexp_replace(F.regexp_replace(value, "^[\"']", ""), "[\"']$", "")
+    return parts.select("addr", name.alias("name"), value.alias("value")).where("name <> '' and value <> ''")
+
+
+def usable(value: Column, placeholders) -> Column:
+    """The value without blanks at its ends; null if it is empty or what documentation puts where a value belongs."""
+    text = F.trim(value)
+    return F.when((text != "") & ~F.lower(text).isin(*sorted(placeholders)), text)
+
+
 def explorers(registry: DataFrame, host: str) -> DataFrame:
     """``chain_id, urls`` of registry documents ``(json)``, a map from chain ids to explorers: those that ``host`` runs come first, slashes at the end go."""
     entry = "map<string,struct<explorers:array<struct<url:string,hostedBy:string>>>>"

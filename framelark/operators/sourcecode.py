@@ -127,16 +127,22 @@ CLASSES = (
 )
 
 
+#: What is said of a contract beside its class.
+OTHER, READ_ONLY = "contract with no matched standard", "read-only contract"
+CLAUSES = {"admin": "with an admin role", "proxy": "behind a proxy", "unverified": "source not verified"}
+
+
 def classified(contracts: DataFrame) -> DataFrame:
     """``addr, class`` of ``contracts(addr, standards array<string>, symbol, state_changing, is_proxy, verified)``."""
     holds = lambda s: F.array_contains("standards", s)
     kind = F.when(F.lit(False), "")
     for standard, text in CLASSES:
         kind = kind.when(holds(standard), text)
-    kind = kind.otherwise(F.when(F.col("state_changing") == 0, "read-only contract").otherwise("contract with no matched standard"))
+    kind = kind.otherwise(F.when(F.col("state_changing") == 0, READ_ONLY).otherwise(OTHER))
     symbol = F.nullif("symbol", F.lit(""))
     kind = F.when(symbol.isNotNull() & ~F.contains(kind, symbol), F.concat(kind, F.lit(" ("), symbol, F.lit(")"))).otherwise(kind)
-    parts = F.array(kind, F.when(holds("Ownable") | holds("AccessControl"), "with an admin role"), F.when(F.col("is_proxy"), "behind a proxy"), F.when(~F.col("verified"), "source not verified"))
+    when = {"admin": holds("Ownable") | holds("AccessControl"), "proxy": F.col("is_proxy"), "unverified": ~F.col("verified")}
+    parts = F.array(kind, *(F.when(when[k], text) for k, text in CLAUSES.items()))
     return contracts.select("addr", F.array_join(F.array_compact(parts), ", ").alias("class"))
 
 

@@ -119,3 +119,34 @@ def label_source(spark, sf_dir):
     wanted = frames(spark, sf_dir).select(F.col("from_addr").alias("addr")).distinct()
     own = table(spark, sf_dir, "supplier").where("s_suppkey < 3").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("addr"), F.col("s_name").alias("label"))
     return trace.first_known(wanted, "addr", "label", {"own": own, "explorer": labels(spark, sf_dir).select("addr", "label")})
+
+
+ENV_KINDS = ("plain", "quoted", "empty")
+ENV = (("plain", "# a note\nRPC_URL=https://rpc¤.example.com/a?b=c\n  KEY = v¤ \n=none\nEMPTY=\nno line"), ("quoted", "A='x¤'\nB=\"y\"\n#C=z\nD=changeme\nE=your_key_here"), ("empty", ""))
+
+
+@query(expected(ENV_KINDS, [("plain", "RPC_URL", "https://rpc¤.example.com/a?b=c"), ("plain", "KEY", "v¤"), ("quoted", "A", "x¤"), ("quoted", "B", "y"), ("quoted", "D", "changeme"), ("quoted", "E", "your_key_here")], ("name", "value")))
+def scan_env_file(spark, sf_dir):
+    return service.env_rows(instances(spark, sf_dir, ENV_KINDS, ENV, "text string"))
+
+
+@query(expected(ENV_KINDS, [("plain", "RPC_URL", True), ("plain", "KEY", True), ("quoted", "A", True), ("quoted", "B", True), ("quoted", "D", False), ("quoted", "E", False)], ("name", "usable")))
+def flt_placeholder(spark, sf_dir):
+    """Which settings hold a value and not what documentation puts in its place."""
+    from framelark.sources.settings import PLACEHOLDERS
+
+    rows = service.env_rows(instances(spark, sf_dir, ENV_KINDS, ENV, "text string"))
+    return rows.select("addr", "name", service.usable(F.col("value"), PLACEHOLDERS).isNotNull().alias("usable"))
+
+
+SECRETS = (("plain", "RPC_URL=https://user:pass-word-¤@rpc.example.com/v1/team-token-¤?apikey=super-secret-¤"), ("quoted", "RPC_TEMPLATE='https://{chain}.example.com/{key}'\nRPC_KEY=key-of-¤"), ("empty", "RPC_URL=<url>"))
+
+
+@query(expected(ENV_KINDS, [("plain", "https://user:pass-word-¤@rpc.example.com/v1/team-token-¤?apikey=super-secret-¤ super-secret-¤ team-token-¤ pass-word-¤"), ("quoted", "key-of-¤"), ("empty", "")], ("secrets",)))
+def sort_secrets(spark, sf_dir):
+    """What of the settings must not be shown, the longest first, so that no part of one survives when they are cut out in order."""
+    from framelark.functions.udfs import vectorised
+    from framelark.sources import settings
+
+    found = vectorised("string")(lambda texts: texts.map(lambda t: " ".join(settings.secrets(settings.Settings(settings.env_lines(t))))))
+    return instances(spark, sf_dir, ENV_KINDS, SECRETS, "text string").select("addr", found("text").alias("secrets"))
