@@ -49,20 +49,21 @@ def forest(pairs, limit: int = FOREST):
     yield from stars()
 
 
-def _contract(batches):
-    """Within a partition, replace edges by stars: what a map-side combine is to a sum."""
+def star_batches(pairs):
+    """The stars of ``forest`` as Arrow batches ``u, v``, for the end of a task: what a map-side combine is to a sum."""
     import pyarrow as pa
 
-    def edges():
-        for batch in batches:
-            yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-
-    stars = forest(edges())
+    stars = forest(pairs)
     while some := list(islice(stars, 65536)):
         u, v = zip(*some)
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
+def _contract(batches):
+    """Within a partition, replace edges by stars."""
+    yield from star_batches(pair for batch in batches for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -79,14 +80,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, contract: bool = True) -> DataFrame:
     """``(node, root)`` for every node of ``edges(u long, v long)`` but the roots; root is the smallest node reachable.
 
+    Each task replaces its edges by stars first, unless (``contract``) they come of tasks that have done so.
+
     Self loops, repeated edges and edges with a null end are ignored; no edges give no rows.
     Each round writes its edges to the shared folder, so a lost executor costs one round's tasks at most.
     """
     edges = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
-    stars = saved(edges.mapInArrow(_contract, "u long, v long"), "stars")
+    stars = saved(edges.mapInArrow(_contract, "u long, v long") if contract else edges, "stars")
     before = None
     for _ in range(max_rounds):
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

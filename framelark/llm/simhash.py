@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, saved, small_batches
-from .components import components, forest
+from .components import components, star_batches
 
 #: Fingerprints, and hashes of shingle sets, that a block has at most or so; larger buckets are compared block against block, in more tasks.
 BLOCK, BLOCK_HASHES = 4096, 4 << 20
@@ -124,13 +124,13 @@ def chain_for(n: int, bits: int) -> int:
     return min(range(2, min(2 * bits + 1, 9), 2), key=lambda chain: price(masks(chain, bits)))
 
 
-def _signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >> 63 else mask
+def _signed64(number: int) -> int:
+    return number - (1 << 64) if number >> 63 else number
 
 
 def keyed(fps: DataFrame, chain: int, bits: int) -> DataFrame:
     """fps with ``key_no, key``: a row for each mask; key: the bits that must be equal."""
-    keys = F.array(*(F.struct(F.lit(i).cast("short").alias("key_no"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks(chain, bits))))
+    keys = F.array(*(F.struct(F.lit(i).cast("short").alias("key_no"), F.col("fp").bitwiseAND(F.lit(_signed64(m))).alias("key")) for i, m in enumerate(masks(chain, bits))))
     return fps.withColumn("k", F.explode(keys)).select(*fps.columns, "k.key_no", "k.key")
 
 
@@ -192,21 +192,15 @@ def bucket_links(fps: np.ndarray, bits: int, second: np.ndarray | None = None, w
 
 
 def _links(bits: int, wide: int | None):
-    def run(batches):
-        import pyarrow as pa
-
+    def found(batches):
         for batch in batches:
-            found = []
             for members in batch.column(0):
                 own = [np.array(members.values.field(i).to_numpy(), dtype=np.int64).view(np.uint64) for i in range(3 if wide else 1)]
-                if wide:
-                    found.extend(bucket_links(own[0], bits, own[1], wide, own[2]))
-                else:
-                    found.extend(bucket_links(np.unique(own[0]), bits))
-            stars = list(forest(found))
-            if stars:
-                u, v = (np.array(x, dtype=np.uint64).view(np.int64) for x in zip(*stars))
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                links = bucket_links(own[0], bits, own[1], wide, own[2]) if wide else bucket_links(np.unique(own[0]), bits)
+                yield from ((_signed64(a), _signed64(b)) for a, b in links)
+
+    def run(batches):
+        yield from star_batches(found(batches))
 
     return run
 
@@ -251,7 +245,7 @@ def rooted_prints(prints: DataFrame, bits: int, wide: int | None) -> DataFrame:
         links = links.unionByName(classes.join(least, "fp").select(F.col("_fl_node").alias("u"), "v"))
     else:
         links = fingerprint_links(classes.select("fp"), bits)
-    rooted = classes.join(components(links), F.col("_fl_node") == F.col("node"), "left")
+    rooted = classes.join(components(links, contract=False), F.col("_fl_node") == F.col("node"), "left")
     return saved(rooted.select(*both, "least_id", F.coalesce("root", "_fl_node").alias("root")), "simhash-rooted")
 
 
@@ -351,20 +345,16 @@ def alike_links(sets: list[np.ndarray], alike: float):
 
 
 def _alike(alike: float):
-    def run(batches):
-        import pyarrow as pa
-
+    def found(batches):
         for batch in batches:
-            found = []
             for members in batch.column(0):
                 ids = members.values.field(0).to_numpy()
                 hashes = members.values.field(1)
                 sets = [hashes[i].values.to_numpy().view(np.uint64) for i in range(len(ids))]
-                found.extend((int(ids[a]), int(ids[b])) for a, b in alike_links(sets, alike))
-            stars = list(forest(found))
-            if stars:
-                u, v = zip(*stars)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                yield from ((int(ids[a]), int(ids[b])) for a, b in alike_links(sets, alike))
+
+    def run(batches):
+        yield from star_batches(found(batches))
 
     return run
 
@@ -397,7 +387,7 @@ def alike_prints(docs: DataFrame, bits: int, words: int, wide: int, alike: float
     held = held.join(wanted, F.col("doc_id").eqNullSafe(F.col("_fl_id")) & (F.col("digest") == F.col("_fl_of")), "left_semi")
     sets = with_sets(held.select("text"), words).select("set_id", "hashes").dropDuplicates(["set_id"])
     buckets = keys.join(sets, "set_id").groupBy("key_no", "key", "b").agg(F.collect_list(F.struct("set_id", "hashes")).alias("sets")).select("sets")
-    roots = components(buckets.mapInArrow(_alike(alike), "u long, v long"))
+    roots = components(buckets.mapInArrow(_alike(alike), "u long, v long"), contract=False)
     found = classes.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", F.coalesce("root", "set_id").alias("root"))
     return prints.select("doc_id", "digest", "set_id"), found
 
