@@ -215,8 +215,11 @@ def test_simhash_empty_and_dedup(spark, docs):
     assert len(ids) == len(set(ids)) and 200 not in ids and 0 in ids and 5 in ids
 
 
+@pytest.mark.parametrize("sent", [True, False])
 @pytest.mark.parametrize("how", [{}, {"bits": 10, "wide": 19}, {"bits": 10, "wide": 19, "words": 5, "alike": 0.8}])
-def test_documents_of_a_repeated_id_stay_or_go_by_their_own_text(spark, how):
+def test_documents_of_a_repeated_id_stay_or_go_by_their_own_text(spark, monkeypatch, how, sent):
+    if not sent:  # beyond the bound of a broadcast
+        monkeypatch.setattr(simhash, "bounded", lambda df: df.hint("merge"))
     a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
     rows = [(1, a, "x"), (5, a, "x"), (5, b, "y"), (7, b, "z"), (7, c, "z"), (7, c, "z"), (None, c, "z"), (None, a + " tail of another", "z"), (9, None, "z"), (10, "", "z"), (None, " ", "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id string").repartition(3)
@@ -293,7 +296,10 @@ def brute_lines(rows):
     return sorted(out)
 
 
-def test_lines_match_brute_force(docs):
+@pytest.mark.parametrize("sent", [True, False])
+def test_lines_match_brute_force(docs, monkeypatch, sent):
+    if not sent:
+        monkeypatch.setattr(linededup, "bounded", lambda df: df.hint("merge"))
     clashing = docs.withColumnRenamed("lang", "n_lines")
     got = linededup.dedup_lines(clashing).collect()
     assert sorted(((1 << 63) - 1 if r.doc_id is None else r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got) == brute_lines(sample_rows())
@@ -485,7 +491,6 @@ def test_sanitised_text(spark):
 def test_sanitised_documents(spark):
     rows = [(1, "call +4111111111111111 or a@b.cc \U0001f600 1.1.1.1"), (2, "nothing"), (3, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id: r.text for r in pii.sanitised_documents(df).collect()}[1] == " +[CARD] or [EMAIL] \U0001f600 [IP]"  # the only term there is names the card
     got = {r.doc_id: r.text for r in pii.sanitised_documents(df, disclosure=2.0).collect()}
     assert got == {1: "call +[CARD] or [EMAIL] \U0001f600 [IP]", 2: "nothing", 3: None}
 
