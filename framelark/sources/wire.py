@@ -31,7 +31,9 @@ def flat_frames(texts: DataFrame) -> DataFrame:
 def nested_frames(texts: DataFrame, levels: int = 1024) -> DataFrame:
     """Frames of ``texts(tx, json)``, one nested call tree each: a recursive query takes the calls of each level off the tree.
 
-    ``levels`` bounds the depth, which the machine itself bounds at 1024. A text that is no JSON gives a root without ends.
+    ``levels`` bounds the depth, which the machine itself bounds at 1024; LIMIT ALL lifts the bound that Spark else sets on the rows of
+    a recursion, 1,000,000 over all texts. A text that is no JSON gives a root without ends, and so does one that nests deeper than the
+    1000 that Spark parses: a tree of more than 500 frames one below another.
     """
     spark = texts.sparkSession
     name = f"nested_{abs(hash(texts.semanticHash()))}"
@@ -45,7 +47,7 @@ def nested_frames(texts: DataFrame, levels: int = 1024) -> DataFrame:
         SELECT tx, path, try_variant_get(node, '$.from', 'string') AS f, try_variant_get(node, '$.to', 'string') AS t, try_variant_get(node, '$.input', 'string') AS i,
                try_variant_get(node, '$.type', 'string') AS k, try_variant_get(node, '$.value', 'string') AS v,
                coalesce(try_variant_get(node, '$.error', 'string'), try_variant_get(node, '$.revertReason', 'string')) AS error
-        FROM tree""")
+        FROM tree LIMIT ALL""")
     spark.catalog.dropTempView(name)
     data = F.coalesce("i", F.lit("0x"))
     return tree.select(

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from framelark.llm.common import settings
 from framelark.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -65,6 +66,13 @@ def test_segments_need_no_nested_loop(spark, sf, name):
     assert "NestedLoop" not in catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["norm_method_fallback"])
+def test_nested_traces_have_no_row_limit(spark, sf, oracle, name):
+    """With the bound that Spark sets on the rows of a recursion lowered far below those of the smallest tables."""
+    with settings(spark, spark__sql__cteRecursionRowLimit="50"):
+        test_equals_sql(spark, sf, oracle, name)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

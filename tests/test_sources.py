@@ -5,6 +5,7 @@ import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
+from pyspark.sql import functions as F
 
 from framelark.operators import trace
 from framelark.plans.analysis import analyse
@@ -53,6 +54,12 @@ def node():
     server.shutdown()
 
 
+def test_nested_trees_of_more_than_a_million_frames(spark):
+    made = spark.range(400_000).selectExpr("concat('0x', id) AS tx", """'{"from":"0xA","calls":[{"from":"0xB","calls":[{"from":"0xC"}]}]}' AS json""")
+    got = wire.nested_frames(made).groupBy("from_addr").agg(F.count("*"), F.countDistinct("tx"), F.min(F.size("path")), F.max(F.size("path"))).collect()
+    assert sorted(map(tuple, got)) == [("0xa", 400_000, 400_000, 0, 0), ("0xb", 400_000, 400_000, 1, 1), ("0xc", 400_000, 400_000, 2, 2)]
+
+
 ROWS = "json string, from_block long, to_block long, note string"
 
 
