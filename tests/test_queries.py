@@ -66,7 +66,7 @@ def test_segments_need_no_nested_loop(spark, sf, name):
     assert "NestedLoop" not in catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["norm_method_fallback", "norm_nested_frame"])
+@pytest.mark.parametrize("name", ["norm_method_fallback", "norm_nested_frame", "scan_tx_nested"])
 def test_nested_traces_have_no_row_limit(spark, sf, oracle, name):
     """With the bound that Spark sets on the rows of a recursion lowered far below those of the smallest tables."""
     with settings(spark, spark__sql__cteRecursionRowLimit="50"):
